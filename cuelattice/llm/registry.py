@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import bpe, ogg, urlrep
+from cuelattice.llm import bpe, huffman, langid, mixing, neardup, ogg, spans, urlrep
 from cuelattice.llm.shared import table
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -17,17 +18,38 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=85)
+
+
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
 def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
 
+def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.stored_ids(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op6_url_filter, op9_ogg_media)}
+    every = (op1_byte_bpe, op2_source_mixing, op3_minhash_neardup, op5_span_dedup, op6_url_filter, op7_language_id, op9_ogg_media, op10_huffman_ids)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urlrep.SQL}
+    return {"op2_source_mixing": mixing.SQL, "op5_span_dedup": spans.SQL, "op6_url_filter": urlrep.SQL}
