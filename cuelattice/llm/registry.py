@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import bpe, huffman, langid, mixing, neardup, ogg, spans, urlrep
+from cuelattice.llm import ann, bpe, huffman, langid, mixing, neardup, ogg, spans, urlrep
 from cuelattice.llm.shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=85)
 
 
+def op4_lsh_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_byte_bpe, op2_source_mixing, op3_minhash_neardup, op5_span_dedup, op6_url_filter, op7_language_id, op9_ogg_media, op10_huffman_ids)
+    every = (op1_byte_bpe, op2_source_mixing, op3_minhash_neardup, op4_lsh_neighbours, op5_span_dedup, op6_url_filter, op7_language_id, op9_ogg_media, op10_huffman_ids)
     return {f.__name__: f for f in every}
 
 
