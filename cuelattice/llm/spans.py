@@ -97,7 +97,8 @@ def without_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
     covered, _ = written(covered, "covered")
     dropped(docs.sparkSession, at)
     names = docs.columns
-    both = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id_")).join(covered.withColumnRenamed("doc_id", "id_"), "id_", "left")
+    # covered grows with the corpus, so it is never broadcast, however small it looks.
+    both = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id_")).join(covered.withColumnRenamed("doc_id", "id_").hint("merge"), "id_", "left")
     both = both.select("doc", "covered", kept_text(F.col("doc.text"), F.col("covered")).alias("kept"))
     return both.select(*[F.col("kept.text").alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in names], F.struct(F.col("kept.n_sentences"), F.coalesce("covered", F.array().cast("array<int>")).alias("covered")).alias("removed_"))
 
