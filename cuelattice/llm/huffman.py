@@ -31,7 +31,7 @@ LIMIT, EVERY, BLOCK_IDS = 20, 256, 1 << 18
 MAGIC = b"HUF1"
 HEADER = struct.Struct("<4sBxxxIII")  # magic, longest code, ids, documents, checkpoints
 #: Chunks between white space whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 1_300_000, 64
 
 
 # --- codes -----------------------------------------------------------------------------------------------------------
@@ -146,11 +146,14 @@ def read_block(code: Code, block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The tokenizer's ids, kept per stretch between white space: its split never joins across white space, its
-    normalizer composes nothing across it and lower-cases character by character."""
+    """The tokenizer's ids, kept per lower-cased stretch between white space: its split never joins across white space,
+    and its normalizer composes nothing across it and lower-cases. A stretch of letters with one mark behind it is
+    looked up as the letters and the mark, as the split parts those."""
 
-    #: str.split() parts at these too, while the tokenizer does not count them as white space.
-    OTHER_SPACES = "\x1c\x1d\x1e\x1f"
+    #: str.split() parts at the first four too, while the tokenizer does not count them as white space; str.lower() looks around
+    #: the last, while the tokenizer does not.
+    ODD = "\x1c\x1d\x1e\x1f\u03a3"
+    MARKS = frozenset(".,;:!?")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -165,18 +168,29 @@ class Words:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: set[str]) -> None:
+        known = self.known
+        marked = {c for c in chunks if c[-1] in self.MARKS and c[:-1].isalpha()}
+        new = [c for c in (chunks - marked).union((c[:-1] for c in marked), (c[-1] for c in marked)) if c not in known]
+        known.update(zip(new, self._plain(new), strict=True))
+        for c in marked:
+            known[c] = known[c[:-1]] + known[c[-1]]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, parts = self.known, [("" if x is None or any(c in x for c in self.OTHER_SPACES) else x).split() for x in texts]
-        new = list(set().union(*parts).difference(known))
-        if len(known) + len(new) > CACHE_ENTRIES:
+        known, odd = self.known, [i for i, x in enumerate(texts) if x and any(c in x for c in self.ODD)]
+        parts = [(x or "").lower().split() for x in texts]
+        for i in odd:
+            parts[i] = []
+        every = set().union(*parts)
+        new = every.difference(known)
+        if len(known) + 2 * len(new) > CACHE_ENTRIES:
             known.clear()
-            new = list(set().union(*parts))
-        known.update(zip(new, self._plain(new), strict=True))
+            new = every
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
         for chunk in new:
             if len(chunk) > CACHE_CHARS:
                 del known[chunk]
-        odd = [i for i, x in enumerate(texts) if x and any(c in x for c in self.OTHER_SPACES)]
         for i, packed in zip(odd, self._plain([texts[i] for i in odd]), strict=True):
             out[i] = packed
         return out
