@@ -128,7 +128,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             packed = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "s"])
 
-    own = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    own = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     return own.mapInArrow(run, "id long, s binary")
 
 
