@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import ann, bpe, huffman, langid, mixing, neardup, ogg, spans, urlrep
+from cuelattice.llm import ann, bpe, huffman, langid, mixing, neardup, ogg, spans, toolcalls, urlrep
 from cuelattice.llm.shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(table(spark, sf_dir, "documents"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.linked(*toolcalls.calls_of(table(spark, sf_dir, "conversations")))
+
+
 def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
@@ -51,9 +55,9 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_byte_bpe, op2_source_mixing, op3_minhash_neardup, op4_lsh_neighbours, op5_span_dedup, op6_url_filter, op7_language_id, op9_ogg_media, op10_huffman_ids)
+    every = (op1_byte_bpe, op2_source_mixing, op3_minhash_neardup, op4_lsh_neighbours, op5_span_dedup, op6_url_filter, op7_language_id, op8_tool_calls, op9_ogg_media, op10_huffman_ids)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.SQL, "op5_span_dedup": spans.SQL, "op6_url_filter": urlrep.SQL}
+    return {"op2_source_mixing": mixing.SQL, "op5_span_dedup": spans.SQL, "op6_url_filter": urlrep.SQL, "op8_tool_calls": toolcalls.SQL}
