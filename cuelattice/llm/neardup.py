@@ -11,9 +11,9 @@ hash function serves all. Documents with the same set are one class from the sta
    that it meets y, and the step repeats on those lists until none is left. No list ever emits the square of its size,
    and a passage that thousands share leaves the game with the first hub that has it.
 3. The union sketch (the K smallest values of both) estimates the similarity of a pair; pairs far below the threshold go.
-4. Exact verification on full sets. Members near a hub, but not all linked with it, go through the same steps as in 2
-   with full sets in place of sketches, so no link between different sets is lost: as the hub is the smallest set of its list,
-   a pair of which one is not linked with the hub shares values that the hub lacks.
+4. Exact verification on full sets. Members near a hub, but not linked with it, may be linked with others near it. Each set is then known by
+   its difference from the hub, a few values; blocks of the unlinked ones meet blocks of all, and a matrix product over the values that occur
+   more than once gives all intersections. What a pair of blocks adds to the components goes on, not its pairs.
 5. Components by alternating large and small stars, written to the shared folder each round.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; a row without doc_id links with nothing,
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.shared import bound_batches, dropped, written
 
-K, FIRST, SHORT = 40, 10, 8
+K, FIRST, SHORT, BLOCK = 40, 10, 8, 256
 #: Share of a sketch that two linked documents' sketches have in common at least (chance of less at 0.8: 2e-7).
 COMMON = 0.45
 #: Standard deviations below the threshold at which the union-sketch estimate still lets a pair pass.
@@ -197,40 +197,77 @@ def _by_sketch(classes: DataFrame, t: float) -> Callable[[DataFrame], DataFrame]
     return compare
 
 
-def _by_set(sets: DataFrame, percent: int) -> Callable[[DataFrame], DataFrame]:
-    """Compares full sets; good: 100 * intersection >= percent * union."""
-    t = percent / 100
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Full sets compared: (a, b, hub, good, na, n, rest: the difference between both if a is a hub); good: 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hubs, packed_a, packed_b = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            good, sizes, rests, last, sa = [], [], [], None, None
-            for hub, pa_, pb in zip(hubs, packed_a, packed_b, strict=True):
-                if pa_ is not last:
-                    last, sa = pa_, np.frombuffer(pa_, np.uint64)
-                sb = np.frombuffer(pb, np.uint64)
-                at = np.searchsorted(sa, sb)
-                at[at == len(sa)] = 0
-                inside = sa[at] == sb
-                n, both = len(sb), int(inside.sum())
-                union = len(sa) + n - both
-                good.append(100 * both >= percent * union)
-                sizes.append(n)
-                rest = None
-                if hub:
-                    rest = sb[~inside]
-                    if not good[-1]:  # must share `least` values outside the hub with whatever links to it
-                        least = max(1, int(np.ceil((t * union - both) / (1 + t) - 1e-9)))
-                        rest = rest[: max(0, len(rest) - least + 1)]
-                    rest = rest.view(np.int64)
-                rests.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(good, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(rests, pa.list_(pa.int64()))], ["a", "b", "hub", "good", "n", "rest"])
+            good, na, sizes, rests = [], [], [], []
+            for hub, one, other in zip(hubs, packed_a, packed_b, strict=True):
+                sa, sb = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+                differ = np.setxor1d(sa, sb, assume_unique=True)
+                union = (len(sa) + len(sb) + len(differ)) // 2
+                good.append(100 * (union - len(differ)) >= percent * union)
+                na.append(len(sa))
+                sizes.append(len(sb))
+                rests.append(differ.view(np.int64) if hub else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good, pa.bool_()), pa.array(na, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rests, pa.list_(pa.int64()))], ["a", "b", "hub", "good", "na", "n", "rest"])
+
+    p = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
+    return p.select("a", "b", "hub", "sa", "sb").mapInArrow(run, "a long, b long, hub boolean, good boolean, na long, n long, rest array<long>")
+
+
+def _new_links(x: tuple[list, list, list], y: tuple[list, list, list, list], percent: int) -> list[tuple[int, int]]:
+    """Links between unlinked members x (ids, sizes, differences) and members y (and whether linked with the hub) that their components need."""
+    ids_x, ids_y, linked = np.array(x[0]), np.array(y[0]), np.array(y[3])
+    size_x, size_y = [np.array([len(d) for d in side[2]]) for side in (x, y)]
+    values, at, counts = np.unique(np.concatenate([np.array(d, np.int64) for side in (x, y) for d in side[2]]), return_inverse=True, return_counts=True)
+    often = counts > 1
+    column = np.cumsum(often) - 1
+    rows = np.repeat(np.arange(len(ids_x) + len(ids_y)), np.concatenate([size_x, size_y]))
+    dense = np.zeros((len(ids_x) + len(ids_y), int(often.sum())), np.float32)
+    dense[rows[often[at]], column[at[often[at]]]] = 1
+    both = (dense[: len(ids_x)] @ dense[len(ids_x) :].T).round().astype(np.int64)
+    n = np.array(x[1])[:, None] + np.array(y[1])[None]
+    differ = size_x[:, None] + size_y[None] - 2 * both
+    link = (100 * (n - differ) >= percent * (n + differ)) & (ids_x[:, None] != ids_y[None])
+    out, up = [], {}
+
+    def root(i: int) -> int:
+        while up.get(i, i) != i:
+            up[i] = i = up.get(up[i], up[i])
+        return i
+
+    for i in np.flatnonzero(link.any(1)).tolist():
+        first = np.flatnonzero(link[i] & linked)[:1].tolist()  # those are connected through the hub already
+        for j in first + np.flatnonzero(link[i] & ~linked).tolist():
+            a, b = int(ids_x[i]), -1 if linked[j] else int(ids_y[j])
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                up[ra] = rb
+                out.append((a, int(ids_y[j])))
+    return out
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-        return p.select("a", "b", "hub", "sa", "sb").mapInArrow(run, "a long, b long, hub boolean, good boolean, n long, rest array<long>")
 
-    return compare
+def _within_groups(verified: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a hub of which at least one is not linked with it."""
+    near = verified.where("hub")
+    open_hubs = near.groupBy("a").agg(F.count("*").alias("size"), F.bool_and("good").alias("done")).where("NOT done AND size > 1").drop("done")
+    members = near.join(open_hubs.hint("merge"), "a").select("a", "size", "b", "n", "rest", "good", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)).alias("block"))
+    block = lambda df: df.groupBy("a", "block").agg(F.collect_list(F.struct("b", "n", "rest", "good")).alias("m"))
+    every = block(members).select("a", F.col("m").alias("y"))
+    unlinked = block(members.where("NOT good")).select("a", F.col("m").alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = lambda m, *names: tuple([row[k] for row in m] for k in names)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                found = _new_links(fields(x, "b", "n", "rest"), fields(y, "b", "n", "rest", "good"), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return unlinked.hint("merge").join(every, "a").select("x", "y").repartition(F.xxhash64("x"), F.xxhash64("y")).mapInArrow(run, "a long, b long")
 
 
 # --- components ------------------------------------------------------------------------------------------------------
@@ -270,9 +307,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     first_rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     sets, sets_at = written(full_sets(first_rows, ids, n_words).groupBy("id").agg(F.first("s").alias("s")), "sets")
-    linked, linked_at = _explored(pairs, _by_set(sets, percent))
-    roots, _ = components(_union(linked).where("good"))
-    dropped(spark, pairs_at, sets_at, *linked_at)
+    done, done_at = written(_verified(pairs, sets, percent), "verified")
+    links = done.where("good").select("a", "b").unionByName(_within_groups(done, percent))
+    roots, _ = components(links)
+    dropped(spark, pairs_at, sets_at, done_at)
     of_class = classes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component"))
     found = made.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component", "doc_id")
