@@ -37,6 +37,10 @@ TOP, TABLES, PROBES, BLOCK, QUERIES, SEED = 10, 3, 60, 256, 64, 7
 WIDTH, SAMPLE, CALIBRATE, GOAL, MOST = 1.0, 2000, 48, 0.95, 16
 
 
+#: Candidates that a task holds before it keeps each query's best alone.
+HELD = 200_000
+
+
 class Hashes:
     """The projections of all tables; equal on every worker."""
 
@@ -189,15 +193,35 @@ def nearest(rows: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([q] * len(keys), pa.int64()), pa.array([x.tobytes()] * len(keys), pa.binary())], ["key", "query", "q"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], []]
+        size = 0
+
+        def reduced() -> list[np.ndarray]:
+            """The nearest top + 1 of each query among those held, each class once."""
+            query, cls, score = (np.concatenate(c) for c in held)
+            order = np.lexsort((cls, score, query))
+            query, cls, score = query[order], cls[order], score[order]
+            new = np.ones(len(query), bool)
+            new[1:] = (query[1:] != query[:-1]) | (cls[1:] != cls[:-1])
+            query, cls, score = query[new], cls[new], score[new]
+            few = np.arange(len(query)) - np.searchsorted(query, query) <= top
+            return [query[few], cls[few], score[few]]
+
         for b in batches:
-            out: list[list] = [[], [], []]
             for asking, qs, names, xs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x, q, names = np.frombuffer(b"".join(xs)).reshape(-1, dims), np.frombuffer(b"".join(qs)).reshape(-1, dims), np.array(names)
                 i, j, d = closest(x, names, q, top + 1)
-                for col, v in zip(out, (np.array(asking)[i], names[j], d), strict=True):
+                for col, v in zip(held, (np.array(asking)[i], names[j], d), strict=True):
                     col.append(v)
-            cols = [np.concatenate(c) for c in out] if out[0] else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query", "cls", "score"])
+                size += len(i)
+                if size > HELD:
+                    out = reduced()
+                    held, size = [[c] for c in out], len(out[0])
+                    if size > HELD // 2:  # many queries, rather than many candidates of each
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["query", "cls", "score"])
+                        held, size = [[], [], []], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in reduced()], ["query", "cls", "score"])
 
     def blocked(rows: DataFrame, name: str, data: str, size: int) -> DataFrame:
         """Rows of a key in blocks of about `size`, each an array of names and one of vectors."""
