@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from cuelattice.plans import book, cue_queries, interval_queries, stream_queries, text_queries, vote_queries  # noqa: F401  (they register their queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return vote_queries.a12_engine_leaderboard(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, book.Query]:
+    return dict(book.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(book.SQL)
