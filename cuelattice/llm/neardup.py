@@ -5,7 +5,7 @@ hash function serves all. Documents with the same set are one class from the sta
 
 1. Inverted lists: each class enters the list of each of its FIRST smallest values. Two sets with Jaccard similarity
    t share one of them but for a chance of (1-t)^FIRST.
-2. A short list gives all its pairs. In a long one only the hub, its smallest set, is compared with every member. Two members x, y
+2. A short list gives all its pairs. In a long one only the hub, the set whose values are the most common, is compared with every member. Two members x, y
    that are not both near the hub must share values outside the hub's sketch: x's overlap with the hub is below C,
    y's overlap with x is C at least. So x goes on to lists (hub, value), by as many values outside the hub as make sure
    that it meets y, and the step repeats on those lists until none is left. No list ever emits the square of its size,
@@ -136,32 +136,34 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, hub) to compare, from list entries (key, id, n, far). A list whose members are all near the hub
+    """Distinct pairs (a, b, hub) to compare, from list entries (key, id, ord, far); the hub is the smallest (ord, id). A list whose members are all near the hub
     that they come from is done."""
-    me = F.struct("n", "id")
+    me = F.struct("ord", "id")
     lists = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(me).alias("hub"), F.max("far").alias("any_far")).where("size > 1 AND any_far").drop("any_far")
     both = entries.join(lists, "key")
     long = both.where((F.col("size") > SHORT) & (F.col("id") != F.col("hub.id"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("hub"))
-    members = both.where(F.col("size") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "id", "far"))).alias("m"))
+    members = both.where(F.col("size") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "far"))).alias("m"))
     # At most SHORT members, so at most SHORT * (SHORT - 1) / 2 pairs.
     short = members.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, SHORT)).alias("y")).where("x.far OR y.far")
     short = short.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(False).alias("hub"))
     return long.unionByName(short).groupBy("a", "b").agg(F.max("hub").alias("hub"))
 
 
-def _explored(pairs: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> tuple[list[DataFrame], list[str]]:
-    """Compare pairs, then those that follow from hubs, until none is left. compare: (a, b, hub) -> (a, b, hub, good,
-    n, rest: values of b outside the hub a by which b goes on). Returns the tables of all compared pairs."""
+def _explored(pairs: DataFrame, sketched: DataFrame, compare: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[list[DataFrame], list[str]]:
+    """Compare pairs, then those that follow from hubs, until none is left. sketched: id, n, ord, sketch; only those still in play go on to the
+    next round. compare: pairs (a, b, hub) and sketched -> (a, b, hub, good, n and ord of b, rest: values of b outside the hub a by which b goes on,
+    and its sketch if it does). Returns the tables of all compared pairs."""
     tables, paths = [], []
     while True:
-        done, path = written(compare(pairs), "pairs")
-        tables.append(done)
+        done, path = written(compare(pairs, sketched), "pairs")
+        tables.append(done.select("a", "b", "hub", "good"))
         paths.append(path)
-        on = done.where(F.col("hub") & (F.size("rest") > 0))
+        on = done.where("sketch IS NOT NULL")
         if on.isEmpty():
             return tables, paths
-        entries = on.select(F.col("a").alias("h"), F.col("b").alias("id"), "n", (~F.col("good")).alias("far"), F.explode("rest").alias("v"))
-        pairs = _pairs(entries.select(F.xxhash64("h", "v").alias("key"), "id", "n", "far"))
+        entries = on.select(F.col("a").alias("h"), F.col("b").alias("id"), "ord", (~F.col("good")).alias("far"), F.explode("rest").alias("v"))
+        pairs = _pairs(entries.select(F.xxhash64("h", "v").alias("key"), "id", "ord", "far"))
+        sketched = on.groupBy(F.col("b").alias("id")).agg(F.first("n").alias("n"), F.first("ord").alias("ord"), F.first("sketch").alias("sketch"))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -175,11 +177,11 @@ def _common(x: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.size(x) * COMMON).cast("int"))
 
 
-def _by_sketch(classes: DataFrame, t: float) -> Callable[[DataFrame], DataFrame]:
+def _by_sketch(t: float) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Compares sketches. A hub's pair is good from the common share on; another, if the union sketch estimates the similarity near t."""
-    side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
 
-    def compare(pairs: DataFrame) -> DataFrame:
+    def compare(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+        side = lambda k: sketched.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("ord").alias(f"ord{k}"), F.col("sketch").alias(f"s{k}"))
         p = pairs.join(side("a"), "a").join(side("b"), "b")
         p = p.withColumn("both", F.array_intersect("sa", "sb")).withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K))
         slack = SLACK * (t * (1 - t) / K) ** 0.5
@@ -192,7 +194,8 @@ def _by_sketch(classes: DataFrame, t: float) -> Callable[[DataFrame], DataFrame]
         few = F.size("sb") - _common(F.col("sb")) + 1
         few = F.when(F.size("both") <= 0.3 * F.size("sb"), F.least(F.lit(FIRST), few)).otherwise(few)
         rest = F.when(F.col("hub"), F.when(near, outside).otherwise(F.slice(outside, 1, few)))
-        return p.select("a", "b", "hub", F.when(F.col("hub"), near).otherwise(able).alias("good"), F.col("nb").alias("n"), rest.alias("rest"))
+        p = p.select("a", "b", "hub", F.when(F.col("hub"), near).otherwise(able).alias("good"), F.col("nb").alias("n"), F.col("ordb").alias("ord"), rest.alias("rest"), "sb")
+        return p.withColumn("sketch", F.when(F.col("hub") & (F.size("rest") > 0), F.col("sb"))).drop("sb")
 
     return compare
 
@@ -300,10 +303,14 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     made, made_at = written(sketches(docs, n_words), "sketches")
     classes, classes_at = written(made.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     values = F.slice("sketch", 1, F.least(F.lit(FIRST), F.size("sketch") - _common(F.col("sketch")) + 1))
-    entries = classes.select("id", "n", F.explode(values).alias("key"), F.lit(True).alias("far"))
-    near, near_at = _explored(_pairs(entries), _by_sketch(classes.select("id", "n", "sketch"), t))
+    # The more others share a set's values, the sooner it is a hub: what a group has in common then leaves with its first hub.
+    values_of = classes.select("id", F.explode(values).alias("key"))
+    common = values_of.join(values_of.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("id").agg((-F.sum("size")).alias("ord"))
+    ranked, ranked_at = written(classes.select("id", "n", "sketch").join(common.hint("merge"), "id"), "ranked")
+    entries = ranked.select("id", "ord", F.explode(values).alias("key"), F.lit(True).alias("far"))
+    near, near_at = _explored(_pairs(entries), ranked, _by_sketch(t))
     pairs, pairs_at = written(_union(near).where("good").groupBy("a", "b").agg(F.max("hub").alias("hub")), "near")
-    dropped(spark, *near_at)
+    dropped(spark, ranked_at, *near_at)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     first_rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     sets, sets_at = written(full_sets(first_rows, ids, n_words).groupBy("id").agg(F.first("s").alias("s")), "sets")
