@@ -40,7 +40,7 @@ def chained(cues: DataFrame, bridge_ms: int = 1000, linger_ms: int = 250, most_m
     """Short pauses are bridged to the next cue; else a cue lingers; none lasts longer than most_ms."""
     after = F.lead("start_ms").over(W.partitionBy("job_id").orderBy("start_ms", "cue_id"))
     pause = after - F.col("end_ms")
-    end = F.when((pause > 0) & (pause <= bridge_ms), after - 1).otherwise(F.least(F.col("end_ms") + linger_ms, F.coalesce(F.greatest(F.col("end_ms"), after - 1), F.col("end_ms") + linger_ms)))
+    end = F.when((pause > 0) & (pause <= bridge_ms), after - 1).otherwise(F.least(F.col("end_ms") + linger_ms, F.when(after.isNotNull(), F.greatest(F.col("end_ms"), after - 1))))
     return cues.withColumn("end_ms", F.greatest(F.col("end_ms"), F.least(end, F.col("start_ms") + most_ms)))
 
 

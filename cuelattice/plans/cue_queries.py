@@ -57,7 +57,7 @@ def w31_overlap_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {X.CUE}, f AS (SELECT job_id, cue_id, start_ms, {_FIX} AS end_ms, lead(start_ms) OVER {_ORDER} AS nx FROM cue)
-SELECT job_id, cue_id, start_ms, greatest(end_ms, least(start_ms + 7000, CASE WHEN nx - end_ms > 0 AND nx - end_ms <= 1000 THEN nx - 1 ELSE least(end_ms + 250, coalesce(greatest(end_ms, nx - 1), end_ms + 250)) END)) AS end_ms FROM f""")
+SELECT job_id, cue_id, start_ms, greatest(end_ms, least(start_ms + 7000, CASE WHEN nx - end_ms > 0 AND nx - end_ms <= 1000 THEN nx - 1 ELSE least(end_ms + 250, CASE WHEN nx IS NOT NULL THEN greatest(end_ms, nx - 1) END) END)) AS end_ms FROM f""")
 def w32_chained_cues(spark: SparkSession, d: str) -> DataFrame:
     return C.chained(C.without_overlap(X.cue(spark, d))).select("job_id", "cue_id", "start_ms", "end_ms")
 
