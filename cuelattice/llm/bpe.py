@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.shared import bound_batches
 
-#: Pre-tokens that a worker keeps with their ids; beyond it the cache starts anew.
-CACHE_ENTRIES = 700_000
+#: Pre-tokens, and stretches between blanks, that a worker keeps with their ids: so many new ones beside as many older ones.
+PIECES, STRETCHES = 250_000, 100_000
 #: Longer pre-tokens are encoded afresh each time.
 CACHE_CHARS = 64
 #: The two levels hold ranks below 2 ** 18.
@@ -106,15 +106,19 @@ def merge_ids(ranks: dict[bytes, int], piece: bytes) -> list[int]:
 
 
 class _Cache(dict):
-    """Key -> packed ids, made when first asked for; bounded."""
+    """Key -> packed ids, made when first asked for. When full, its entries become the older generation, whose entries return when asked for."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        packed = self.make(key)
+        packed = self.older.get(key)
+        if packed is None:
+            packed = self.make(key)
         if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.most:
+                self.older.clear()
+                self.older.update(self)
                 self.clear()
             self[key] = packed
         return packed
@@ -130,8 +134,8 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.split = regex.compile(pattern).findall
-        self.pieces = _Cache(lambda piece: array("I", merge_ids(ranks, piece.encode())).tobytes())
-        self.inner = _Cache(self._inner)
+        self.pieces = _Cache(lambda piece: array("I", merge_ids(ranks, piece.encode())).tobytes(), PIECES)
+        self.inner = _Cache(self._inner, STRETCHES)
         self.tokens = {i: token for token, i in ranks.items()}
 
     def _all(self, text: str) -> bytes:
