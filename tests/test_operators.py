@@ -7,6 +7,7 @@ from cuelattice.operators import align as A
 from cuelattice.operators import cues as C
 from cuelattice.operators import intervals as I
 from cuelattice.plans import vote_queries as V
+from cuelattice.sources import files
 from cuelattice.streaming import live
 
 
@@ -96,3 +97,19 @@ def test_stream_replay_equals_batch(spark, tmp_path):
     for k, job in enumerate((live.utterances, live.rates, live.latest)):
         got = live.replayed(job(stream), f"replay{k}", str(tmp_path / f"at{k}"))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, job(rows).collect()))
+
+
+def test_files(spark, tmp_path):
+    cues = spark.createDataFrame([("a", 0, 0, 1500, "One"), ("b", 0, 10, 20, "Two\nlines")], "job_id string, cue_id int, start_ms long, end_ms long, text string")
+    files.write_srt(cues, str(tmp_path / "out"))
+    for job in "ab":
+        part = next((tmp_path / "out" / f"job_id={job}").glob("part-*"))
+        (tmp_path / f"{job}.srt").write_bytes(part.read_bytes())
+    got = sorted((r.job_id, r.n, r.start_ms, r.end_ms, r.text) for r in files.read_srt(spark, str(tmp_path / "*.srt")).collect())
+    assert got == [("a", 1, 0, 1500, "One"), ("b", 1, 10, 20, "Two\nlines")]
+    (tmp_path / "x.json").write_text('[{"word": "hi", "start": 0.5, "end": 0.75, "conf": 0.9}]')
+    (tmp_path / "y.json").write_text("[]")
+    got = sorted((r.job_id, r.word, r.start_ms) for r in files.read_words(spark, str(tmp_path / "*.json")).collect())
+    assert got == [("x", "hi", 500), ("y", None, None)]
+    pairs = files.paired(spark.createDataFrame([("/d/a.mp4",), ("/d/a.srt",), ("/d/a.txt",), ("/d/b.mp3",)], "path string")).collect()
+    assert {r.media: r.transcript for r in pairs} == {"/d/a.mp4": "/d/a.txt", "/d/b.mp3": None}
