@@ -46,7 +46,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, BYTE_BPE, public_tokenizers.PATTERN)
+    return bpe.digests(docs, BYTE_BPE, public_tokenizers.PATTERN, bpe.FEW)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("span_dedup", span_dedup), ("source_mixing", source_mixing), ("tokens", tokens)]

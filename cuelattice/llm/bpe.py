@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from cuelattice.llm.shared import bound_batches
 
 #: Pre-tokens, and stretches between blanks, that a worker keeps with their ids: so many new ones beside as many older ones.
-PIECES, STRETCHES = 250_000, 100_000
+#: FEW where workers also hold what other stages need; it costs a third more time.
+MANY, FEW = (350_000, 350_000), (250_000, 100_000)
 #: Longer pre-tokens are encoded afresh each time.
 CACHE_CHARS = 64
 #: The two levels hold ranks below 2 ** 18.
@@ -132,10 +133,10 @@ class Codec:
     """A blank between two other non-space characters always starts a match of the pattern, so what stands between
     such blanks is matched, and kept, by itself; any other text is matched in one go."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: tuple[int, int] = MANY):
         self.split = regex.compile(pattern).findall
-        self.pieces = _Cache(lambda piece: array("I", merge_ids(ranks, piece.encode())).tobytes(), PIECES)
-        self.inner = _Cache(self._inner, STRETCHES)
+        self.pieces = _Cache(lambda piece: array("I", merge_ids(ranks, piece.encode())).tobytes(), keep[0])
+        self.inner = _Cache(self._inner, keep[1])
         self.tokens = {i: token for token, i in ranks.items()}
 
     def _all(self, text: str) -> bytes:
@@ -166,38 +167,38 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+@functools.lru_cache(maxsize=1)
+def codec(path: str, pattern: str, keep: tuple[int, int] = MANY) -> Codec:
     """One per worker process, with its cache, for all tasks that it runs."""
-    return Codec(read_ranks(path), pattern)
+    return Codec(read_ranks(path), pattern, keep)
 
 
-def encoded(text: Column, path: str, pattern: str) -> Column:
+def encoded(text: Column, path: str, pattern: str, keep: tuple[int, int] = MANY) -> Column:
     """Packed ids (binary, never null) of a text column. Ids are little-endian unsigned 32-bit integers."""
 
     def run(texts: pa.Array) -> pa.Array:
-        encode = codec(path, pattern).encode
+        encode = codec(path, pattern, keep).encode
         return pa.array([encode(x.as_py()) for x in texts], pa.binary())
 
     return F.arrow_udf(run, "binary")(text)
 
 
-def decoded(packed: Column, path: str, pattern: str) -> Column:
+def decoded(packed: Column, path: str, pattern: str, keep: tuple[int, int] = MANY) -> Column:
     """The bytes that packed ids spell."""
 
     def run(ids: pa.Array) -> pa.Array:
-        decode = codec(path, pattern).decode
+        decode = codec(path, pattern, keep).decode
         return pa.array([decode(x.as_py()) for x in ids], pa.binary())
 
     return F.arrow_udf(run, "binary")(packed)
 
 
-def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, pattern: str, keep: tuple[int, int] = MANY) -> DataFrame:
     """doc_id, ids (packed), n_tokens and the decoded bytes of every whole text. No shuffle: rows are independent."""
     bound_batches(docs.sparkSession)
-    ids = docs.select("doc_id", encoded(F.col("text"), path, pattern).alias("ids"))
-    return ids.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), decoded(F.col("ids"), path, pattern).alias("decoded"))
+    ids = docs.select("doc_id", encoded(F.col("text"), path, pattern, keep).alias("ids"))
+    return ids.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), decoded(F.col("ids"), path, pattern, keep).alias("decoded"))
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    return tokenized(docs, path, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, pattern: str, keep: tuple[int, int] = MANY) -> DataFrame:
+    return tokenized(docs, path, pattern, keep).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
