@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from cuelattice.llm.shared import bound_batches
 
 #: Pre-tokens, and stretches between blanks, that a worker keeps with their ids: so many new ones beside as many older ones.
-#: FEW where workers also hold what other stages need; it costs a third more time.
-MANY, FEW = (350_000, 350_000), (250_000, 100_000)
+#: FEW where workers also hold what other stages need; it costs more time.
+MANY, FEW = (350_000, 350_000), (50_000, 20_000)
 #: Longer pre-tokens are encoded afresh each time.
 CACHE_CHARS = 64
 #: The two levels hold ranks below 2 ** 18.
