@@ -44,6 +44,40 @@ def errors(a: str, b: str) -> Column:
     return F.arrow_udf(run, "long")(a, b)
 
 
+def pairs(a: str, b: str) -> Column:
+    """Array of (a, b, same): an edit-distance alignment of two word lists, a and b positions or null, in order. Of equal costs a pair goes
+    before a missing word, that before an extra one. Cost tables are lists' lengths squared, so lists should be chunks."""
+
+    def walk(x: list[str], y: list[str]) -> list[dict]:
+        names = {w: i for i, w in enumerate({*x, *y})}
+        hyp, steps = np.array([names[w] for w in y], np.int64), np.arange(len(y) + 1) * EDIT
+        rows = [steps]
+        for w in x:
+            here = rows[-1] + EDIT
+            here[1:] = np.minimum(here[1:], rows[-1][:-1] + np.where(hyp == names[w], 0, SUBSTITUTION))
+            rows.append(np.minimum.accumulate(here - steps) + steps)
+        i, j, found = len(x), len(y), []
+        while i or j:
+            same = bool(i and j and x[i - 1] == y[j - 1])
+            if i and j and rows[i][j] == rows[i - 1][j - 1] + (0 if same else SUBSTITUTION):
+                i, j = i - 1, j - 1
+                found.append({"a": i, "b": j, "same": same})
+            elif i and rows[i][j] == rows[i - 1][j] + EDIT:
+                i -= 1
+                found.append({"a": i, "b": None, "same": False})
+            else:
+                j -= 1
+                found.append({"a": None, "b": j, "same": False})
+        return found[::-1]
+
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("same", pa.bool_())]))
+
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([walk(x or [], y or []) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], kind)
+
+    return F.arrow_udf(run, "array<struct<a:int,b:int,same:boolean>>")(a, b)
+
+
 def anchors(a: DataFrame, b: DataFrame, n: int = 3) -> DataFrame:
     """(job_id, a_idx, b_idx): n-grams that occur once on both sides. a, b: job_id, idx, norm. An equi-join on the n-gram's hash and words; each side is
     counted by its keys before the join, so a frequent n-gram never meets itself."""

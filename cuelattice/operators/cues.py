@@ -106,3 +106,77 @@ def vtt(cues: DataFrame, speaker: str) -> DataFrame:
     safe = F.array_join(F.filter(F.split(safe, "\n"), lambda x: F.trim(x) != ""), "\n")
     n = F.struct("start_ms", "cue_id", F.concat(T.timecode(F.col("start_ms"), "."), F.lit(" --> "), T.timecode(F.col("end_ms"), "."), F.lit("\n<v "), F.col(speaker), F.lit(">"), safe).alias("b"))
     return cues.groupBy("job_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.sort_array(F.collect_list(n)), lambda x: x["b"]), "\n\n")).alias("vtt"))
+
+
+def wrapped(text: Column, cpl: int) -> Column:
+    """Words in lines of at most cpl characters, greedily; a longer word has its own line."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
+
+    def add(a: Column, w: Column) -> Column:
+        fits = (a["line"] == "") | (F.length(a["line"]) + 1 + F.length(w) <= cpl)
+        line = F.when(a["line"] == "", w).when(fits, F.concat(a["line"], F.lit(" "), w)).otherwise(w)
+        return F.struct(F.when(fits, a["done"]).otherwise(F.concat(a["done"], a["line"], F.lit("\n"))).alias("done"), line.alias("line"))
+
+    return F.aggregate(T.tokens(text), start, add, lambda a: F.concat(a["done"], a["line"]))
+
+
+def grown(cues: DataFrame, least_ms: int = 700, cps: int = 20) -> DataFrame:
+    """Cues too short to be read grow into the free time before the next one."""
+    after = F.lead("start_ms").over(W.partitionBy("job_id").orderBy("start_ms", "cue_id"))
+    want = F.col("start_ms") + F.greatest(F.lit(least_ms), F.floor(T.visible_chars(F.col("text")) * 1000 / cps) + 1)
+    return cues.withColumn("end_ms", F.greatest(F.col("end_ms"), F.least(want, F.coalesce(after - 1, want))))
+
+
+# Head of a SubStation file.
+ASS_HEAD = """[Script Info]
+Title: {title}
+ScriptType: v4.00+
+WrapStyle: 2
+ScaledBorderAndShadow: yes
+PlayResX: 1920
+PlayResY: 1080
+
+[V4+ Styles]
+Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding
+Style: Default,Arial,59,&H00FFFFFF,&H000000FF,&H00000000,&H80000000,0,0,0,0,100,100,0,0,1,3,1,2,60,60,49,1
+
+[Events]
+Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text
+"""
+
+
+def ass_events(cues: DataFrame, speaker: str) -> DataFrame:
+    """(job_id, events): SubStation event lines in order; centiseconds are cut off, braces escaped, blank lines dropped."""
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+
+    def at(name: str) -> Column:
+        part = lambda size: F.floor(F.col(name) / size)
+        return F.concat(part(3600000).cast("string"), F.lit(":"), two(part(60000) % 60), F.lit(":"), two(part(1000) % 60), F.lit("."), two(part(10) % 100))
+
+    safe = F.replace(F.replace("text", F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
+    safe = F.array_join(F.transform(F.filter(F.split(safe, "\n"), lambda x: F.trim(x) != ""), F.trim), "\\N")
+    who = F.replace(F.coalesce(speaker, F.lit("")), F.lit(","), F.lit(" "))
+    line = F.concat(F.lit("Dialogue: 0,"), at("start_ms"), F.lit(","), at("end_ms"), F.lit(",Default,"), who, F.lit(",0,0,0,,"), safe)
+    rows = cues.select("job_id", F.struct("start_ms", "cue_id", line.alias("line")).alias("r"))
+    return rows.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["line"]), "\n").alias("events"))
+
+
+def ass(cues: DataFrame, speaker: str, title: str) -> DataFrame:
+    """(job_id, ass): whole SubStation files."""
+    return ass_events(cues, speaker).select("job_id", F.concat(F.lit(ASS_HEAD.format(title=title)), "events", F.lit("\n")).alias("ass"))
+
+
+def joined_runs(cues: DataFrame, speaker: str) -> DataFrame:
+    """One row per `run` (see speaker_runs): speaker, start_ms (not below 0), text in order."""
+    rows = F.sort_array(F.collect_list(F.struct("start_ms", "cue_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))))
+    g = cues.groupBy("job_id", "run").agg(F.min(speaker).alias(speaker), F.greatest(F.lit(0), F.min("start_ms")).alias("start_ms"), rows.alias("rows"))
+    return g.select("job_id", "run", speaker, "start_ms", F.array_join(F.transform("rows", lambda x: x["t"]), " ").alias("text"))
+
+
+def transcript(cues: DataFrame, speaker: str) -> DataFrame:
+    """(job_id, txt): a paragraph per run with its time and speaker."""
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    s = F.floor(F.col("start_ms") / 1000)
+    line = F.concat(F.lit("["), two(F.floor(s / 3600)), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60), F.lit("] "), speaker, F.lit(": "), "text")
+    p = joined_runs(cues, speaker).select("job_id", F.struct("run", line.alias("line")).alias("r"))
+    return p.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["line"]), "\n\n").alias("txt"))

@@ -113,3 +113,40 @@ def test_files(spark, tmp_path):
     assert got == [("x", "hi", 500), ("y", None, None)]
     pairs = files.paired(spark.createDataFrame([("/d/a.mp4",), ("/d/a.srt",), ("/d/a.txt",), ("/d/b.mp3",)], "path string")).collect()
     assert {r.media: r.transcript for r in pairs} == {"/d/a.mp4": "/d/a.txt", "/d/b.mp3": None}
+
+
+def test_alignment_pairs(spark):
+    df = spark.createDataFrame([("we sailed to the island".split(), "we sale to island now".split()), ([], ["x"]), (["a"], []), (None, None)], "a array<string>, b array<string>")
+    got = [[(p.a, p.b, p.same) for p in r.p] for r in df.select(A.pairs("a", "b").alias("p")).collect()]
+    assert got[0] == [(0, 0, True), (1, 1, False), (2, 2, True), (3, None, False), (4, 3, True), (None, 4, False)]
+    assert got[1:] == [[(None, 0, False)], [(0, None, False)], []]
+
+
+def test_alignment_pairs_cost_what_the_errors_say(spark):
+    import random
+
+    random.seed(3)
+    rows = [([random.choice("abc") for _ in range(random.randrange(9))], [random.choice("abcd") for _ in range(random.randrange(9))]) for _ in range(80)]
+    for r in spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", A.errors("a", "b").alias("e"), A.pairs("a", "b").alias("p")).collect():
+        assert [p.a for p in r.p if p.a is not None] == list(range(len(r.a))) and [p.b for p in r.p if p.b is not None] == list(range(len(r.b)))
+        wrong = [p for p in r.p if not p.same]
+        assert r.e == 4096 * len(wrong) + sum(p.a is not None and p.b is not None for p in wrong)
+        assert all(r.a[p.a] == r.b[p.b] for p in r.p if p.same)
+
+
+def test_wrapped(spark):
+    assert one(spark, C.wrapped(F.col("t"), 7), t="one two  three\nseventeen a b") == "one two\nthree\nseventeen\na b"
+    assert one(spark, C.wrapped(F.col("t"), 7), t="  ") == ""
+
+
+def test_grown_cues_and_script_files(spark):
+    cues = spark.createDataFrame([(1, 0, 0, 100, "Hi {there}\n\n you", "A,b"), (1, 1, 500, 600, "x", None)], "job_id long, cue_id int, start_ms long, end_ms long, text string, who string")
+    assert {r.cue_id: r.end_ms for r in C.grown(cues).collect()} == {0: 499, 1: 1200}
+    text = C.ass(cues, "who", "T").first().ass
+    assert text.startswith("[Script Info]\nTitle: T\n") and text.endswith("\n")
+    assert text.splitlines()[-2:] == [r"Dialogue: 0,0:00:00.00,0:00:00.10,Default,A b,0,0,0,,Hi \{there\}\Nyou", "Dialogue: 0,0:00:00.50,0:00:00.60,Default,,0,0,0,,x"]
+
+
+def test_transcript(spark):
+    cues = spark.createDataFrame([(1, 0, 0, 900, "Good\nmorning", "A"), (1, 1, 1000, 1900, "all.", "A"), (1, 2, 3661000, 3662000, "Yes", "B")], "job_id long, cue_id int, start_ms long, end_ms long, text string, who string")
+    assert C.transcript(C.speaker_runs(cues, "who", 1750), "who").first().txt == "[00:00:00] A: Good morning all.\n\n[01:01:01] B: Yes"
