@@ -154,7 +154,7 @@ def ass_events(cues: DataFrame, speaker: str) -> DataFrame:
         return F.concat(part(3600000).cast("string"), F.lit(":"), two(part(60000) % 60), F.lit(":"), two(part(1000) % 60), F.lit("."), two(part(10) % 100))
 
     safe = F.replace(F.replace("text", F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
-    safe = F.array_join(F.transform(F.filter(F.split(safe, "\n"), lambda x: F.trim(x) != ""), F.trim), "\\N")
+    safe = F.array_join(F.transform(F.filter(F.split(safe, "\n"), lambda x: F.trim(x) != ""), lambda x: F.trim(x)), "\\N")
     who = F.replace(F.coalesce(speaker, F.lit("")), F.lit(","), F.lit(" "))
     line = F.concat(F.lit("Dialogue: 0,"), at("start_ms"), F.lit(","), at("end_ms"), F.lit(",Default,"), who, F.lit(",0,0,0,,"), safe)
     rows = cues.select("job_id", F.struct("start_ms", "cue_id", line.alias("line")).alias("r"))
