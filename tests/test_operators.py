@@ -150,3 +150,19 @@ def test_grown_cues_and_script_files(spark):
 def test_transcript(spark):
     cues = spark.createDataFrame([(1, 0, 0, 900, "Good\nmorning", "A"), (1, 1, 1000, 1900, "all.", "A"), (1, 2, 3661000, 3662000, "Yes", "B")], "job_id long, cue_id int, start_ms long, end_ms long, text string, who string")
     assert C.transcript(C.speaker_runs(cues, "who", 1750), "who").first().txt == "[00:00:00] A: Good morning all.\n\n[01:01:01] B: Yes"
+
+
+def test_grouped_within_budget(spark):
+    from cuelattice.operators import budget as B
+
+    s = spark.createDataFrame([(1, 0, 1000), (1, 1500, 2500), (1, 2600, 4000), (1, 9000, 9500), (2, 0, 9000)], "job_id long, start_ms long, end_ms long")
+    got = sorted(tuple(r) for r in B.grouped(s, 2000, 3000).collect())
+    assert got == [(1, 0, 0, 0, 2500, 2), (1, 0, 1, 2600, 4000, 1), (1, 1, 0, 9000, 9500, 1), (2, 0, 0, 0, 9000, 1)]
+
+
+def test_calibration_raises_a_telling_weight(spark):
+    from cuelattice.operators import budget as B
+
+    df = spark.createDataFrame([(1, 1)] * 60 + [(0, 0)] * 60, "music int, label int")
+    got = {r.feature: r.weight for r in B.calibrated(df, ["music"], "label", [0.7], -3.2).collect()}
+    assert got["music"] > 0.7
