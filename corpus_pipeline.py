@@ -2,7 +2,7 @@
 
 Each stage gets what the one before wrote, and returns the columns of documents but for the last, which returns the
 tokens' digests. A stage removes only what it is there for: texts without a language, all but one of each group of
-near-duplicates, repeated sentences (and documents of which nothing else is left); mixing removes nothing, it repeats
+near-duplicates, repeated passages (and documents of which nothing else is left); mixing removes nothing, it repeats
 small sources.
 """
 
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelattice.llm import bpe, langid, mixing, neardup, spans
+from cuelattice.llm import bpe, langid, mixing, neardup, passages
 from cuelattice.llm.shared import table, written
 
 #: A document goes if its language's probability is below; one word is enough for more.
@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = spans.without_repeats(docs)
-    touched = F.size("removed_.covered") > 0
+    out = passages.without_repeats(docs)
+    touched = F.col("removed_.n_removed") > 0
     out = out.where(~touched | (F.length(F.trim("text")) > 0))
     return out.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import ann, bpe, huffman, langid, mixing, neardup, ogg, spans, toolcalls, urlrep
+from cuelattice.llm import ann, bpe, huffman, langid, mixing, neardup, ogg, passages, spans, toolcalls, urlrep
 from cuelattice.llm.shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,11 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not bound to the SQL of op5_span_dedup, which knows only runs of two sentences."""
+    return passages.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +60,7 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_byte_bpe, op2_source_mixing, op3_minhash_neardup, op4_lsh_neighbours, op5_span_dedup, op6_url_filter, op7_language_id, op8_tool_calls, op9_ogg_media, op10_huffman_ids)
+    every = (op1_byte_bpe, op2_source_mixing, op3_minhash_neardup, op4_lsh_neighbours, op5_span_dedup, op5_passage_dedup, op6_url_filter, op7_language_id, op8_tool_calls, op9_ogg_media, op10_huffman_ids)
     return {f.__name__: f for f in every}
 
 

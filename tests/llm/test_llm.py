@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from cuelattice.llm import ann, bpe, huffman, langid, mixing, neardup, ogg, registry, spans, toolcalls, urlrep
+from cuelattice.llm import ann, bpe, huffman, langid, mixing, neardup, ogg, passages, registry, spans, toolcalls, urlrep
 
 BYTE, WORD, PATTERN = registry.BYTE_BPE, registry.WORD_BPE, public_tokenizers.PATTERN
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, media string"
@@ -142,6 +142,32 @@ def test_spans_defined_cases(spark, odd, none):
         assert "".join(spans.sentences(text)) == text
 
 
+def test_passages_of_short_sentences(spark, odd, none):
+    verse = "".join(f"Line {i} is this short. " for i in range(12))
+    han = "".join(chr(0x4E00 + i * 37 % 5000) + ("\u3002" if i % 9 == 8 else "") for i in range(90))
+    p = "One two three four five six seven. Eight nine ten eleven twelve thirteen. "
+    rows = [(1, f"Here. {verse}End."), (2, f"There it is. {verse}Last."), (3, f"\u524d\u3002{han}"), (4, f"\u540e\u6765\u3002{han}"), (5, f"Start. {p}"), (6, f"{p}{p}"), (7, None), (8, ""), (None, verse)]
+    got = {r.doc_id: r for r in passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].text for i in (1, 3, 5, 7, 8, None)] == [dict(rows)[i] for i in (1, 3, 5, 7, 8, None)]
+    assert got[2].text == "There it is. Last." and got[4].text == "\u540e\u6765\u3002" and got[6].text == ""
+    assert passages.without_repeats(odd).columns == [*odd.columns, "removed_"]
+    assert passages.deduplicated(none).count() == 0
+    for text in ("a.b", "...", "\n x\n\n y! z", "a", *[t for _, t in ODD if t]):
+        assert "".join(passages.tokens(text)) == text
+
+
+def test_passages_cover_what_spans_do():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["a b. ", "c\n", "d e f g h i j! ", "k.l ", "\n", "m n o p q r s t u v w x y z ", ", ", "... "]) for _ in range(rng.randint(2, 14)))
+        own, parts = spans.sentences(text), passages.tokens(text)
+        starts = list(itertools.accumulate(map(len, parts), initial=0))
+        gone = {c for a, b, _ in passages.runs(parts) for c in range(starts[a], starts[b])}
+        ends = list(itertools.accumulate(map(len, own), initial=0))
+        for at, _ in spans.runs(own, spans.SPAN, spans.MIN_WORDS):
+            assert {c for c in range(ends[at], ends[at + 2]) if not text[c].isspace()} <= gone
+
+
 def test_urls(spark):
     urls = ["http://A.Example.ORG/es/x?y", "https://b.com", None, "nothing", "x://com/fr/#", "x://a.com/de/", "http://org", "http://www.example.org/en/12", "x://notorg/", "x://bad.net/a"]
     pages = spark.createDataFrame([*enumerate(urls), *[(100 + i, "x://bad.net/") for i in range(30)], *[(300 + i, f"x://h{i}.good.com/") for i in range(60)]], "page_id long, url string")
