@@ -156,6 +156,30 @@ def test_passages_of_short_sentences(spark, odd, none):
         assert "".join(passages.tokens(text)) == text
 
 
+def test_passages_at_any_offset(spark):
+    """Of a passage of 51 words or more, at most WINDOW words stay at each end, against brute force over words."""
+    rng = random.Random(8)
+    words = lambda n, marks: [rng.choice("abcdefghij") + str(rng.randrange(300)) + rng.choice(marks) for _ in range(n)]
+    texts, where = {}, {}
+    for i in range(120):
+        passage = words(rng.randint(51, 90), [["", "", ",", "."], [""], ["", "", "", "", "", "", "", "."]][i % 3])
+        a, b = words(rng.randint(0, 40), ["", "", ".", "!"]), words(rng.randint(0, 40), ["", ".", ";"])
+        texts[i] = " ".join([*words(rng.randint(0, 40), ["", "."]), *passage, *words(rng.randint(0, 9), ["", "."])])
+        texts[1000 + i] = " ".join([*a, *passage, *b])
+        where[1000 + i] = (len(a), len(a) + len(passage), len(a) + len(passage) + len(b))
+    got = {r.doc_id: r for r in passages.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i in range(120):
+        assert got[i].text == texts[i]
+        full, (a, b, n) = texts[1000 + i].split(), where[1000 + i]
+        core = full[a + passages.WINDOW : b - passages.WINDOW]
+        left = got[1000 + i].text.split()
+        assert not set(zip(core, core[1:])) & set(zip(left, left[1:]))
+        assert left[: a] == full[: a] and left[len(left) - (n - b) :] == full[b:]
+    one = " ".join(words(60, [""]))
+    same = {r.doc_id: r.text for r in passages.deduplicated(spark.createDataFrame([(1, one), (2, one), (3, "x y " * 100), (4, one[:60]), (5, one[:60])], "doc_id long, text string")).collect()}
+    assert same[1] == one and same[2] == "" and same[3].startswith("x y ") and same[4] == one[:60] and same[5] == ""
+
+
 def test_passages_cover_what_spans_do():
     rng = random.Random(6)
     for _ in range(300):
