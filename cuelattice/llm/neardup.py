@@ -1,29 +1,35 @@
 """Near-duplicate classes by bottom-k sketches.
 
-A document's set holds a 64-bit hash of each distinct run of N words; its sketch is the K smallest of them, so one
-hash function serves all. Documents with the same set are one class from the start. Then:
-
-1. Inverted lists: each class enters the list of each of its FIRST smallest values. Two sets with Jaccard similarity
-   t share one of them but for a chance of (1-t)^FIRST.
-2. A short list gives all its pairs. In a long one only the hub, the set whose values are the most common, is compared with every member. Two members x, y
-   that are not both near the hub must share values outside the hub's sketch: x's overlap with the hub is below C,
-   y's overlap with x is C at least. So x goes on to lists (hub, value), by as many values outside the hub as make sure
-   that it meets y, and the step repeats on those lists until none is left. No list ever emits the square of its size,
-   and a passage that thousands share leaves the game with the first hub that has it.
-3. The union sketch (the K smallest values of both) estimates the similarity of a pair; pairs far below the threshold go.
-4. Exact verification on full sets. Members near a hub, but not linked with it, may be linked with others near it. Each set is then known by
-   its difference from the hub, a few values; blocks of the unlinked ones meet blocks of all, and a matrix product over the values that occur
-   more than once gives all intersections. What a pair of blocks adds to the components goes on, not its pairs.
+A document's set holds a 64-bit hash of each distinct run of N words; its sketch is the smallest of them, so one hash
+function serves all. Documents with the same set are one class from the start. Then:
+
+1. Active classes. Each class enters the inverted list of each of its FIRST smallest values. A class goes on only if as many
+   of them have another member as a link needs (`needed`); a link fails that with a chance below MISS.
+2. Inverted lists of the active ones' K smallest values. Two linked sets share `needed` of them at least. Each class orders
+   its values by (size of the value's list, value), the same order for all, and enters only the lists of its rarest ones: of k values of which
+   c must be shared, the first k - c + 1 of both must have one in common. What thousands of otherwise different documents share is thus
+   listed by none of them.
+3. In each list the hub, the set whose values are the most common, meets every member: no list emits the square of its size. The
+   union sketch (the K smallest values of both) drops pairs whose estimate is far below the threshold, and full sets verify the rest.
+4. Members linked with the same hub are in one component, whatever else links them. An open member, not linked with its hub, may be
+   linked with any other member of that hub's lists. Blocks of open members meet blocks of all members, and a matrix product over the
+   values that occur more than once gives all intersections; of each pair of blocks only links that join components go on. Work within a hub's
+   lists thus grows with (open members) x (members), in blocks, and with their number otherwise.
 5. Components by alternating large and small stars, written to the shared folder each round.
 
+Steps 1 to 4 are a fixed number of jobs, however large or many the groups are.
+
 Defined cases: null, empty and blank texts have an empty set and link with nothing; a row without doc_id links with nothing,
-has component_id null and is kept; rows that repeat a doc_id are taken for the same document and share its component; an empty table gives no rows.
+has component_id null and is kept; rows that repeat a doc_id are each compared by their own text, and component_id is the smallest doc_id of the
+rows that are reachable; very long texts are hashed STEP bytes at a time and hold 8 bytes a word; other columns, whatever their names, are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +38,18 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.shared import bound_batches, dropped, written
 
-K, FIRST, SHORT, BLOCK = 40, 10, 8, 256
-#: Share of a sketch that two linked documents' sketches have in common at least (chance of less at 0.8: 2e-7).
-COMMON = 0.45
+FIRST, K, MISS = 20, 128, 1e-7
 #: Standard deviations below the threshold at which the union-sketch estimate still lets a pair pass.
 SLACK = 5
+#: Members that meet one copy of a hub's set; a block holds so many sets, and values, at most (or one larger set).
+SALTED, BLOCK, BLOCK_VALUES, COLUMNS = 1024, 1024, 1 << 19, 4096
+#: Bytes of text hashed at a time.
+STEP = 1 << 20
 
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BLANKS = bytes(np.flatnonzero(SPACE).tolist())
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(1, 1 << 64, 256, dtype=np.uint64)
@@ -67,177 +76,209 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def _sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
-    buf = np.frombuffer((b" " + b" ".join(texts) + b" ").translate(LOWER), np.uint8)
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of data, which begins and ends with a blank."""
+    buf = np.frombuffer(data.translate(LOWER), np.uint8)
     word = ~SPACE[buf]
     edges = np.flatnonzero(word[1:] != word[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
     up, down = _Powers.to(len(buf))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[buf] * up)])
-    words = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    chained = words[: max(0, len(words) - n + 1)].copy()
+    return starts, _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def _chained(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n words."""
+    out = words[: max(0, len(words) - n + 1)].copy()
     for k in range(1, n):
-        chained = _mixed(chained * _U(_BASE) + words[k : k + len(chained)])
+        out = _mixed(out * _U(_BASE) + words[k : k + len(out)])
+    return out
+
+
+def _own_set(words: np.ndarray, n: int) -> np.ndarray:
+    return np.unique(_chained(words, min(n, len(words)))) if len(words) else words
+
+
+def _sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    starts, words = _words(b" " + b" ".join(texts) + b" ")
+    chained = _chained(words, n)
     borders = np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in texts]))
     for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-        if b - a >= n:
-            yield np.unique(chained[a : b - n + 1])
-        elif b > a:
-            h = words[a : a + 1].copy()
-            for k in range(a + 1, b):
-                h = _mixed(h * _U(_BASE) + words[k])
-            yield h
-        else:
-            yield np.zeros(0, np.uint64)
+        yield np.unique(chained[a : b - n + 1]) if b - a >= n else _own_set(words[a:b], n)
 
 
-def shingle_sets(texts: list[str | None], n: int, step: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of each text's runs of n words (of all its words, if fewer); step: bytes at a time."""
+def _long_set(text: bytes, n: int) -> np.ndarray:
+    """Set of a text that is hashed in parts, each cut at white space."""
+    parts, at = [], 0
+    while at < len(text):
+        end = at + STEP
+        while end < len(text) and text[end] not in _BLANKS:
+            end += 1
+        parts.append(_words(b" " + text[at:end] + b" ")[1])
+        at = end
+    return _own_set(np.concatenate(parts), n)
+
+
+def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's runs of n words (of all its words, if fewer)."""
     held, size = [], 0
     for t in texts:
-        held.append((t or "").encode())
-        size += len(held[-1])
-        if size >= step:
+        data = (t or "").encode()
+        if held and size + len(data) > STEP:
             yield from _sets(held, n)
             held, size = [], 0
+        if len(data) > STEP:
+            yield _long_set(data, n)
+        else:
+            held.append(data)
+            size += len(data)
     if held:
         yield from _sets(held, n)
 
 
+def _signed(s: np.ndarray) -> np.ndarray:
+    """As 64-bit integers whose order is the unsigned one."""
+    return (s ^ _U(1 << 63)).view(np.int64)
+
+
+def text_hash() -> Column:
+    return F.xxhash64("text")
+
+
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if nothing can link with it) and sketch of every document."""
+    """doc_id, text_hash, n_shingles, digest of the set (null if nothing can link with it) and its FIRST smallest values, of every row."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, digests, sketch = [], [], []
-            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), n), strict=True):
+            sizes, digests, low = [], [], []
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(2).to_pylist(), n), strict=True):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and i is not None else None)
-                sketch.append((s[:K] ^ _U(1 << 63)).view(np.int64))  # signed order is then the unsigned one
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sketch"])
+                low.append(_signed(s[:FIRST]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "digest", "low"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return docs.select("doc_id", text_hash().alias("h"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, low array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """id, s (packed sorted hashes) of the documents in ids (id)."""
+def full_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """id, n, s (packed sorted hashes) and sketch of the rows in chosen (id, doc_id, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "s"])
+            sets = list(shingle_sets(b.column(1).to_pylist(), n))
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_signed(s[:K]) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "n", "s", "sketch"])
 
-    own = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
-    return own.mapInArrow(run, "id long, s binary")
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", text_hash().alias("text_hash"), "text")
+    own = named.join(chosen.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    return own.select("id", "text").mapInArrow(run, "id long, n long, s binary, sketch array<long>")
 
 
 # --- lists and hubs --------------------------------------------------------------------------------------------------
 
 
-def _pairs(entries: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, hub) to compare, from list entries (key, id, ord, far); the hub is the smallest (ord, id). A list whose members are all near the hub
-    that they come from is done."""
-    me = F.struct("ord", "id")
-    lists = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(me).alias("hub"), F.max("far").alias("any_far")).where("size > 1 AND any_far").drop("any_far")
-    both = entries.join(lists, "key")
-    long = both.where((F.col("size") > SHORT) & (F.col("id") != F.col("hub.id"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("hub"))
-    members = both.where(F.col("size") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "far"))).alias("m"))
-    # At most SHORT members, so at most SHORT * (SHORT - 1) / 2 pairs.
-    short = members.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, SHORT)).alias("y")).where("x.far OR y.far")
-    short = short.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(False).alias("hub"))
-    return long.unionByName(short).groupBy("a", "b").agg(F.max("hub").alias("hub"))
-
-
-def _explored(pairs: DataFrame, sketched: DataFrame, compare: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[list[DataFrame], list[str]]:
-    """Compare pairs, then those that follow from hubs, until none is left. sketched: id, n, ord, sketch; only those still in play go on to the
-    next round. compare: pairs (a, b, hub) and sketched -> (a, b, hub, good, n and ord of b, rest: values of b outside the hub a by which b goes on,
-    and its sketch if it does). Returns the tables of all compared pairs."""
-    tables, paths = [], []
-    while True:
-        done, path = written(compare(pairs, sketched), "pairs")
-        tables.append(done.select("a", "b", "hub", "good"))
-        paths.append(path)
-        on = done.where("sketch IS NOT NULL")
-        if on.isEmpty():
-            return tables, paths
-        entries = on.select(F.col("a").alias("h"), F.col("b").alias("id"), "ord", (~F.col("good")).alias("far"), F.explode("rest").alias("v"))
-        pairs = _pairs(entries.select(F.xxhash64("h", "v").alias("key"), "id", "ord", "far"))
-        sketched = on.groupBy(F.col("b").alias("id")).agg(F.first("n").alias("n"), F.first("ord").alias("ord"), F.first("sketch").alias("sketch"))
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+def least_common(k: int, t: float, miss: float = MISS) -> int:
+    """Values of their k smallest that two sets of similarity t share at least, but for a chance of miss: of the union's k smallest each is
+    shared with probability t."""
+    c, below = 0, (1 - t) ** k
+    while below <= miss:
+        c += 1
+        below += math.comb(k, c) * t**c * (1 - t) ** (k - c)
+    return c
+
 
+def needed(size: Column, k: int, percent: int) -> Column:
+    """Of its k smallest values, how many a set of this size shares with a linked one at least. Where both must be whole in k, exactly."""
+    exact = F.ceil(size * percent / 100).cast("int")
+    return F.when(size * 100 <= k * percent, exact).otherwise(F.least(exact, F.lit(least_common(k, percent / 100))))
 
-def _common(x: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.size(x) * COMMON).cast("int"))
 
+def _shared(values: DataFrame) -> DataFrame:
+    """values (id, n, v) that several ids have, with their number (size)."""
+    return values.join(values.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "v")
 
-def _by_sketch(t: float) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Compares sketches. A hub's pair is good from the common share on; another, if the union sketch estimates the similarity near t."""
 
-    def compare(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-        side = lambda k: sketched.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("ord").alias(f"ord{k}"), F.col("sketch").alias(f"s{k}"))
-        p = pairs.join(side("a"), "a").join(side("b"), "b")
-        p = p.withColumn("both", F.array_intersect("sa", "sb")).withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K))
-        slack = SLACK * (t * (1 - t) / K) ** 0.5
-        estimate = F.size(F.array_intersect("union", "both")) / F.size("union")
-        full = (F.col("na") <= K) & (F.col("nb") <= K)
-        able = (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9) & F.when(full, F.size("both") >= F.size(F.array_union("sa", "sb")) * t - 1e-9).otherwise(estimate >= t - slack)
-        near = F.size("both") >= _common(F.col("sb"))
-        outside = F.array_except("sb", "sa")
-        # Far members: enough values to leave fewer outside than must be shared; near ones: all.
-        few = F.size("sb") - _common(F.col("sb")) + 1
-        few = F.when(F.size("both") <= 0.3 * F.size("sb"), F.least(F.lit(FIRST), few)).otherwise(few)
-        rest = F.when(F.col("hub"), F.when(near, outside).otherwise(F.slice(outside, 1, few)))
-        p = p.select("a", "b", "hub", F.when(F.col("hub"), near).otherwise(able).alias("good"), F.col("nb").alias("n"), F.col("ordb").alias("ord"), rest.alias("rest"), "sb")
-        return p.withColumn("sketch", F.when(F.col("hub") & (F.size("rest") > 0), F.col("sb"))).drop("sb")
+def list_entries(sets: DataFrame, percent: int) -> DataFrame:
+    """id, weight (how common its values are), keys (the lists that it enters)."""
+    mine = _shared(sets.select("id", "n", F.explode("sketch").alias("v"))).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("size", "v"))).alias("vs"), F.sum("size").alias("weight"))
+    rare = F.size("vs") - needed(F.col("n"), K, percent) + 1  # values that no one shares are the rarest
+    return mine.where(rare > 0).select("id", "weight", F.slice("vs", 1, rare)["v"].alias("keys"))
 
-    return compare
 
+def hub_pairs(entries: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): a is the hub of a list that b is in."""
+    each = entries.select("id", "weight", F.explode("keys").alias("key"))
+    hubs = each.groupBy("key").agg(F.min(F.struct(-F.col("weight"), F.col("id"))).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    return each.join(hubs.select("key", F.col("hub.id").alias("a")), "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Full sets compared: (a, b, hub, good, na, n, rest: the difference between both if a is a hub); good: 100 * intersection >= percent * union."""
+
+def _linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(one), len(other)))
+    if 100 * small < percent * large:
+        return False
+    t = percent / 100
+    union = np.union1d(one[:K], other[:K])[:K]
+    if large > K:
+        both = np.isin(union, one[:K], assume_unique=True) & np.isin(union, other[:K], assume_unique=True)
+        if both.mean() < t - SLACK * math.sqrt(t * (1 - t) / K):
+            return False
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * common >= percent * (small + large - common)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n of b, good): whether 100 * intersection >= percent * union. A hub's set comes once for each SALTED of its members, at their head."""
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("parts"))
+    salted = pairs.join(shares.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
+    heads = shares.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    both = salted.withColumn("member", F.lit(1)).unionByName(heads.withColumn("member", F.lit(0)))
+    rows = both.join(sets.select(F.col("id").alias("b"), "s").hint("merge"), "b").repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
         for batch in batches:
-            hubs, packed_a, packed_b = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            good, na, sizes, rests = [], [], [], []
-            for hub, one, other in zip(hubs, packed_a, packed_b, strict=True):
-                sa, sb = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
-                differ = np.setxor1d(sa, sb, assume_unique=True)
-                union = (len(sa) + len(sb) + len(differ)) // 2
-                good.append(100 * (union - len(differ)) >= percent * union)
-                na.append(len(sa))
-                sizes.append(len(sb))
-                rests.append(differ.view(np.int64) if hub else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good, pa.bool_()), pa.array(na, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rests, pa.list_(pa.int64()))], ["a", "b", "hub", "good", "na", "n", "rest"])
-
-    p = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
-    return p.select("a", "b", "hub", "sa", "sb").mapInArrow(run, "a long, b long, hub boolean, good boolean, na long, n long, rest array<long>")
-
-
-def _new_links(x: tuple[list, list, list], y: tuple[list, list, list, list], percent: int) -> list[tuple[int, int]]:
-    """Links between unlinked members x (ids, sizes, differences) and members y (and whether linked with the hub) that their components need."""
-    ids_x, ids_y, linked = np.array(x[0]), np.array(y[0]), np.array(y[3])
-    size_x, size_y = [np.array([len(d) for d in side[2]]) for side in (x, y)]
-    values, at, counts = np.unique(np.concatenate([np.array(d, np.int64) for side in (x, y) for d in side[2]]), return_inverse=True, return_counts=True)
+            out: list[list] = [[], [], [], []]
+            for a, b, member, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(s, np.uint64)
+                if not member:
+                    hub = own
+                    continue
+                for col, v in zip(out, (a, b, len(own), _linked(hub, own, percent)), strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "n", "good"])
+
+    return rows.select("a", "b", "member", "s").mapInArrow(run, "a long, b long, n long, good boolean")
+
+
+def _intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, (len(xs), len(ys)), from the values that occur more than once, COLUMNS of them at a time."""
+    every = [*xs, *ys]
+    rows = np.repeat(np.arange(len(every)), [len(s) for s in every])
+    _, at, counts = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     often = counts > 1
-    column = np.cumsum(often) - 1
-    rows = np.repeat(np.arange(len(ids_x) + len(ids_y)), np.concatenate([size_x, size_y]))
-    dense = np.zeros((len(ids_x) + len(ids_y), int(often.sum())), np.float32)
-    dense[rows[often[at]], column[at[often[at]]]] = 1
-    both = (dense[: len(ids_x)] @ dense[len(ids_x) :].T).round().astype(np.int64)
-    n = np.array(x[1])[:, None] + np.array(y[1])[None]
-    differ = size_x[:, None] + size_y[None] - 2 * both
-    link = (100 * (n - differ) >= percent * (n + differ)) & (ids_x[:, None] != ids_y[None])
-    out, up = [], {}
-
-    def root(i: int) -> int:
+    keep = often[at]
+    rows, at = rows[keep], (np.cumsum(often) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    total = np.zeros((len(xs), len(ys)))
+    for first in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(at, (first, first + COLUMNS))
+        dense = np.zeros((len(every), COLUMNS), np.float32)
+        dense[rows[a:b], at[a:b] - first] = 1
+        total += dense[: len(xs)] @ dense[len(xs) :].T
+    return total.round().astype(np.int64)
+
+
+def _new_links(x: list[tuple], y: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between open members x (id, set, good) and members y that their components need."""
+    both = _intersections([r[1] for r in x], [r[1] for r in y])
+    sizes = np.array([len(r[1]) for r in x])[:, None] + np.array([len(r[1]) for r in y])[None]
+    ids_y, linked = np.array([r[0] for r in y]), np.array([r[2] for r in y])
+    link = (100 * both >= percent * (sizes - both)) & (np.array([r[0] for r in x])[:, None] != ids_y[None])
+    out, up = [], {}  # None stands for the hub
+
+    def root(i: int | None) -> int | None:
         while up.get(i, i) != i:
             up[i] = i = up.get(up[i], up[i])
         return i
@@ -245,38 +286,50 @@ def _new_links(x: tuple[list, list, list], y: tuple[list, list, list, list], per
     for i in np.flatnonzero(link.any(1)).tolist():
         first = np.flatnonzero(link[i] & linked)[:1].tolist()  # those are connected through the hub already
         for j in first + np.flatnonzero(link[i] & ~linked).tolist():
-            a, b = int(ids_x[i]), -1 if linked[j] else int(ids_y[j])
-            ra, rb = root(a), root(b)
+            ra, rb = root(x[i][0]), root(None if linked[j] else int(ids_y[j]))
             if ra != rb:
                 up[ra] = rb
-                out.append((a, int(ids_y[j])))
+                out.append((x[i][0], int(ids_y[j])))
     return out
 
 
-def _within_groups(verified: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of a hub of which at least one is not linked with it."""
-    near = verified.where("hub")
-    open_hubs = near.groupBy("a").agg(F.count("*").alias("size"), F.bool_and("good").alias("done")).where("NOT done AND size > 1").drop("done")
-    members = near.join(open_hubs.hint("merge"), "a").select("a", "size", "b", "n", "rest", "good", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)).alias("block"))
-    block = lambda df: df.groupBy("a", "block").agg(F.collect_list(F.struct("b", "n", "rest", "good")).alias("m"))
-    every = block(members).select("a", F.col("m").alias("y"))
-    unlinked = block(members.where("NOT good")).select("a", F.col("m").alias("x"))
+def within_groups(done: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a hub's lists of which at least one is open. done: as verified gives it."""
+    blocks = lambda size, values: F.greatest(F.ceil(size / BLOCK), F.ceil(values / BLOCK_VALUES)).cast("int")
+    is_open = F.col("good") == F.lit(False)
+    groups = done.groupBy("a").agg(F.count("*").alias("size"), F.sum("n").alias("values"), F.count_if(is_open).alias("open"), F.sum(F.when(is_open, F.col("n"))).alias("open_values")).where("open > 0 AND size > 1")
+    groups = groups.select("a", blocks(F.col("open"), F.col("open_values")).alias("x_blocks"), blocks(F.col("size"), F.col("values")).alias("y_blocks"))
+    members = done.join(groups.hint("merge"), "a").join(sets.select(F.col("id").alias("b"), "s").hint("merge"), "b")
+    place = lambda of: F.pmod(F.xxhash64("b"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    xs = members.where(is_open).select("a", place("x_blocks").alias("i"), every("y_blocks").alias("j"), F.lit(0).alias("side"), "b", "good", "s")
+    ys = members.select("a", every("x_blocks").alias("i"), place("y_blocks").alias("j"), F.lit(1).alias("side"), "b", "good", "s")
+    cells = xs.unionByName(ys).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = lambda m, *names: tuple([row[k] for row in m] for k in names)
+        cell, x, y, links = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                found = _new_links(fields(x, "b", "n", "rest"), fields(y, "b", "n", "rest", "good"), percent)
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            for a, i, j, side, b, good, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, i, j) != cell:
+                    links += _new_links(x, y, percent) if x and y else []
+                    cell, x, y = (a, i, j), [], []
+                (y if side else x).append((b, np.frombuffer(s, np.uint64), good))
+            yield out()
+            links = []
+        links = _new_links(x, y, percent) if x and y else []
+        yield out()
 
-    return unlinked.hint("merge").join(every, "a").select("x", "y").repartition(F.xxhash64("x"), F.xxhash64("y")).mapInArrow(run, "a long, b long")
+    return cells.select("a", "i", "j", "side", "b", "good", "s").mapInArrow(run, "a long, b long")
 
 
 # --- components ------------------------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> tuple[DataFrame, str | None]:
+def components(links: DataFrame) -> tuple[DataFrame, str]:
     """(id, root) of every linked id but the roots; root: the smallest id that is reachable. links: (a, b)."""
     edges, path = written(links.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).where("id != root").distinct(), "edges")
     mark = None
@@ -298,27 +351,38 @@ def components(links: DataFrame) -> tuple[DataFrame, str | None]:
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
-    spark, t = docs.sparkSession, percent / 100
+    """doc_id, text_hash, n_shingles, component_id, kept, root of every row; root: the same number for all rows of a component, null for empty sets
+    and rows without doc_id."""
+    spark = docs.sparkSession
     made, made_at = written(sketches(docs, n_words), "sketches")
-    classes, classes_at = written(made.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    values = F.slice("sketch", 1, F.least(F.lit(FIRST), F.size("sketch") - _common(F.col("sketch")) + 1))
-    # The more others share a set's values, the sooner it is a hub: what a group has in common then leaves with its first hub.
-    values_of = classes.select("id", F.explode(values).alias("key"))
-    common = values_of.join(values_of.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("id").agg((-F.sum("size")).alias("ord"))
-    ranked, ranked_at = written(classes.select("id", "n", "sketch").join(common.hint("merge"), "id"), "ranked")
-    entries = ranked.select("id", "ord", F.explode(values).alias("key"), F.lit(True).alias("far"))
-    near, near_at = _explored(_pairs(entries), ranked, _by_sketch(t))
-    pairs, pairs_at = written(_union(near).where("good").groupBy("a", "b").agg(F.max("hub").alias("hub")), "near")
-    dropped(spark, ranked_at, *near_at)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    first_rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sets, sets_at = written(full_sets(first_rows, ids, n_words).groupBy("id").agg(F.first("s").alias("s")), "sets")
-    done, done_at = written(_verified(pairs, sets, percent), "verified")
-    links = done.where("good").select("a", "b").unionByName(_within_groups(done, percent))
-    roots, _ = components(links)
-    dropped(spark, pairs_at, sets_at, done_at)
-    of_class = classes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component"))
-    found = made.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    named = made.where("digest IS NOT NULL")
+    # A class goes by its smallest doc_id, or by its digest where a doc_id has several sets.
+    mark = F.xxhash64("digest")
+    twins, twins_at = written(named.groupBy("doc_id").agg(F.min(mark).alias("least"), F.max(mark).alias("most")).where("least != most").select("doc_id", F.lit(True).alias("twin")), "twins")
+    repeated = not twins.isEmpty()
+    if repeated:
+        named = named.join(twins.hint("merge"), "doc_id", "left").withColumn("name", F.when(F.col("twin"), mark).otherwise(F.col("doc_id")))
+    else:
+        named = named.withColumn("name", F.col("doc_id"))
+    classes = named.groupBy("digest").agg(F.min("name").alias("id"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("low").alias("low"))
+    classes, classes_at = written(classes, "classes")
+    active = _shared(classes.select("id", "n", F.explode("low").alias("v"))).groupBy("id", "n").count().where(F.col("count") >= needed(F.col("n"), FIRST, percent))
+    chosen = classes.select("id", "first.doc_id", "first.text_hash").join(active.select("id").hint("merge"), "id", "left_semi")
+    sets, sets_at = written(full_sets(docs, chosen, n_words), "sets")
+    entries, entries_at = written(list_entries(sets, percent), "entries")
+    pairs, pairs_at = written(hub_pairs(entries), "pairs")
+    dropped(spark, entries_at)
+    done, done_at = written(verified(pairs, sets, percent), "verified")
+    roots, roots_at = components(done.where("good").select("a", "b").unionByName(within_groups(done, sets, percent)))
+    dropped(spark, sets_at, pairs_at, done_at)
+    of_class = classes.select("digest", "id", "first.doc_id").join(roots, "id", "left").select("digest", "doc_id", F.coalesce("root", "id").alias("root"))
+    if repeated:
+        least = of_class.groupBy("root").agg(F.min("doc_id").alias("component"))
+        of_class = of_class.join(least, "root")
+    else:
+        of_class = of_class.withColumn("component", F.col("root"))
+    found = made.select("doc_id", "text_hash", "n_shingles", "digest").join(of_class.select("digest", "root", "component"), "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out, _ = written(found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "root"), "components")
+    dropped(spark, made_at, twins_at, classes_at, roots_at)
+    return out

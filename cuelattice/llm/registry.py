@@ -23,7 +23,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_lsh_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
