@@ -28,9 +28,14 @@ def _own_scratch() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one of our own only where none is named."""
+    """The shared folder that the cluster names. Where none is named: the warehouse, which is shared too; a temporary folder only where
+    driver and executors are one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return named or _own_scratch()
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return _own_scratch()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cuelattice-scratch"
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
