@@ -26,10 +26,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the smallest doc_id; rows that repeat a doc_id count once. Rows without doc_id stay."""
-    kept = neardup.near_duplicates(docs, n_words=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group stays, that with the smallest doc_id; rows that repeat both doc_id and text count once, those that repeat a doc_id
+    with another text are documents of their own. Rows without doc_id stay."""
+    found = neardup.near_duplicates(docs, n_words=5, percent=80).where("kept AND doc_id IS NOT NULL")
+    first = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    kept = first.unionByName(found.where("root IS NULL").select("doc_id", "text_hash").distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"), F.col("doc_id").alias("own_id"), neardup.text_hash().alias("own_hash"))
+    kept = kept.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))
+    named = rows.where("own_id IS NOT NULL").join(kept.hint("merge"), ["own_id", "own_hash"], "left_semi").dropDuplicates(["own_id", "own_hash"])
+    return named.select("whole_row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +45,11 @@ def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mixing.planned(docs).groupBy(F.col("doc_id").alias("id_")).agg(F.max("copies").alias("copies"))
-    both = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own_")).join(plan.hint("merge"), F.col("own_").eqNullSafe(F.col("id_")))
-    return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    return mixing.repeated(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, BYTE_BPE, public_tokenizers.PATTERN, bpe.FEW)
+    return bpe.digests(docs, BYTE_BPE, public_tokenizers.PATTERN)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("span_dedup", span_dedup), ("source_mixing", source_mixing), ("tokens", tokens)]
