@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from cuelattice.llm.shared import bound_batches
 
 #: Stretches between blanks that a worker keeps with their ids: so many new ones beside as many older ones.
-KEPT = 350_000
+KEPT = 200_000
 #: Longer stretches are encoded afresh each time.
 CACHE_CHARS = 64
 #: Characters of text split, and bytes of pre-tokens merged, at a time (or one longer text, or pre-token).
-UNIT, MERGED = 1 << 20, 1 << 18
+UNIT, MERGED = 1 << 18, 1 << 16
 #: The two levels hold ranks below 2 ** 18.
 BITS = [1 << i for i in range(1024)]
 
@@ -318,7 +318,7 @@ def decoded(packed: Column, path: str, pattern: str) -> Column:
 
 def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (packed), n_tokens and the decoded bytes of every whole text. No shuffle: rows are independent."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 500, 4 << 20)
     ids = docs.select("doc_id", encoded(F.col("text"), path, pattern).alias("ids"))
     return ids.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), decoded(F.col("ids"), path, pattern).alias("decoded"))
 
