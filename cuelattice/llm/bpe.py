@@ -6,7 +6,7 @@ words says which buckets hold entries, so find-first-set gives the next rank in
 whose pair has changed meanwhile are stale and are skipped when they come up. Within a bucket the leftmost position goes
 first, as the merge rule asks; should a merge make a pair of lower rank, the rest of the bucket waits again.
 
-A worker keeps the ids of stretches between blanks that it met lately; of a batch only the new ones go through the queue, and texts that
+A task keeps the ids of stretches between blanks that it met lately; of a batch only the new ones go through the queue, and texts that
 repeat in a batch are encoded once.
 
 Defined cases: null and empty texts give no ids; a vocabulary that lacks a needed byte raises KeyError; very long texts are split at blanks
@@ -20,17 +20,17 @@ import base64
 import functools
 import re
 from array import array
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.llm.shared import bound_batches
 
-#: Stretches between blanks that a worker keeps with their ids: so many new ones beside as many older ones.
+#: Stretches between blanks that a task keeps with their ids: so many new ones beside as many older ones.
 KEPT = 200_000
 #: Longer stretches are encoded afresh each time.
 CACHE_CHARS = 64
@@ -292,35 +292,29 @@ class Codec:
         return [out[p] for p in packed]
 
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
+
 @functools.lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
-    """One per worker process, with what it keeps, for all tasks that it runs."""
+    """One per worker process; what it keeps is for one task, so that idle workers hold the vocabulary alone."""
     return Codec(read_ranks(path), pattern)
 
 
-def encoded(text: Column, path: str, pattern: str) -> Column:
-    """Packed ids (binary, never null) of a text column. Ids are little-endian unsigned 32-bit integers."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array(codec(path, pattern).encode_all(texts.to_pylist()), pa.binary())
-
-    return F.arrow_udf(run, "binary")(text)
-
-
-def decoded(packed: Column, path: str, pattern: str) -> Column:
-    """The bytes that packed ids spell."""
-
-    def run(ids: pa.Array) -> pa.Array:
-        return pa.array(codec(path, pattern).decode_all(ids.to_pylist()), pa.binary())
-
-    return F.arrow_udf(run, "binary")(packed)
-
-
 def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (packed), n_tokens and the decoded bytes of every whole text. No shuffle: rows are independent."""
     bound_batches(docs.sparkSession, 500, 4 << 20)
-    ids = docs.select("doc_id", encoded(F.col("text"), path, pattern).alias("ids"))
-    return ids.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), decoded(F.col("ids"), path, pattern).alias("decoded"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for b in batches:
+            ids = own.encode_all(b.column(1).to_pylist())
+            cols = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(own.decode_all(ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "ids", "n_tokens", "decoded"])
+        own.forget()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -70,7 +70,7 @@ class _Powers:
     @classmethod
     def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            m = max(2 * n, 1 << 21)
+            m = max(n, STEP + 2)
             make = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, base, np.uint64)]))
             cls.up, cls.down = make(_BASE), make(pow(_BASE, -1, 1 << 64))
         return cls.up[:n], cls.down[:n]
