@@ -5,15 +5,18 @@ window; a filter of width w is a table (byte, filter) for each of its w offsets,
 Max pooling over the window and ReLU give one feature per filter, and a softmax layer the languages' probabilities.
 A document's probabilities are the mean over all of its windows.
 
-Training: Adam on a bounded sample of labelled documents, the same number per language at most (PER_LANG, chosen by
-hash), of each up to TRAIN_WINDOWS evenly spaced windows. Prediction reads whole texts.
+Training: Adam on a bounded sample of labelled windows, at most PER_LANG per language, chosen by hash from all windows of all labelled
+texts that are not held out. Prediction reads whole texts.
 
 Defined cases: null texts and texts without a letter get `und` and score 0; with no labelled text at all every text
-gets `und`; ties go to the language that comes first in order; rows are independent, so repeats change nothing.
+gets `und`; ties go to the language that comes first in order; a row without doc_id is not held out, and not learned from; rows that
+repeat are learned from once and are each judged; very long texts are judged a few windows at a time; other columns, whatever their
+names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from cuelattice.llm.shared import bound_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: Documents per language, and windows per document, to train on at most.
-PER_LANG, TRAIN_WINDOWS = 500, 6
+#: Windows per language to train on at most.
+PER_LANG = 3000
 EPOCHS, BATCH, RATE, DECAY = 8, 128, 0.01, 1e-4
 #: Symbol after a text's end; its table rows keep a filter from matching there.
 PAD, OFF = 256, -1e4
@@ -127,28 +130,43 @@ def train(langs: list[str], x: np.ndarray, y: np.ndarray, seed: int = 1) -> Net:
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def sampled_windows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, bytes]]:
+    """(lang, window) of the labelled documents that are not held out: of each language at most per_lang windows, those of least hash.
+    Every window of every such text can be chosen; they are counted, hashed and cut on executors, and only the chosen ones reach the driver."""
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
+    rows = rows.select("lang", F.encode("text", "UTF-8").alias("data"), F.xxhash64("doc_id", "text").alias("mark"))
+    rows = rows.withColumn("last", F.floor((F.octet_length("data") - 1) / WINDOW).cast("int"))
+    totals = rows.select("lang", "mark", "last").distinct().groupBy("lang").agg(F.sum(F.col("last") + 1).alias("n")).collect()  # one row per language
+    if not totals:
+        return []
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 1.2 * per_lang / r.n)) for r in totals], "lang string, share double")
+    place = lambda i: F.shiftrightunsigned(F.xxhash64("mark", i), 11) / float(1 << 53)
+    chosen = F.filter(F.sequence(F.lit(0), "last"), lambda i: place(i) < F.col("share"))
+    cut = F.transform(chosen, lambda i: F.struct(place(i).alias("place"), F.substr("data", i * WINDOW + 1, F.lit(WINDOW)).alias("window")))
+    # One row per language, so its size is known. A row that repeats counts once.
+    found = rows.join(F.broadcast(shares), "lang").select("lang", F.explode(cut).alias("w")).select("lang", "w.place", "w.window").distinct().collect()
+    seen: Counter[str] = Counter()
+    out = []
+    for r in sorted(found):
+        seen[r.lang] += 1
+        if seen[r.lang] <= per_lang:
+            out.append((r.lang, bytes(r.window)))
+    return out
 
 
 def fit(docs: DataFrame) -> Net | None:
-    """Train on the labelled documents that are not held out. Ids are chosen first, then only their texts are read."""
-    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out(), F.lit(True)))
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= PER_LANG).select("doc_id").distinct()
-    ids = [r.doc_id for r in ids.collect()]  # at most PER_LANG per language
-    if not ids:
+    """Train on a sample of labelled windows; every fourth is shortened to a random length, as short texts are."""
+    found = sampled_windows(docs)
+    if not found:
         return None
-    rows = sorted((r.lang, r.doc_id, r.text) for r in usable.where(F.col("doc_id").isin(ids)).collect())
-    langs = sorted({r[0] for r in rows})
-    x, y = [], []
-    for lang, _, text in rows:
-        own = windows_of(text.encode())
-        own = own[np.unique(np.linspace(0, len(own) - 1, TRAIN_WINDOWS).round().astype(int))]
-        x.append(own)
-        y += [langs.index(lang)] * len(own)
-    return train(langs, np.concatenate(x), np.array(y))
+    langs = sorted({lang for lang, _ in found})
+    rng = np.random.default_rng(2)
+    sizes = np.where(np.arange(len(found)) % 4, WINDOW, rng.integers(4, WINDOW, len(found)))
+    x = np.concatenate([windows_of(w[:n]) for (_, w), n in zip(found, sizes.tolist(), strict=True)])
+    return train(langs, x, np.array([langs.index(lang) for lang, _ in found]))
 
 
 def judge(net: Net, texts: list[str | None]) -> tuple[list[str], list[float]]:
