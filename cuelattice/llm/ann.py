@@ -12,9 +12,10 @@ entry that carries its TOP + 1 smallest ids; no more of them can be among the ne
 blocks of about BLOCK entries, and blocks of queries meet blocks of entries, whose best TOP alone go on: no bucket,
 however full, is held whole.
 
-Defined cases: vectors that are null, empty, zero, of another length than most, or with null or non-finite components take no part; rows without
-vec_id neither; rows that repeat a vec_id count once if equal, else each vector by itself; fewer candidates than TOP
-give fewer rows.
+Defined cases: vectors that are null, empty, zero, or with null or non-finite components take no part; rows without
+vec_id neither; vectors of different lengths are no candidates of each other; rows that repeat a vec_id count once if equal, else each vector by itself;
+fewer candidates than TOP give fewer rows; ties go to the smaller vec_id, at the last rank too; other columns, whatever their names, are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -112,14 +113,20 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def closest(x: np.ndarray, names: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of q the k nearest rows of x, ties to smaller names: (row of q, row of x, distance). A matrix product finds who can be
-    among them; the distances returned are computed term by term."""
-    rough = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * (q @ x.T)
+    """For each row of q the k nearest rows of x, ties to smaller names: (row of q, row of x, distance). A matrix product, on vectors less their
+    mean, finds who can be among them: rounding is bounded by the vectors' lengths, and the bound is widened by more than that. The distances
+    returned are computed term by term."""
     if x.shape[0] > k:
+        middle = x.mean(0)
+        xs, qs = x - middle, q - middle
+        xx, qq = (xs * xs).sum(1), (qs * qs).sum(1)
+        rough = qq[:, None] + xx[None] - 2 * (qs @ xs.T)
+        most = qq + xx.max()
+        slack = 64 * np.finfo(float).eps * (x.shape[1] + 4) * (most + np.sqrt(most) * np.abs(middle).max())
         bound = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        i, j = np.nonzero(rough <= (bound + 1e-9 * (1 + np.abs(rough).max(1)))[:, None])
+        i, j = np.nonzero(rough <= (bound + slack)[:, None])
     else:
-        i, j = (v.reshape(-1) for v in np.indices(rough.shape))
+        i, j = (v.reshape(-1) for v in np.indices((len(q), len(x))))
     d = distances(x[j], q[i])
     order = np.lexsort((names[j], d, i))
     i, j, d = i[order], j[order], d[order]
@@ -127,14 +134,10 @@ def closest(x: np.ndarray, names: np.ndarray, q: np.ndarray, k: int) -> tuple[np
     return i[rank < k], j[rank < k], d[rank < k]
 
 
-def fitted(classes: DataFrame) -> tuple[int, int, float] | None:
-    """Dimensions, projections per table and bucket width. classes: cls, x."""
+def fitted(classes: DataFrame, dims: int) -> tuple[int, float]:
+    """Projections per table and bucket width. classes: cls, x (all of the same length)."""
     rows = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("x").collect()
-    if not rows:
-        return None
-    sizes, counts = np.unique([len(r.x) for r in rows], return_counts=True)
-    dims = int(sizes[counts.argmax()])
-    x = np.array([r.x for r in rows if len(r.x) == dims])
+    x = np.array([r.x for r in rows])
     near = np.sort(np.stack([distances(x, q) for q in x[:200]]), axis=1)
     width = WIDTH * float(np.median(near[:, min(TOP, near.shape[1] - 1)])) or 1.0
     asked = x[:CALIBRATE]
@@ -146,7 +149,7 @@ def fitted(classes: DataFrame) -> tuple[int, int, float] | None:
                 i, j, d = closest(own, names, asked, TOP + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(d), pa.array(names[j]), pa.array([own[k].tobytes() for k in j], pa.binary())], ["q", "d", "cls", "x"])
 
-    found = classes.where(F.size("x") == dims).select("cls", "x").mapInArrow(run, "q int, d double, cls long, x binary")
+    found = classes.select("cls", "x").mapInArrow(run, "q int, d double, cls long, x binary")
     found = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "cls"))).where(F.col("r") <= TOP + 1).select("q", "x").collect()
     truth = [(r.q, np.frombuffer(r.x)) for r in found]  # CALIBRATE * (TOP + 1) rows
     theirs = np.stack([v for _, v in truth])
@@ -156,7 +159,7 @@ def fitted(classes: DataFrame) -> tuple[int, int, float] | None:
         visited = [set(h.visits(q).tolist()) for q in asked]
         if np.mean([any(k in visited[q] for k in own.tolist()) for (q, _), own in zip(truth, keys, strict=True)]) >= GOAL:
             break
-    return dims, m, width
+    return m, width
 
 
 def nearest(rows: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
@@ -167,12 +170,17 @@ def nearest(rows: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
     rank = F.dense_rank().over(W.partitionBy("x").orderBy("vec_id"))
     members = vectors.withColumn("r", rank).where(F.col("r") <= top + 1).groupBy("x").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     classes, _ = written(members.withColumn("cls", F.element_at("ids", 1)), "vectors")
-    fit = fitted(classes)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if fit is None:
-        return rows.sparkSession.createDataFrame([], schema)
-    dims, m, width = fit
-    classes = classes.where(F.size("x") == dims)
+    out = None
+    # Vectors of different lengths have no distance; each length is a search of its own.
+    for dims in sorted(r.dims for r in classes.select(F.size("x").alias("dims")).distinct().collect()):
+        found = _nearest(vectors.where(F.size("x") == dims), classes.where(F.size("x") == dims), dims, every, top)
+        out = found if out is None else out.unionByName(found)
+    return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _nearest(vectors: DataFrame, classes: DataFrame, dims: int, every: int, top: int) -> DataFrame:
+    """vectors: vec_id, x; classes: x, ids, cls."""
+    m, width = fitted(classes, dims)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = hashes(dims, m, width)
@@ -238,7 +246,7 @@ def nearest(rows: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
     merged = found.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)
     # From classes back to vectors: every query of the class meets the members of the nearest classes.
     hits = merged.join(classes.select("cls", "ids"), "cls").select("query", "score", F.explode("ids").alias("vec_id"))
-    queries = vectors.where((F.col("vec_id") % every == 0) & (F.size("x") == dims)).join(classes.select("x", F.col("cls").alias("query")), "x").select("query", F.col("vec_id").alias("query_id")).distinct()
+    queries = vectors.where(F.col("vec_id") % every == 0).join(classes.select("x", F.col("cls").alias("query")), "x").select("query", F.col("vec_id").alias("query_id")).distinct()
     pairs = queries.join(hits, "query").where("query_id != vec_id")
     final = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", final).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
