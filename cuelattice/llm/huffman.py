@@ -9,7 +9,8 @@ Documents stand in ascending doc_id order: range partitions, sorted within, and
 from the sums per partition. The driver sees the counts per id (bounded by the vocabulary) and one sum per partition.
 
 Defined cases: null and empty texts hold just the end id; documents without doc_id come first; rows that repeat
-a doc_id are each written, next to each other; an empty table gives no rows.
+a doc_id are each written, next to each other, in the order of their ids' hash; a very long text is one document of one block; a text that spells one of
+the tokenizer's special tokens gets that token's id, as from the library; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,13 +162,15 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: The tokenizer looks for these before it splits, so a text that has one goes through it whole.
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Bytes of one id in the scratch table.
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.width == "<u2" else "I"
+        return [array(kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
         known = self.known
@@ -177,8 +181,9 @@ class Words:
             known[c] = known[c[:-1]] + known[c[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, odd = self.known, [i for i, x in enumerate(texts) if x and any(c in x for c in self.ODD)]
-        parts = [(x or "").lower().split() for x in texts]
+        known, lower = self.known, [(x or "").lower() for x in texts]
+        odd = [i for i, x in enumerate(texts) if x and (any(c in x for c in self.ODD) or any(c in lower[i] for c in self.special))]
+        parts = [x.split() for x in lower]
         for i in odd:
             parts[i] = []
         every = set().union(*parts)
@@ -266,7 +271,8 @@ def write_files(docs: DataFrame, path: str, end_id: int = 1) -> tuple[DataFrame,
     lengths = code_lengths(id_counts(ids, width))
     shared = spark.sparkContext.broadcast(lengths)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").select(F.spark_partition_id().alias("part"), "doc_id", "ids")
+    hashed = ids.withColumn("h", F.xxhash64("ids"))  # parts rows of the same doc_id, or of none
+    ordered = hashed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select(F.spark_partition_id().alias("part"), "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _blocks(lambda: Code(shared.value), width, batches)
