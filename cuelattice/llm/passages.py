@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.llm.shared import bound_batches, dropped, written
-from cuelattice.llm.spans import MIN_WORDS, SPAN
+from cuelattice.llm.spans import MIN_WORDS, SPAN, repeated, with_covered
 
 WINDOW = 16
 STOPS = ".!?。！？．｡।॥؟۔։።၊။។…"
@@ -111,29 +111,29 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def run_table(docs: DataFrame, span: int, min_words: int) -> DataFrame:
-    """doc_id, at and until (its tokens), h1 and h2 (the hash) of each run that is new in its document; and, with null hashes,
+    """doc_id, own (hash of the text), at and until (its tokens), h1 and h2 (the hash) of each run that is new in its document; and, with null hashes,
     the merged ranges of those that the document had before."""
     bound_batches(docs.sparkSession)
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            cols: list[list] = [[], [], [], [], [], []]
+            for doc, own, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 seen, again = set(), []
                 for at, until, h in runs(tokens(text), span, min_words):
                     if h in seen:
                         again.append((at, until))
                         continue
                     seen.add(h)
-                    for col, v in zip(cols, (doc, at, until, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)), strict=True):
+                    for col, v in zip(cols, (doc, own, at, until, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)), strict=True):
                         col.append(v)
                 for at, until in merged(again):
-                    for col, v in zip(cols, (doc, at, until, None, None), strict=True):
+                    for col, v in zip(cols, (doc, own, at, until, None, None), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "at", "until", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "own", "at", "until", "h1", "h2"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, at int, until int, h1 long, h2 int")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("own"), "text").mapInArrow(run, "doc_id long, own long, at int, until int, h1 long, h2 int")
 
 
 def kept_text(text: Column, covered: Column) -> Column:
@@ -156,21 +156,13 @@ def kept_text(text: Column, covered: Column) -> Column:
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with `text` and a new column removed_ (n_words, n_removed, removed); callers drop what they don't need."""
+    """doc (docs' columns, with the text that is left) and removed (n_words, n_removed, removed) of every row."""
     table, at = written(run_table(docs, span, min_words), "runs")
-    new = table.where("h1 IS NOT NULL")
-    first = new.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    across = new.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "at", "until")
-    # A run that comes again in the same document is covered, whatever other documents have.
-    every = across.unionByName(table.where("h1 IS NULL").select("doc_id", "at", "until"))
-    covered, _ = written(every.groupBy("doc_id").agg(F.collect_set(F.struct("at", "until")).alias("covered")), "covered")
+    covered, _ = written(repeated(table, "at", "until").groupBy("doc_id", "own").agg(F.collect_set(F.struct("at", "until")).alias("covered")), "covered")
     dropped(docs.sparkSession, at)
-    names = docs.columns
-    # covered grows with the corpus, so it is never broadcast, however small it looks.
-    both = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id_")).join(covered.withColumnRenamed("doc_id", "id_").hint("merge"), "id_", "left")
-    both = both.select("doc", kept_text(F.col("doc.text"), F.col("covered")).alias("kept"))
-    return both.select(*[F.col("kept.text").alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in names], F.struct("kept.n_words", "kept.n_removed", "kept.removed").alias("removed_"))
+    both = with_covered(docs, covered).select("doc", kept_text(F.col("doc.text"), F.col("covered")).alias("kept"))
+    return both.select(F.struct(*[F.col("kept.text").alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]).alias("doc"), F.struct("kept.n_words", "kept.n_removed", "kept.removed").alias("removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    return without_repeats(docs.select("doc_id", "text")).select("doc_id", "removed_.n_words", "removed_.n_removed", "removed_.removed", "text")
+    return without_repeats(docs.select("doc_id", "text")).select("doc.doc_id", "removed.n_words", "removed.n_removed", "removed.removed", "doc.text")

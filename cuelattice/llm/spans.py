@@ -10,7 +10,9 @@ the smallest doc_id per hash is an aggregate with partial sums on the map side,
 share is one row per task; the join back deals such a hash anew by adaptive skew handling.
 
 Defined cases: null texts stay null and empty ones empty; a row without doc_id is neither first nor changed; rows that
-repeat a doc_id are taken for the same document, so none of them is a repeat of the other; an empty table gives no rows.
+repeat doc_id and text are the same document, so none of them is a repeat of the other; of rows that repeat a doc_id with different texts, that
+with the smaller hash of its text comes first; very long texts are cut whole, and hold one row a run; further columns stay as they are, whatever their
+names; an empty table gives no rows. Runs with fewer than MIN_WORDS words are no passage and are not looked for.
 """
 
 from __future__ import annotations
@@ -44,24 +46,38 @@ def runs(parts: list[str], span: int, min_words: int) -> Iterator[tuple[int, byt
 
 
 def span_table(docs: DataFrame, span: int, min_words: int) -> DataFrame:
-    """doc_id, at (first sentence), h1 and h2 (the hash) of each run that is new in its document; and, with null hashes, of
+    """doc_id, own (hash of the text), at (first sentence), h1 and h2 (the hash) of each run that is new in its document; and, with null hashes, of
     each that the document had before."""
     bound_batches(docs.sparkSession)
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            cols: list[list] = [[], [], [], [], []]
+            for doc, own, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 seen = set()
                 for at, h in runs(sentences(text), span, min_words):
                     again = h in seen
                     seen.add(h)
-                    for col, v in zip(cols, (doc, at, *((None, None) if again else (int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))), strict=True):
+                    for col, v in zip(cols, (doc, own, at, *((None, None) if again else (int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "at", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "own", "at", "h1", "h2"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, at int, h1 long, h2 long")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("own"), "text").mapInArrow(run, "doc_id long, own long, at int, h1 long, h2 long")
+
+
+def repeated(runs: DataFrame, *where: str) -> DataFrame:
+    """doc_id, own and the columns `where` of every run (h1, h2) that is not the first of its kind. A run comes at most once a document, but for
+    null hashes, which are repeats within the document."""
+    new = runs.where("h1 IS NOT NULL")
+    again = runs.where("h1 IS NULL").select("doc_id", "own", *where)
+    first = F.min("doc_id").alias("first")
+    if runs.groupBy("doc_id").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least != most").isEmpty():
+        least = new.groupBy("h1", "h2").agg(first, F.max("doc_id").alias("last")).where("first < last").drop("last")
+        return new.join(least, ["h1", "h2"]).where("doc_id > first").select("doc_id", "own", *where).unionByName(again)
+    # Some doc_id has several texts: the first run is that of the smallest (doc_id, hash of the text).
+    least = new.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "own")).alias("first"), F.max(F.struct("doc_id", "own")).alias("last")).where("first < last").drop("last")
+    return new.join(least, ["h1", "h2"]).where(F.struct("doc_id", "own") > F.col("first")).select("doc_id", "own", *where).unionByName(again)
 
 
 def kept_text(text: Column, covered: Column) -> Column:
@@ -80,32 +96,32 @@ def kept_text(text: Column, covered: Column) -> Column:
 
 
 def covered_sentences(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[DataFrame, str]:
-    """(doc_id, covered: sorted numbers of the sentences to remove), and the path of the scratch table behind it."""
+    """(doc_id, own, covered: sorted numbers of the sentences to remove), and the path of the scratch table behind it."""
     table, path = written(span_table(docs, span, min_words), "spans")
-    new = table.where("h1 IS NOT NULL")
-    first = new.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    across = new.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "at")
-    # A run that comes again in the same document is covered, whatever other documents have.
-    every = across.unionByName(table.where("h1 IS NULL").select("doc_id", "at"))
     numbers = F.flatten(F.collect_set(F.sequence("at", F.col("at") + span - 1)))
-    return every.groupBy("doc_id").agg(F.sort_array(F.array_distinct(numbers)).alias("covered")), path
+    return repeated(table, "at").groupBy("doc_id", "own").agg(F.sort_array(F.array_distinct(numbers)).alias("covered")), path
+
+
+def with_covered(docs: DataFrame, covered: DataFrame) -> DataFrame:
+    """doc (all of docs' columns) and covered, by row. covered grows with the corpus, so it is never broadcast, however small it looks."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id_"), F.xxhash64("text").alias("own_"))
+    found = covered.select(F.col("doc_id").alias("id_"), F.col("own").alias("own_"), "covered")
+    return rows.join(found.hint("merge"), ["id_", "own_"], "left").select("doc", "covered")
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with `text` and new columns n_sentences and covered; callers drop what they don't need."""
+    """doc (docs' columns, with the text that is left) and removed (n_sentences, covered) of every row."""
     covered, at = covered_sentences(docs, span, min_words)
     covered, _ = written(covered, "covered")
     dropped(docs.sparkSession, at)
-    names = docs.columns
-    # covered grows with the corpus, so it is never broadcast, however small it looks.
-    both = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id_")).join(covered.withColumnRenamed("doc_id", "id_").hint("merge"), "id_", "left")
+    both = with_covered(docs, covered)
     both = both.select("doc", "covered", kept_text(F.col("doc.text"), F.col("covered")).alias("kept"))
-    return both.select(*[F.col("kept.text").alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in names], F.struct(F.col("kept.n_sentences"), F.coalesce("covered", F.array().cast("array<int>")).alias("covered")).alias("removed_"))
+    return both.select(F.struct(*[F.col("kept.text").alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]).alias("doc"), F.struct(F.col("kept.n_sentences"), F.coalesce("covered", F.array().cast("array<int>")).alias("covered")).alias("removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     out = without_repeats(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("removed_.n_sentences").alias("n_sentences"), F.size("removed_.covered").cast("long").alias("n_removed"), F.array_join(F.col("removed_.covered").cast("array<string>"), ",").alias("removed"), "text")
+    return out.select("doc.doc_id", "removed.n_sentences", F.size("removed.covered").cast("long").alias("n_removed"), F.array_join(F.col("removed.covered").cast("array<string>"), ",").alias("removed"), "doc.text")
 
 
 _PLAIN = "trim(regexp_replace(lower(s), '[ \\t\\r\\n\\f\\v]+', ' ', 'g'))"
