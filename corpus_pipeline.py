@@ -21,8 +21,13 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = langid.with_language(docs.select(F.struct("*").alias("doc"), "doc_id", "text"), langid.fit(docs))
-    return judged.where((F.col("language.lang_pred") != langid.UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)).select("doc.*")
+    """Without any labelled text to learn from, only texts without a letter go."""
+    net = langid.fit(docs)
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"), "text")
+    judged = langid.with_language(rows, net).where((F.col("language.lang_pred") != langid.UNKNOWN) & (F.col("language.score") >= LEAST_SCORE))
+    return judged.select("whole_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +44,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = passages.without_repeats(docs)
-    touched = F.col("removed_.n_removed") > 0
-    out = out.where(~touched | (F.length(F.trim("text")) > 0))
-    return out.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    touched = F.col("removed.n_removed") > 0
+    out = out.where(~touched | (F.length(F.trim("doc.text")) > 0))
+    n_chars = F.when(touched, F.length("doc.text").cast("long")).otherwise(F.col("doc.n_chars")).alias("n_chars")
+    return out.select(*[n_chars if c == "n_chars" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
