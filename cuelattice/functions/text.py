@@ -17,8 +17,14 @@ who whom how why all any more most some such only own same so than too very just
 here there each few both also one two three""".split()
 # Scripts by character range, in order of the test.
 SCRIPTS = (("ar", r"[؀-ۿݐ-ݿ]"), ("zh", r"[一-鿿]"), ("ja", r"[぀-ゟ゠-ヿ]"), ("ko", r"[가-힯]"), ("ru", r"[Ѐ-ӿ]"), ("el", r"[Ͱ-Ͽ]"), ("he", r"[֐-׿]"))
+# Patterns of tags, of marks that name no sound, of closing marks and sentence ends, and of bracketed text in metrics.
 TAG = r"\[[^\]]*\]"
+TIMECODE = r"^[0-9]{2}:[0-9]{2}:[0-9]{2}"
+END_MARK = "END OF AUDIO"
+NO_SOUND = r"\?|inaudible|unintelligible|[0-9]{2}:[0-9]{2}"
 CLOSERS = "[\"'”’»）】]*$"
+TERMINAL = "[.!?…。！？‥]+[\"'”’»）】]?$"
+BRACKETED = r"\[.*?\]|\(.*?\)"
 
 
 def tokens(text: Column) -> Column:
@@ -35,8 +41,9 @@ def strip_tags(text: Column) -> Column:
 
 
 def extract_tags(text: Column) -> Column:
-    """Distinct [tags] but timecodes and the end mark."""
-    return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TAG), F.lit(0))), lambda t: ~t.rlike(r"^\[[0-9:., ]+\]$") & (F.upper(t) != "[END OF AUDIO]"))
+    """Distinct labels in [tags], but timecodes and end marks."""
+    labels = F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda t: F.trim(t))
+    return F.array_distinct(F.filter(labels, lambda t: ~t.rlike(TIMECODE) & ~t.contains(END_MARK)))
 
 
 def sentence_end(text: Column) -> Column:
@@ -44,7 +51,7 @@ def sentence_end(text: Column) -> Column:
     bare = F.regexp_replace(t, CLOSERS, "")
     last = F.regexp_replace(F.lower(F.regexp_extract(bare, r"([^ ]*)$", 1)), r"\.+$", "")
     short = bare.endswith(".") & last.isin(ABBREVIATIONS)
-    return bare.endswith("--") | (t.rlike("[.!?…。！？‥]+[\"'”’»）】]?$") & ~short)
+    return bare.endswith("--") | (t.rlike(TERMINAL) & ~short)
 
 
 def visible_chars(text: Column) -> Column:
@@ -69,8 +76,14 @@ def tags_only(text: Column) -> Column:
 
 
 def sound_tag(tag: Column) -> Column:
-    """A tag that names a sound, not a mark such as [?] or a timecode."""
-    return tag.rlike(r"^\[[^\]]*\p{L}[^\]]*\]$") & (F.upper(tag) != "[END OF AUDIO]")
+    """A tag that names a sound, not a mark such as [?] or [inaudible 00:01:02]."""
+    return tag.rlike(r"^\[[^\]]+\]$") & ~F.lower(tag).rlike(NO_SOUND)
+
+
+def keepable_tags(line: Column) -> Column:
+    """A line with tags all of which belong in subtitles: no timecode, no end mark, none empty."""
+    labels = F.transform(F.regexp_extract_all(line, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda t: F.trim(t))
+    return (F.size(labels) > 0) & F.forall(labels, lambda t: (t != "") & ~t.rlike(TIMECODE) & ~F.upper(t).contains(END_MARK))
 
 
 def plausible(start: Column, end: Column) -> Column:
@@ -82,7 +95,7 @@ def spoken_ms(word: Column) -> Column:
 
 
 def metric_words(text: Column) -> Column:
-    t = F.regexp_replace(F.lower(F.replace(text, F.lit("’"), F.lit("'"))), r"\[.*?\]|\(.*?\)", " ")
+    t = F.regexp_replace(F.lower(F.replace(text, F.lit("’"), F.lit("'"))), BRACKETED, " ")
     for old, new in CONTRACTIONS.items():
         t = F.replace(t, F.lit(old), F.lit(new))
     t = F.replace(F.regexp_replace(t, r"[^\p{L}\p{N}_\s']", " "), F.lit("'"), F.lit(""))
@@ -128,10 +141,12 @@ def polished(text: Column) -> Column:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """cl_normalize_word, cl_spoken_ms, cl_timecode_ms for SQL users."""
+    """cl_normalize_word, cl_spoken_ms, cl_timecode_ms, cl_timecode, cl_strip_tags for SQL users."""
     for name, args, body in (
         ("cl_normalize_word", "w STRING) RETURNS STRING", r"lower(regexp_replace(w, '[^\\p{L}\\p{N}_\\s]', ''))"),
         ("cl_spoken_ms", "w STRING) RETURNS INT", "least(800, greatest(150, 70 * length(w) + 50))"),
-        ("cl_timecode_ms", "t STRING) RETURNS BIGINT", "coalesce(((int(split(t, ':')[0]) * 60 + int(split(t, ':')[1])) * 60 + int(split(split(t, ':')[2], '[,.]')[0])) * 1000 + int(split(split(t, ':')[2], '[,.]')[1]), 0)"),
+        ("cl_timecode_ms", "t STRING) RETURNS BIGINT", "CASE WHEN t RLIKE '^[0-9]+:[0-9]{1,2}:[0-9]{1,2}[,.][0-9]{3}$' THEN ((bigint(split_part(t, ':', 1)) * 60 + int(split_part(t, ':', 2))) * 60 + int(split_part(replace(split_part(t, ':', 3), '.', ','), ',', 1))) * 1000 + int(split_part(replace(t, '.', ','), ',', 2)) ELSE 0 END"),
+        ("cl_timecode", "ms BIGINT) RETURNS STRING", "concat(lpad(string(ms div 3600000), greatest(2, length(string(ms div 3600000))), '0'), ':', lpad(string(ms div 60000 % 60), 2, '0'), ':', lpad(string(ms div 1000 % 60), 2, '0'), ',', lpad(string(ms % 1000), 3, '0'))"),
+        ("cl_strip_tags", "t STRING) RETURNS STRING", r"trim(regexp_replace(regexp_replace(t, '\\[[^\\]]*\\]', ' '), ' +', ' '))"),
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args} RETURN {body}")

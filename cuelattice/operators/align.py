@@ -9,23 +9,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Weighted costs of one integer: errors in the high part, substitutions in the low one.
-EDIT, SUBSTITUTION = 4096, 4097
+EDIT, SUBSTITUTION = 1 << 24, (1 << 24) + 1
 
 
 def as_letters(words: Column, dictionary: Column) -> Column:
     """A list of words as a string of one character per distinct word of the dictionary, for the built-in Levenshtein distance."""
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(dictionary, w)), 4, "0")), "UTF-16BE")
+    code = lambda n: F.when(n < 35328, 19968 + n).otherwise(22016 + n)  # noqa: E731  (no surrogates)
+    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(code(F.array_position(dictionary, w))), 4, "0")), "UTF-16BE")
     return F.array_join(F.transform(words, letter), "")
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Word edit distance of two lists; up to some 45,000 distinct words."""
+    """Word edit distance of two lists, of at most 43,519 distinct words together. Equal lists are settled by comparison."""
     d = F.array_distinct(F.concat(a, b))
-    return F.levenshtein(as_letters(a, d), as_letters(b, d))
+    return F.when(a == b, 0).otherwise(F.levenshtein(as_letters(a, d), as_letters(b, d)))
 
 
 def errors(a: str, b: str) -> Column:
-    """Least edit cost of word list a (reference) and b in one integer: `div 4096` errors, `% 4096` substitutions, fewest first. The built-in
+    """Least edit cost of word list a (reference) and b in one integer: `div EDIT` errors, `% EDIT` substitutions, fewest first. The built-in
     distance has no such split, and folds over arrays are interpreted; so a kernel does a row of costs at a time, insertions by a running minimum."""
 
     def cost(x: list[str], y: list[str]) -> int:
@@ -78,26 +79,73 @@ def pairs(a: str, b: str) -> Column:
     return F.arrow_udf(run, "array<struct<a:int,b:int,same:boolean>>")(a, b)
 
 
+def _grams(df: DataFrame, by: list[str], at: str, n: int) -> DataFrame:
+    """by, g (hash of n words), at: runs of n words that occur once per `by`. Each side is counted by its own keys before any join, so a frequent run
+    never meets itself."""
+    w = W.partitionBy(*by).orderBy(at)
+    words = [F.lead("norm", k).over(w) if k else F.col("norm") for k in range(n)]
+    g = df.select(*by, at, F.xxhash64(*words).alias("g"), words[-1].alias("last")).where("last IS NOT NULL")
+    return g.groupBy(*by, "g").agg(F.count("*").alias("c"), F.min(at).alias(at)).where("c = 1").drop("c")
+
+
 def anchors(a: DataFrame, b: DataFrame, n: int = 3) -> DataFrame:
-    """(job_id, a_idx, b_idx): n-grams that occur once on both sides. a, b: job_id, idx, norm. An equi-join on the n-gram's hash and words; each side is
-    counted by its keys before the join, so a frequent n-gram never meets itself."""
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        w = W.partitionBy("job_id").orderBy("idx")
-        g = df.select("job_id", "idx", F.concat_ws(" ", *[F.lead("norm", k).over(w) if k else F.col("norm") for k in range(n)]).alias("g"), F.lead("norm", n - 1).over(w).alias("last")).where("last IS NOT NULL")
-        return g.groupBy("job_id", "g").agg(F.count("*").alias("c"), F.min("idx").alias(name)).where("c = 1").drop("c")
+    """(job_id, a_idx, b_idx): n-grams that occur once on both sides. a, b: job_id, idx, norm. A hash join on the n-grams' 64-bit hashes."""
+    side = lambda df, name: _grams(df.select("job_id", F.col("idx").alias(name), "norm"), ["job_id"], name, n)
+    return side(a, "a_idx").join(side(b, "b_idx"), ["job_id", "g"]).drop("g")
 
-    return grams(a, "a_idx").join(grams(b, "b_idx"), ["job_id", "g"]).drop("g")
 
+def backwards(by: list[str], *order: str) -> W:
+    """All rows after this one, as those before it in the reverse order: Spark adds to such a frame row by row, while it computes one that begins at the
+    row and has no end afresh for each row, which takes the square of a job's length."""
+    return W.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
 
-def in_order(pairs: DataFrame) -> DataFrame:
-    """Anchors of which no other crosses more than it agrees with: those within the running maximum before and minimum after."""
-    w = W.partitionBy("job_id").orderBy("a_idx")
-    before = F.max("b_idx").over(w.rowsBetween(W.unboundedPreceding, -1))
-    after = F.min("b_idx").over(w.rowsBetween(1, W.unboundedFollowing))
-    ok = (F.coalesce(before, F.lit(-1)) < F.col("b_idx")) & (F.coalesce(after, F.col("b_idx") + 1) > F.col("b_idx"))
+
+def _uncrossed(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    before = F.max(b).over(W.partitionBy(*by).orderBy(a, b).rowsBetween(W.unboundedPreceding, -1))
+    after = F.min(b).over(backwards(by, a, b))
+    ok = (F.coalesce(before, F.lit(-1)) < F.col(b)) & (F.coalesce(after, F.col(b) + 1) > F.col(b))
     return pairs.withColumn("ok", ok).where("ok").drop("ok")
 
 
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Anchors that no other one crosses: those within the running maximum before and minimum after."""
+    return _uncrossed(pairs, ["job_id"], "a_idx", "b_idx")
+
+
+def aligned(ref: DataFrame, heard: DataFrame, n: int = 3) -> DataFrame:
+    """(job_id, engine, idx, pos, same): which word of what an engine heard stands for which word of the reference. ref: job_id, idx, norm;
+    heard: job_id, engine, pos, norm; each side has its own positions, from 0 on.
+
+    Runs of n words that are unique on both sides are anchors; those that others cross go. From the anchor before, and else from the one after, words
+    match on at the same distance as long as they are equal (same). Between matches, equally many words on both sides stand for each other (not same);
+    any other word has no partner. All by hash joins and windows per job and engine."""
+    by = ["job_id", "engine"]
+    found = _grams(ref.select("job_id", "idx", "norm"), ["job_id"], "idx", n).join(_grams(heard.select(*by, "pos", "norm"), by, "pos", n), ["job_id", "g"])
+    found = _uncrossed(found.select(*by, "idx", "pos"), by, "idx", "pos")
+    words = ref.select("job_id", "idx", "norm").join(heard.select(*by).distinct(), "job_id")
+    w = W.partitionBy(*by).orderBy("idx")
+    ahead = backwards(by, "idx")
+    near = words.join(found.withColumnRenamed("pos", "at"), [*by, "idx"], "left").select(
+        *by, "idx", "norm",
+        F.last(F.when(F.col("at").isNotNull(), F.struct("idx", "at")), ignorenulls=True).over(w).alias("low"),
+        F.last(F.when(F.col("at").isNotNull(), F.struct("idx", "at")), ignorenulls=True).over(ahead).alias("high"),
+    )
+    from_low, from_high = F.col("idx") - F.col("low.idx") + F.col("low.at"), F.col("idx") - F.col("high.idx") + F.col("high.at")
+    from_low = F.when(from_low < F.coalesce("high.at", from_low + 1), from_low)
+    from_high = F.when(from_high > F.coalesce("low.at", F.lit(-1)), from_high)
+    ways = near.select(*by, "idx", "norm", F.explode(F.filter(F.array_distinct(F.array(from_low, from_high)), lambda x: x.isNotNull())).alias("pos"), from_low.alias("low_pos"))
+    hits = ways.join(heard.select(*by, "pos", "norm"), [*by, "pos", "norm"])
+    hits = hits.groupBy(*by, "idx").agg(F.min(F.struct(F.coalesce(F.col("pos") != F.col("low_pos"), F.lit(True)), "pos"))["pos"].alias("pos"))
+    hits = _uncrossed(hits, by, "idx", "pos")
+    # Between neighbouring matches p and q: idx and pos both advance by as much, so distances are equal there.
+    gaps = words.join(hits, [*by, "idx"], "left")
+    before = F.last(F.when(F.col("pos").isNotNull(), F.struct("idx", "pos")), ignorenulls=True).over(w)
+    after = F.last(F.when(F.col("pos").isNotNull(), F.struct("idx", "pos")), ignorenulls=True).over(ahead)
+    gaps = gaps.select(*by, "idx", "pos", before.alias("p"), after.alias("q"))
+    swapped = F.when(F.col("q.idx") - F.col("p.idx") == F.col("q.pos") - F.col("p.pos"), F.col("p.pos") + F.col("idx") - F.col("p.idx"))
+    return gaps.select(*by, "idx", F.coalesce("pos", swapped).alias("pos"), F.col("pos").isNotNull().alias("same")).where("pos IS NOT NULL")
+
+
 def extended(pairs: DataFrame, n: int = 3) -> DataFrame:
     """Anchors' n-grams as pairs of single words (job_id, a_idx, b_idx)."""
     return pairs.select("job_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "a_idx", "b_idx").select("job_id", (F.col("a_idx") + F.col("k")).alias("a_idx"), (F.col("b_idx") + F.col("k")).alias("b_idx")).distinct()

@@ -14,20 +14,33 @@ def running(flag: Column, w: W) -> Column:
     return F.sum(flag.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
 
 
-def sentences(words: DataFrame, most: int = 60) -> DataFrame:
-    """words (job_id, idx, word, ...) with `sentence`: closed by terminal punctuation or after `most` words."""
+def sentences(words: DataFrame, most: int = 60, speaker: str | None = None) -> DataFrame:
+    """words (job_id, idx, word, ...) with `sentence`: closed by terminal punctuation, after `most` words or, if both are known, where
+    another speaker begins."""
     w = W.partitionBy("job_id").orderBy("idx")
-    s = words.withColumn("part_", running(F.coalesce(F.lag(T.sentence_end(F.col("word"))).over(w), F.lit(False)), w))
+    close = F.lag(T.sentence_end(F.col("word"))).over(w)
+    if speaker:
+        close = close | F.coalesce(F.lag(speaker).over(w) != F.col(speaker), F.lit(False))
+    s = words.withColumn("part_", running(F.coalesce(close, F.lit(False)), w))
     n = F.row_number().over(W.partitionBy("job_id", "part_").orderBy("idx"))
     s = s.withColumn("cap_", F.floor((n - 1) / most))
     return s.withColumn("sentence", F.dense_rank().over(W.partitionBy("job_id").orderBy("part_", "cap_")) - 1).drop("part_", "cap_")
 
 
+def paragraphs(spoken: DataFrame, pause_ms: int = 1750, most: int = 8) -> DataFrame:
+    """Sentences (job_id, sentence, start_ms, end_ms, speaker) with `part`, opened by a longer pause or another speaker, and `block`, every `most` sentences
+    of a part: a paragraph is a block."""
+    w = W.partitionBy("job_id").orderBy("sentence")
+    new = (F.col("start_ms") - F.lag("end_ms").over(w) > pause_ms) | (F.col("speaker").isNotNull() & ~F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) & F.lag("sentence").over(w).isNotNull())
+    g = spoken.withColumn("part", running(F.coalesce(new, F.lit(False)), w))
+    return g.withColumn("block", F.floor((F.row_number().over(W.partitionBy("job_id", "part").orderBy("sentence")) - 1) / most))
+
+
 def speaker_runs(cues: DataFrame, speaker: str, gap_ms: int) -> DataFrame:
-    """cues with `run`: a new one at another speaker or after a pause longer than gap_ms."""
+    """cues with `run`: a new one at another speaker (none is one, too) or after a pause longer than gap_ms."""
     w = W.partitionBy("job_id").orderBy("start_ms", "cue_id")
-    new = (F.lag(speaker).over(w) != F.col(speaker)) | (F.col("start_ms") - F.lag("end_ms").over(w) > gap_ms)
-    return cues.withColumn("run", running(F.coalesce(new, F.lit(False)), w))
+    other = F.lag("cue_id").over(w).isNotNull() & ~F.lag(speaker).over(w).eqNullSafe(F.col(speaker))
+    return cues.withColumn("run", running(other | F.coalesce(F.col("start_ms") - F.lag("end_ms").over(w) > gap_ms, F.lit(False)), w))
 
 
 def without_overlap(cues: DataFrame, gap_ms: int = 1) -> DataFrame:
@@ -88,7 +101,7 @@ def risk(features: list[str]) -> Column:
 def srt(cues: DataFrame) -> DataFrame:
     """(job_id, srt): each job's cues as SubRip text, in order."""
     n = F.row_number().over(W.partitionBy("job_id").orderBy("start_ms", "cue_id"))
-    block = F.concat(n.cast("string"), F.lit("\n"), T.timecode(F.col("start_ms")), F.lit(" --> "), T.timecode(F.col("end_ms")), F.lit("\n"), F.col("text"), F.lit("\n"))
+    block = F.concat(n.cast("string"), F.lit("\n"), T.timecode(F.col("start_ms")), F.lit(" --> "), T.timecode(F.col("end_ms")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
     rows = cues.select("job_id", n.alias("n"), block.alias("block"))
     return rows.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n").alias("srt"))
 
@@ -101,11 +114,16 @@ def from_srt(files: DataFrame) -> DataFrame:
 
 
 def vtt(cues: DataFrame, speaker: str) -> DataFrame:
-    """(job_id, vtt): WebVTT text with escapes and voice spans; blank lines within a cue go."""
-    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    safe = F.array_join(F.filter(F.split(safe, "\n"), lambda x: F.trim(x) != ""), "\n")
-    n = F.struct("start_ms", "cue_id", F.concat(T.timecode(F.col("start_ms"), "."), F.lit(" --> "), T.timecode(F.col("end_ms"), "."), F.lit("\n<v "), F.col(speaker), F.lit(">"), safe).alias("b"))
-    return cues.groupBy("job_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.sort_array(F.collect_list(n)), lambda x: x["b"]), "\n\n")).alias("vtt"))
+    """(job_id, vtt): WebVTT text. Cues are numbered; text and speaker are escaped, lines stripped, blank ones dropped; the first line of a cue with text
+    names the speaker, if there is one."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.filter(F.transform(F.split(escaped(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    voice = F.when((F.size(lines) > 0) & (F.col(speaker) != ""), F.concat(F.lit("<v "), escaped(F.col(speaker)), F.lit(">")))
+    body = F.concat(F.coalesce(voice, F.lit("")), F.array_join(lines, "\n"), F.when(F.size(lines) > 0, "\n").otherwise(""))
+    n = F.row_number().over(W.partitionBy("job_id").orderBy("start_ms", "cue_id"))
+    block = F.concat(n.cast("string"), F.lit("\n"), T.timecode(F.col("start_ms"), "."), F.lit(" --> "), T.timecode(F.col("end_ms"), "."), F.lit("\n"), body)
+    rows = cues.select("job_id", F.struct(n.alias("n"), block.alias("b")).alias("r"))
+    return rows.groupBy("job_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["b"]), "\n")).alias("vtt"))
 
 
 def wrapped(text: Column, cpl: int) -> Column:
@@ -168,7 +186,7 @@ def ass(cues: DataFrame, speaker: str, title: str) -> DataFrame:
 
 def joined_runs(cues: DataFrame, speaker: str) -> DataFrame:
     """One row per `run` (see speaker_runs): speaker, start_ms (not below 0), text in order."""
-    rows = F.sort_array(F.collect_list(F.struct("start_ms", "cue_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))))
+    rows = F.sort_array(F.collect_list(F.struct("start_ms", "cue_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("t"))))
     g = cues.groupBy("job_id", "run").agg(F.min(speaker).alias(speaker), F.greatest(F.lit(0), F.min("start_ms")).alias("start_ms"), rows.alias("rows"))
     return g.select("job_id", "run", speaker, "start_ms", F.array_join(F.transform("rows", lambda x: x["t"]), " ").alias("text"))
 
@@ -177,6 +195,6 @@ def transcript(cues: DataFrame, speaker: str) -> DataFrame:
     """(job_id, txt): a paragraph per run with its time and speaker."""
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     s = F.floor(F.col("start_ms") / 1000)
-    line = F.concat(F.lit("["), two(F.floor(s / 3600)), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60), F.lit("] "), speaker, F.lit(": "), "text")
+    line = F.concat(F.lit("["), two(F.floor(s / 3600)), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60), F.lit("] "), F.coalesce(F.concat(speaker, F.lit(": ")), F.lit("")), F.coalesce("text", F.lit("")))
     p = joined_runs(cues, speaker).select("job_id", F.struct("run", line.alias("line")).alias("r"))
     return p.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["line"]), "\n\n").alias("txt"))

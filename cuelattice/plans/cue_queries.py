@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuelattice.functions import text as T
 from cuelattice.operators import cues as C
 from cuelattice.plans import fixtures as X
 from cuelattice.plans.book import query
@@ -20,21 +21,27 @@ def _abbreviations() -> str:
     return ", ".join(f"'{w}'" for w in ABBREVIATIONS)
 
 
-_SENT = f"""WITH {X.TOK}, e AS (SELECT *, {_IS_END.format(_abbreviations())} AS fin FROM tok), p AS (SELECT *, sum(coalesce(pf, false)::INT) OVER (PARTITION BY job_id ORDER BY idx) AS part FROM (SELECT *, lag(fin) OVER (PARTITION BY job_id ORDER BY idx) AS pf FROM e)),
+_SENT = f"""WITH {X.TOK}, e AS (SELECT *, 'S' || (job_id + idx // 90) % 3 AS speaker, {_IS_END.format(_abbreviations())} AS fin FROM tok), p AS (SELECT *, sum(coalesce(pf OR ps <> speaker, false)::INT) OVER (PARTITION BY job_id ORDER BY idx) AS part FROM (SELECT *, lag(fin) OVER (PARTITION BY job_id ORDER BY idx) AS pf, lag(speaker) OVER (PARTITION BY job_id ORDER BY idx) AS ps FROM e)),
 q AS (SELECT *, (row_number() OVER (PARTITION BY job_id, part ORDER BY idx) - 1) // 60 AS cap FROM p), s AS (SELECT *, dense_rank() OVER (PARTITION BY job_id ORDER BY part, cap) - 1 AS sentence FROM q)"""
 
 
-@query(f"{_SENT} SELECT job_id, sentence, min(idx) AS first, max(idx) AS last, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM s GROUP BY 1, 2")
+@query(f"{_SENT} SELECT job_id, sentence, min(idx) AS first, max(idx) AS last, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(speaker) AS speaker FROM s GROUP BY 1, 2")
 def w14_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return C.sentences(X.tok(spark, d)).groupBy("job_id", "sentence").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    return _sentences(spark, d).groupBy("job_id", "sentence").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("speaker").alias("speaker"))
 
 
-@query(f"{_SENT}, t AS (SELECT job_id, sentence, min(start_ms) AS s, max(end_ms) AS e FROM s GROUP BY 1, 2), g AS (SELECT *, sum(coalesce(s - pe > 1750, false)::INT) OVER (PARTITION BY job_id ORDER BY sentence) AS part FROM (SELECT *, lag(e) OVER (PARTITION BY job_id ORDER BY sentence) AS pe FROM t)) SELECT job_id, part, (row_number() OVER (PARTITION BY job_id, part ORDER BY sentence) - 1) // 8 AS block, sentence FROM g")
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Words with speakers (by turns of 90 words) and sentences."""
+    return C.sentences(X.tok(spark, d).withColumn("speaker", F.concat(F.lit("S"), ((F.col("job_id") + F.floor(F.col("idx") / 90)) % 3).cast("string"))), speaker="speaker")
+
+
+_PARA = f"{_SENT}, t AS (SELECT job_id, sentence, min(start_ms) AS s, max(end_ms) AS e, min(speaker) AS speaker, string_agg(word, ' ' ORDER BY idx) AS text FROM s GROUP BY 1, 2), g AS (SELECT *, sum(coalesce(s - pe > 1750 OR speaker <> ps, false)::INT) OVER (PARTITION BY job_id ORDER BY sentence) AS part FROM (SELECT *, lag(e) OVER (PARTITION BY job_id ORDER BY sentence) AS pe, lag(speaker) OVER (PARTITION BY job_id ORDER BY sentence) AS ps FROM t)), pa AS (SELECT *, (row_number() OVER (PARTITION BY job_id, part ORDER BY sentence) - 1) // 8 AS block FROM g)"
+
+
+@query(f"{_PARA} SELECT job_id, part, block, sentence FROM pa")
 def w15_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs: a pause over 1.75 s opens a part, every eighth sentence a block in it."""
-    w = W.partitionBy("job_id").orderBy("sentence")
-    g = w14_sentences(spark, d).withColumn("part", C.running(F.coalesce(F.col("start_ms") - F.lag("end_ms").over(w) > 1750, F.lit(False)), w))
-    return g.select("job_id", "part", F.floor((F.row_number().over(W.partitionBy("job_id", "part").orderBy("sentence")) - 1) / 8).alias("block"), "sentence")
+    """Paragraphs: a pause over 1.75 s or another speaker opens a part, every eighth sentence a block in it."""
+    return C.paragraphs(w14_sentences(spark, d)).select("job_id", "part", "block", "sentence")
 
 
 @query(f"WITH {X.CUE}, r AS (SELECT *, sum(coalesce(pr <> role OR start_ms - pe > 800, false)::INT) OVER (PARTITION BY job_id ORDER BY start_ms, cue_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(role) OVER {_ORDER} AS pr, lag(end_ms) OVER {_ORDER} AS pe FROM cue)) SELECT job_id, run, min(role) AS role, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS cues FROM r GROUP BY 1, 2")
@@ -82,12 +89,12 @@ def o04_first_offenders(spark: SparkSession, d: str) -> DataFrame:
     return C.offences(X.cue(spark, d)).withColumn("rn", rn).where("rn <= 2").select("job_id", "rule", "cue_id")
 
 
-@query(f"WITH {X.CUE}, s AS (SELECT job_id, length(replace(text, chr(10), '')) * 1000 // (end_ms - start_ms) AS cps FROM cue) SELECT job_id, list_sort(list(cps))[count(*) // 2 + 1] AS median, max(cps) AS most, count(CASE WHEN cps > 24 THEN 1 END) AS fast, count(*) AS n FROM s GROUP BY 1")
+@query(f"WITH {X.CUE}, s AS (SELECT job_id, length(replace(text, chr(10), '')) * 1000 // (end_ms - start_ms) AS cps FROM cue) SELECT job_id, list_sort(list(cps))[count(*) // 2 + 1] AS median, max(cps) AS most, count(CASE WHEN cps > 20 THEN 1 END) AS over_20, count(CASE WHEN cps > 24 THEN 1 END) AS over_most, count(*) AS n FROM s GROUP BY 1")
 def a25_reading_speed(spark: SparkSession, d: str) -> DataFrame:
     """Characters a second; of an even number of cues the upper median."""
     cps = F.floor(F.length(F.replace("text", F.lit("\n"), F.lit(""))) * 1000 / (F.col("end_ms") - F.col("start_ms")))
     g = X.cue(spark, d).select("job_id", cps.alias("cps")).groupBy("job_id")
-    return g.agg(F.get(F.sort_array(F.collect_list("cps")), F.floor(F.count("*") / 2).cast("int")).alias("median"), F.max("cps").alias("most"), F.count(F.when(F.col("cps") > 24, 1)).alias("fast"), F.count("*").alias("n"))
+    return g.agg(F.get(F.sort_array(F.collect_list("cps")), F.floor(F.count("*") / 2).cast("int")).alias("median"), F.max("cps").alias("most"), F.count(F.when(F.col("cps") > 20, 1)).alias("over_20"), F.count(F.when(F.col("cps") > 24, 1)).alias("over_most"), F.count("*").alias("n"))
 
 
 @query(f"WITH {X.TOK}, g AS (SELECT job_id, idx, start_ms, norm || ' ' || lead(norm, 1) OVER w || ' ' || lead(norm, 2) OVER w AS gram, norm FROM tok WINDOW w AS (PARTITION BY job_id ORDER BY idx)), l AS (SELECT *, lag(idx) OVER v AS first, start_ms - lag(start_ms) OVER v AS gone FROM g WHERE gram IS NOT NULL AND norm <> '' WINDOW v AS (PARTITION BY job_id, gram ORDER BY idx)) SELECT job_id, gram, first, idx AS again FROM l WHERE gone <= 30000")
@@ -100,25 +107,27 @@ def w17_repeat_loops(spark: SparkSession, d: str) -> DataFrame:
     return C.loops(X.tok(spark, d), 1)
 
 
-@query(f"WITH {X.HYP}, n AS (SELECT *, lead(start_ms) OVER (PARTITION BY job_id ORDER BY idx, sub) AS nx FROM hyp WHERE engine = 'a') SELECT job_id, count(CASE WHEN end_ms - start_ms < 200 AND length(word) > 2 THEN 1 END) AS short, count(CASE WHEN end_ms - nx > 50 THEN 1 END) AS overlapping FROM n GROUP BY 1")
+@query(f"WITH {X.HEARD}, n AS (SELECT *, lead(start_ms) OVER (PARTITION BY job_id, engine ORDER BY pos) AS nx FROM (SELECT * REPLACE (CASE WHEN conf % 50 = 0 THEN start_ms + 60 ELSE end_ms END AS end_ms) FROM heard)) SELECT job_id, engine, pos, end_ms - start_ms < 100 AND length(word) > 2 AS short, coalesce(end_ms - nx > 50, false) AS overlapping FROM n WHERE (end_ms - start_ms < 100 AND length(word) > 2) OR end_ms - nx > 50")
 def w21_timing_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    nx = F.lead("start_ms").over(W.partitionBy("job_id").orderBy("idx", "sub"))
-    n = X.hyp(spark, d).where("engine = 'a'").withColumn("nx", nx)
-    return n.groupBy("job_id").agg(F.count(F.when((F.col("end_ms") - F.col("start_ms") < 200) & (F.length("word") > 2), 1)).alias("short"), F.count(F.when(F.col("end_ms") - F.col("nx") > 50, 1)).alias("overlapping"))
+    """Words under 100 ms of more than two letters, and those that overlap the next by more than 50 ms. Some words are cut short here."""
+    h = X.heard(spark, d).withColumn("end_ms", F.when(F.col("conf") % 50 == 0, F.col("start_ms") + 60).otherwise(F.col("end_ms")))
+    nx = F.lead("start_ms").over(W.partitionBy("job_id", "engine").orderBy("pos"))
+    short = (F.col("end_ms") - F.col("start_ms") < 100) & (F.length("word") > 2)
+    return h.select("job_id", "engine", "pos", short.alias("short"), F.coalesce(F.col("end_ms") - nx > 50, F.lit(False)).alias("overlapping")).where("short OR overlapping")
 
 
 _FEATS = ["text_error", "low_text", "disputed_any", "weak_timing", "unheard", "unheard_any"]
 _REVIEW = f"""WITH {X.TOK}, w AS (SELECT job_id, chunk_id, start_ms, end_ms, ((job_id * 3 + idx * 5) % 100) AS tc, ((job_id + idx * 7) % 100) AS mc, (job_id + idx) % 37 = 0 AS unheard FROM tok),
-f AS (SELECT job_id, chunk_id, min(start_ms) AS start_ms, count(*) AS n, sum(100 - tc) / (100.0::DOUBLE * count(*)) AS text_error, sum((tc < 60)::INT) / count(*)::DOUBLE AS low_text, max((tc < 60)::INT) AS disputed_any, sum((mc < 50)::INT) / count(*)::DOUBLE AS weak_timing, sum(unheard::INT) / count(*)::DOUBLE AS unheard, max(unheard::INT) AS unheard_any FROM w GROUP BY 1, 2),
+f AS (SELECT job_id, chunk_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n, sum(100 - tc) / (100.0::DOUBLE * count(*)) AS text_error, sum((tc < 60)::INT) / count(*)::DOUBLE AS low_text, max((tc < 60)::INT) AS disputed_any, sum((mc < 50)::INT) / count(*)::DOUBLE AS weak_timing, sum(unheard::INT) / count(*)::DOUBLE AS unheard, max(unheard::INT) AS unheard_any FROM w GROUP BY 1, 2),
 z AS (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, {C.BIAS} + {' + '.join(f'{C.WEIGHTS[k]} * {k}' for k in _FEATS)})))) AS risk, greatest(0, unheard - 1 / n) AS est FROM f),
 t AS (SELECT *, CASE WHEN est >= {C.REDO} THEN 'redo' WHEN risk < {C.ACCEPT} THEN 'accept' ELSE 'quick_check' END AS tier FROM z)"""
 
 
 def _review(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as cues with features, risk and tier, from derived confidences in per cent."""
-    w = X.tok(spark, d).select("job_id", "chunk_id", "start_ms", ((F.col("job_id") * 3 + F.col("idx") * 5) % 100).alias("tc"), ((F.col("job_id") + F.col("idx") * 7) % 100).alias("mc"), ((F.col("job_id") + F.col("idx")) % 37 == 0).cast("int").alias("gone"))
+    w = X.tok(spark, d).select("job_id", "chunk_id", "start_ms", "end_ms", ((F.col("job_id") * 3 + F.col("idx") * 5) % 100).alias("tc"), ((F.col("job_id") + F.col("idx") * 7) % 100).alias("mc"), ((F.col("job_id") + F.col("idx")) % 37 == 0).cast("int").alias("gone"))
     low, n = (F.col("tc") < 60).cast("int"), F.count("*")
-    f = w.groupBy("job_id", "chunk_id").agg(F.min("start_ms").alias("start_ms"), n.alias("n"), (F.sum(100 - F.col("tc")) / (100.0 * n)).alias("text_error"), (F.sum(low) / n).alias("low_text"), F.max(low).alias("disputed_any"), (F.sum((F.col("mc") < 50).cast("int")) / n).alias("weak_timing"), (F.sum("gone") / n).alias("unheard"), F.max("gone").alias("unheard_any"))
+    f = w.groupBy("job_id", "chunk_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), n.alias("n"), (F.sum(100 - F.col("tc")) / (100.0 * n)).alias("text_error"), (F.sum(low) / n).alias("low_text"), F.max(low).alias("disputed_any"), (F.sum((F.col("mc") < 50).cast("int")) / n).alias("weak_timing"), (F.sum("gone") / n).alias("unheard"), F.max("gone").alias("unheard_any"))
     f = f.withColumn("risk", C.risk(_FEATS)).withColumn("est", F.greatest(F.lit(0.0), F.col("unheard") - 1 / F.col("n")))
     return f.withColumn("tier", F.when(F.col("est") >= C.REDO, "redo").when(F.col("risk") < C.ACCEPT, "accept").otherwise("quick_check"))
 
@@ -134,10 +143,16 @@ def w45_risk_tiers(spark: SparkSession, d: str) -> DataFrame:
     return _review(spark, d).select("job_id", "chunk_id", F.round("risk", 6).alias("risk"), "tier")
 
 
-@query(f"{_REVIEW} SELECT job_id, count(CASE WHEN tier = 'accept' THEN 1 END) AS accept, count(CASE WHEN tier = 'quick_check' THEN 1 END) AS quick_check, count(CASE WHEN tier = 'redo' THEN 1 END) AS redo, count(*) AS cues FROM t GROUP BY 1")
+_TIERS = ("accept", "quick_check", "redo")
+
+
+@query(f"""{_REVIEW} SELECT job_id, {', '.join(f"count(CASE WHEN tier = '{t}' THEN 1 END) AS {t}, coalesce(sum(CASE WHEN tier = '{t}' THEN end_ms - start_ms END), 0)::BIGINT AS {t}_ms" for t in _TIERS)}, count(*) AS cues, (sum(CASE WHEN tier <> 'accept' THEN end_ms - start_ms ELSE 0 END) * 1000 // greatest(1, sum(end_ms - start_ms)))::BIGINT AS to_review FROM t GROUP BY 1""")
 def a23_review_summary(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda t: F.count(F.when(F.col("tier") == t, 1)).alias(t)
-    return _review(spark, d).groupBy("job_id").agg(n("accept"), n("quick_check"), n("redo"), F.count("*").alias("cues"))
+    """Cues and time per tier, and the share of time to review, per mille."""
+    ms, own = F.col("end_ms") - F.col("start_ms"), lambda t: F.col("tier") == t
+    tiers = [c for t in _TIERS for c in (F.count(F.when(own(t), 1)).alias(t), F.coalesce(F.sum(F.when(own(t), ms)), F.lit(0)).alias(f"{t}_ms"))]
+    to_review = F.floor(F.sum(F.when(own("accept"), 0).otherwise(ms)) * 1000 / F.greatest(F.lit(1), F.sum(ms)))
+    return _review(spark, d).groupBy("job_id").agg(*tiers, F.count("*").alias("cues"), to_review.alias("to_review"))
 
 
 @query(f"{_REVIEW} SELECT job_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(risk, 9) DESC, start_ms) AS place FROM t WHERE tier <> 'accept') WHERE place <= 5")
@@ -165,7 +180,11 @@ def s04_srt_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return C.from_srt(C.srt(_positive(spark, d))).withColumn("text", F.btrim("text", F.lit("\n")))
 
 
-@query(f"WITH {_POS} SELECT job_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(replace({_TC('start_ms')}, ',', '.') || ' --> ' || replace({_TC('end_ms')}, ',', '.') || chr(10) || '<v ' || role || '>' || array_to_string(list_filter(string_split(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)), lambda x: trim(x) <> ''), chr(10)), chr(10) || chr(10) ORDER BY start_ms, cue_id) AS vtt FROM pc GROUP BY 1")
+_ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""WITH {_POS}, v AS (SELECT *, row_number() OVER {_ORDER} AS n, list_filter(list_transform(string_split({_ESC.format('text')}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM pc)
+SELECT job_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(n || chr(10) || replace({_TC('start_ms')}, ',', '.') || ' --> ' || replace({_TC('end_ms')}, ',', '.') || chr(10) || CASE WHEN len(ls) > 0 AND role <> '' THEN '<v ' || {_ESC.format('role')} || '>' ELSE '' END || array_to_string(ls, chr(10)) || CASE WHEN len(ls) > 0 THEN chr(10) ELSE '' END, chr(10) ORDER BY n) AS vtt FROM v GROUP BY 1""")
 def s13_vtt_sink(spark: SparkSession, d: str) -> DataFrame:
     return C.vtt(_positive(spark, d), "role")
 
@@ -197,11 +216,24 @@ def j19_edits_applied(spark: SparkSession, d: str) -> DataFrame:
     return a.select("job_id", "cue_id", "text", F.row_number().over(W.partitionBy("job_id").orderBy("start_ms", "cue_id")).cast("long").alias("place"))
 
 
-@query(f"WITH {X.CUE} SELECT job_id, cue_id, coalesce(lag(text) OVER w LIKE '%[music]%', false) OR text LIKE '%[music]%' OR coalesce(lead(text) OVER w LIKE '%[music]%', false) AS beside_tag FROM cue WINDOW w AS {_ORDER}")
+_SOUND = rf"len(list_filter(regexp_extract_all({{}}, '\[[^\]]+\]'), lambda x: NOT regexp_matches(lower(x), '{T.NO_SOUND.replace('{', '{{').replace('}', '}}')}'))) > 0"
+
+
+@query(f"WITH {X.CUE} SELECT job_id, cue_id, coalesce({_SOUND.format('lag(text) OVER w')}, false) OR {_SOUND.format('text')} OR coalesce({_SOUND.format('lead(text) OVER w')}, false) AS beside_tag FROM cue WINDOW w AS {_ORDER}")
 def j22_beside_tag(spark: SparkSession, d: str) -> DataFrame:
+    """Is there a sound tag in the cue or next to it?"""
     w = W.partitionBy("job_id").orderBy("start_ms", "cue_id")
-    has = lambda c: F.coalesce(c.contains("[music]"), F.lit(False))
-    return X.cue(spark, d).select("job_id", "cue_id", (has(F.lag("text").over(w)) | has(F.col("text")) | has(F.lead("text").over(w))).alias("beside_tag"))
+    has = F.size(F.filter(F.regexp_extract_all("text", F.lit(r"\[[^\]]+\]"), F.lit(0)), T.sound_tag)) > 0
+    c = X.cue(spark, d).withColumn("has", has)
+    near = lambda c: F.coalesce(c, F.lit(False))
+    return c.select("job_id", "cue_id", (near(F.lag("has").over(w)) | F.col("has") | near(F.lead("has").over(w))).alias("beside_tag"))
+
+
+@query("SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS last, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us, count(*) AS n FROM events GROUP BY 1, 2")
+def t02_stage_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Last event of each stage of a job, and the time since its first one; the batch twin of the streaming job."""
+    e = X.read(spark, d, "events").withColumn("us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last"), (F.max("us") - F.min("us")).alias("span_us"), F.count("*").alias("n"))
 
 
 @query("SELECT user_id, max_by(event_type, (ts, event_id)) AS state, count(*) AS n FROM events GROUP BY 1")

@@ -6,19 +6,44 @@ iv: events as labelled intervals per user. fr: events as a frame series per user
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelattice.functions import text as T
+from cuelattice.operators import align as A
 
 CHUNK = 40
 
 
+#: Derived tables that `prepare` has written, by (name, folder of the given tables).
+PREPARED: dict[tuple[str, str], str] = {}
+
+
+def prepare(spark: SparkSession, d: str, to: str) -> None:
+    """Write the derived tables tok, hyp and heard of folder d below `to`; queries of this process read them from there. By itself every query derives them."""
+    for name, make in (("tok", tok), ("hyp", hyp), ("heard", heard)):
+        path = f"{to.rstrip('/')}/{name}"
+        make(spark, d).write.parquet(path)
+        PREPARED[name, d] = path
+
+
+def _prepared(f):
+    @functools.wraps(f)
+    def table(spark: SparkSession, d: str) -> DataFrame:
+        path = PREPARED.get((f.__name__, d))
+        return spark.read.parquet(path) if path else f(spark, d)
+
+    return table
+
+
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@_prepared
 def tok(spark: SparkSession, d: str) -> DataFrame:
     words = read(spark, d, "documents").select(F.col("doc_id").alias("job_id"), "lang", F.posexplode(T.tokens(F.col("text"))).alias("idx", "word"))
     dur = T.spoken_ms(F.col("word"))
@@ -29,6 +54,7 @@ def tok(spark: SparkSession, d: str) -> DataFrame:
     return timed.withColumn("norm", T.normalize_word(F.col("word"))).withColumn("chunk_id", F.floor(F.col("idx") / CHUNK).cast("int"))
 
 
+@_prepared
 def hyp(spark: SparkSession, d: str) -> DataFrame:
     engines = F.array(*[F.struct(F.lit(e).alias("engine"), F.lit(k).alias("k")) for e, k in (("a", 1), ("b", 2), ("c", 3))])
     rows = tok(spark, d).select("*", F.explode(engines).alias("e")).select("*", "e.engine", "e.k").withColumn("r", (F.col("job_id") * 7 + F.col("idx") * 13 + F.col("k")) % 31)
@@ -39,6 +65,19 @@ def hyp(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("job_id", "lang", "chunk_id", "engine", "idx", "sub", F.col("said").alias("word"), T.normalize_word(F.col("said")).alias("norm"), (F.col("start_ms") + shift).alias("start_ms"), (F.col("end_ms") + shift).alias("end_ms"), conf.alias("conf"))
 
 
+@_prepared
+def heard(spark: SparkSession, d: str) -> DataFrame:
+    """hyp as an engine delivers it: words by their own positions, without any of the reference's."""
+    pos = F.row_number().over(W.partitionBy("job_id", "engine").orderBy("idx", "sub")) - 1
+    return hyp(spark, d).select("job_id", "lang", "engine", pos.alias("pos"), "word", "norm", "start_ms", "end_ms", "conf")
+
+
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    """What each engine heard, aligned with the transcript, with the heard words' columns."""
+    h = heard(spark, d)
+    return A.aligned(tok(spark, d), h).join(h.select("job_id", "engine", "pos", "norm", "start_ms", "end_ms", "conf"), ["job_id", "engine", "pos"])
+
+
 def iv(spark: SparkSession, d: str) -> DataFrame:
     start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) div 1000")
     length = 200 + F.floor(F.col("value") * 1000000) % 36000000
@@ -62,11 +101,33 @@ def cue(spark: SparkSession, d: str) -> DataFrame:
 
 NORM = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}_\s]', '', 'g'))"
 TOK = rf"""tok0 AS (SELECT doc_id AS job_id, lang, unnest(range(0, len(ws))) AS idx, unnest(ws) AS word FROM (SELECT doc_id, lang, regexp_extract_all(text, '[^ \n\t\r]+') AS ws FROM documents)),
-tok AS (SELECT *, start_ms + dur AS end_ms, {NORM.format("word")} AS norm, idx // {CHUNK} AS chunk_id FROM (SELECT *, coalesce(sum(dur + pause) OVER (PARTITION BY job_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms
+tok AS MATERIALIZED (SELECT *, start_ms + dur AS end_ms, {NORM.format("word")} AS norm, idx // {CHUNK} AS chunk_id FROM (SELECT *, coalesce(sum(dur + pause) OVER (PARTITION BY job_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms
  FROM (SELECT *, least(800, greatest(150, 70 * length(word) + 50)) AS dur, CASE WHEN regexp_matches(word, '[.!?]$') THEN 700 WHEN (idx + 1) % 25 = 0 THEN 2500 ELSE 30 END AS pause FROM tok0)))"""
 HYP = rf"""{TOK}, hyp0 AS (SELECT *, (job_id * 7 + idx * 13 + k) % 31 AS r FROM tok, (VALUES ('a', 1), ('b', 2), ('c', 3)) e(engine, k)),
-hyp AS (SELECT job_id, lang, chunk_id, engine, idx, sub, said AS word, {NORM.format("said")} AS norm, start_ms + shift AS start_ms, end_ms + shift AS end_ms, conf FROM (
+hyp AS MATERIALIZED (SELECT job_id, lang, chunk_id, engine, idx, sub, said AS word, {NORM.format("said")} AS norm, start_ms + shift AS start_ms, end_ms + shift AS end_ms, conf FROM (
  SELECT *, ((job_id + idx * 31) % 7 - 3) * 40 + sub * 100 AS shift, (job_id * 3 + idx * 5 + k * 7) % 1000 AS conf, CASE WHEN sub = 1 THEN 'uh' WHEN r = 1 THEN reverse(word) ELSE word END AS said FROM hyp0, (VALUES (0), (1)) s(sub) WHERE r <> 0 AND (sub = 0 OR r = 2)))"""
+#: hyp by each engine's own positions.
+HEARD = f"{HYP}, heard AS MATERIALIZED (SELECT job_id, lang, engine, row_number() OVER (PARTITION BY job_id, engine ORDER BY idx, sub) - 1 AS pos, word, norm, start_ms, end_ms, conf FROM hyp)"
+
+
+def aligned_sql(ref: str, heard: str, name: str = "al") -> str:
+    """CTEs whose last, name, aligns ref (job_id, idx, norm) with heard (job_id, engine, pos, norm), as operators.align.aligned does."""
+    gram = "SELECT {0}, g, min({1}) AS {1} FROM (SELECT {0}, {1}, norm || chr(10) || lead(norm, 1) OVER w || chr(10) || lead(norm, 2) OVER w AS g FROM {2} WINDOW w AS (PARTITION BY {0} ORDER BY {1})) WHERE g IS NOT NULL GROUP BY {0}, g HAVING count(*) = 1"
+    clean = "SELECT job_id, engine, idx, pos FROM (SELECT *, max(pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx, min(pos) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS mn FROM {} WINDOW w AS (PARTITION BY job_id, engine ORDER BY idx, pos)) WHERE coalesce(mx, -1) < pos AND coalesce(mn, pos + 1) > pos"
+    around = "last_value(CASE WHEN {1} IS NOT NULL THEN w1.idx END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {0}i, last_value({1} IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {0}p, first_value(CASE WHEN {1} IS NOT NULL THEN w1.idx END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS {0}j, first_value({1} IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS {0}q"
+    n = name
+    return f"""{n}_1 AS MATERIALIZED (SELECT a.job_id, b.engine, a.idx, b.pos FROM ({gram.format("job_id", "idx", ref)}) a JOIN ({gram.format("job_id, engine", "pos", heard)}) b ON a.job_id = b.job_id AND a.g = b.g),
+{n}_2 AS MATERIALIZED ({clean.format(n + "_1")}), {n}_w AS MATERIALIZED (SELECT r.job_id, e.engine, r.idx, r.norm FROM {ref} r JOIN (SELECT DISTINCT job_id, engine FROM {heard}) e ON r.job_id = e.job_id),
+{n}_3 AS MATERIALIZED (SELECT job_id, engine, idx, norm, CASE WHEN idx - li + lp < coalesce(lq, idx - li + lp + 1) THEN idx - li + lp END AS x, CASE WHEN idx - lj + lq > coalesce(lp, -1) THEN idx - lj + lq END AS y
+ FROM (SELECT w1.*, {around.format("l", "a.pos")} FROM {n}_w w1 LEFT JOIN {n}_2 a USING (job_id, engine, idx) WINDOW w AS (PARTITION BY w1.job_id, w1.engine ORDER BY w1.idx))),
+{n}_4 AS MATERIALIZED (SELECT c.job_id, c.engine, c.idx, coalesce(h.pos, k.pos) AS pos FROM {n}_3 c LEFT JOIN {heard} h ON h.job_id = c.job_id AND h.engine = c.engine AND h.pos = c.x AND h.norm = c.norm LEFT JOIN {heard} k ON k.job_id = c.job_id AND k.engine = c.engine AND k.pos = c.y AND k.norm = c.norm WHERE h.pos IS NOT NULL OR k.pos IS NOT NULL),
+{n}_5 AS MATERIALIZED ({clean.format(n + "_4")}),
+{n} AS MATERIALIZED (SELECT job_id, engine, idx, coalesce(pos, swapped) AS pos, pos IS NOT NULL AS same FROM (SELECT job_id, engine, idx, pos, CASE WHEN gj - gi = gq - gp THEN gp + idx - gi END AS swapped
+ FROM (SELECT w1.*, m.pos, {around.format("g", "m.pos")} FROM {n}_w w1 LEFT JOIN {n}_5 m USING (job_id, engine, idx) WINDOW w AS (PARTITION BY w1.job_id, w1.engine ORDER BY w1.idx))) WHERE coalesce(pos, swapped) IS NOT NULL)"""
+
+
+#: What each engine heard, aligned with the transcript.
+ALIGNED = f"{HEARD}, {aligned_sql('tok', 'heard')}, am AS MATERIALIZED (SELECT al.*, h.norm, h.start_ms, h.end_ms, h.conf FROM al JOIN heard h USING (job_id, engine, pos))"
 IV = "iv AS (SELECT event_id AS iv_id, user_id AS job_id, s AS start_ms, s + 200 + floor(value * 1000000)::BIGINT % 36000000 AS end_ms, event_type AS label, event_id % 100 AS score FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000 AS s FROM events))"
 FR = "fr AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, floor(value)::BIGINT % 100 AS p FROM events)"
 CUE = """cue AS (SELECT conv_id AS job_id, turn::INT AS cue_id, role, CASE WHEN (conv_id + turn) % 7 = 0 THEN '[music] ' || text ELSE text END AS text, s AS start_ms, s + ms AS end_ms FROM (

@@ -38,12 +38,14 @@ def w19_speechless_words(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("job_id").agg(F.count("*").alias("words"), F.count(F.when(F.col("top") < 12, 1)).alias("without_speech"))
 
 
-@query(f"{Q._SENT}, k AS (SELECT job_id, sentence, list_reduce(list_prepend('', list(word ORDER BY idx)), lambda a, x: CASE WHEN a = '' THEN x WHEN length(regexp_extract(a, '[^\\n]*$')) + 1 + length(x) <= 42 THEN a || ' ' || x ELSE a || chr(10) || x END) AS text FROM s GROUP BY 1, 2) SELECT job_id, sentence, len(string_split(text, chr(10))) AS lines, text FROM k")
+@query(f"{Q._SENT}, b AS (SELECT *, sum(coalesce(start_ms - pe > 600, false)::INT) OVER (PARTITION BY job_id ORDER BY idx) AS piece FROM (SELECT *, lag(end_ms) OVER (PARTITION BY job_id ORDER BY idx) AS pe FROM s)), k AS (SELECT job_id, sentence, piece, list_reduce(list_prepend('', list(word ORDER BY idx)), lambda a, x: CASE WHEN a = '' THEN x WHEN length(regexp_extract(a, '[^\n]*$')) + 1 + length(x) <= 42 THEN a || ' ' || x ELSE a || chr(10) || x END) AS text FROM b GROUP BY 1, 2, 3) SELECT job_id, sentence, piece, len(string_split(text, chr(10))) AS lines, text FROM k")
 def w16_caption_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of at most 42 characters within sentences (at most 60 words each, so folds stay short)."""
-    s = C.sentences(X.tok(spark, d)).groupBy("job_id", "sentence").agg(F.sort_array(F.collect_list(F.struct("idx", "word"))).alias("ws"))
+    """Lines of at most 42 characters that end at sentences' ends and pauses over 0.6 s (a sentence has 60 words at most, so folds stay short)."""
+    w = W.partitionBy("job_id").orderBy("idx")
+    s = Q._sentences(spark, d).withColumn("piece", C.running(F.coalesce(F.col("start_ms") - F.lag("end_ms").over(w) > 600, F.lit(False)), w))
+    s = s.groupBy("job_id", "sentence", "piece").agg(F.sort_array(F.collect_list(F.struct("idx", "word"))).alias("ws"))
     text = C.wrapped(F.array_join(F.transform("ws", lambda x: x["word"]), " "), 42)
-    return s.select("job_id", "sentence", text.alias("text")).select("job_id", "sentence", F.size(F.split("text", "\n")).alias("lines"), "text")
+    return s.select("job_id", "sentence", "piece", text.alias("text")).select("job_id", "sentence", "piece", F.size(F.split("text", "\n")).alias("lines"), "text")
 
 
 @query()

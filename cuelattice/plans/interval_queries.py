@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelattice.operators import intervals as I
+from cuelattice.operators import signals as S
 from cuelattice.plans import fixtures as X
 from cuelattice.plans import text_queries as P
 from cuelattice.plans.book import query
@@ -147,48 +148,85 @@ def w06_sound_events(spark: SparkSession, d: str) -> DataFrame:
     return e.where("end_ms - start_ms >= 120").drop("island")
 
 
-@query(f"WITH {X.FR} SELECT job_id, frame, median(p) OVER (PARTITION BY job_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS smooth FROM fr")
+@query(f"""WITH {X.FR}, en AS (SELECT job_id, min_by(p, frame) AS a, max_by(p, frame) AS z, count(*) AS n FROM fr GROUP BY 1),
+w AS (SELECT job_id, frame, p FROM fr UNION ALL SELECT job_id, -k, a FROM en, range(1, 4) r(k) WHERE n >= 3 UNION ALL SELECT job_id, n - 1 + k, z FROM en, range(1, 4) r(k) WHERE n >= 3),
+m AS (SELECT job_id, frame, p, median(p) OVER (PARTITION BY job_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS smooth FROM w)
+SELECT job_id, frame, CASE WHEN n >= 3 THEN smooth ELSE p::DOUBLE END AS smooth FROM m JOIN en USING (job_id) WHERE frame >= 0 AND frame < n""")
 def w07_running_median(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("job_id").orderBy("frame").rowsBetween(-3, 3)
-    return X.fr(spark, d).select("job_id", "frame", F.percentile("p", F.lit(0.5)).over(w).alias("smooth"))
+    return S.running_median(X.fr(spark, d), 3)
 
 
-@query(f"WITH {X.IV}, e AS (SELECT *, CASE label WHEN 'click' THEN '[applause]' WHEN 'view' THEN '[music]' END AS tag FROM iv WHERE score >= 60 AND label IN ('click', 'view') AND end_ms - start_ms >= 500), i AS (SELECT *, sum(CASE WHEN start_ms > pe + 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, tag ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(end_ms) OVER (PARTITION BY job_id, tag ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM e)) SELECT job_id, tag, min(start_ms) AS start_ms, least(max(end_ms), min(start_ms) + 6000) AS end_ms, count(*) AS events FROM i GROUP BY job_id, tag, g")
+# Captions of sound classes, and least lengths of some; others need 400 ms.
+CAPTIONS = {"Music": "music", "Singing": "singing", "Choir": "choir singing", "Humming": "humming", "Whistling": "whistling", "Laughter": "laughter", "Applause": "applause", "Clapping": "clapping", "Cheering": "cheering", "Crowd": "crowd chatter", "Crying, sobbing": "crying", "Screaming": "screaming", "Gasp": "gasps", "Sigh": "sighs", "Cough": "coughs", "Sneeze": "sneezes", "Dog": "dog barking", "Bark": "dog barking", "Telephone bell ringing": "phone ringing", "Ringtone": "phone ringing", "Doorbell": "doorbell", "Knock": "knocking", "Gunshot, gunfire": "gunshot", "Explosion": "explosion", "Siren": "siren", "Thunder": "thunder", "Rain": "rain", "Helicopter": "helicopter", "Typing": "typing", "Fireworks": "fireworks"}
+LEAST_MS = {"music": 2000, "singing": 1500, "rain": 2000, "crowd chatter": 1500}
+#: The kinds of events stand for sound classes; two of them are the same caption.
+CLASSES = {"click": "Dog", "view": "Music", "purchase": "Bark", "signup": "Rain", "error": "Static"}
+_MAP = ", ".join(f"('{kind}', '{CAPTIONS[c]}', {LEAST_MS.get(CAPTIONS[c], 400)})" for kind, c in CLASSES.items() if c in CAPTIONS)
+
+
+@query(f"""WITH {X.IV}, e AS (SELECT iv.*, m.tag FROM iv JOIN (VALUES {_MAP}) m(label, tag, least) USING (label) WHERE score >= 60 AND end_ms - start_ms >= least), i AS (SELECT *, sum(CASE WHEN start_ms >= pe + 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, tag ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(end_ms) OVER (PARTITION BY job_id, tag ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM e))
+SELECT job_id, tag, min(start_ms) AS start_ms, least(max(end_ms), min(start_ms) + 6000) AS end_ms, count(*) AS events FROM i GROUP BY job_id, tag, g""")
 def w28_tag_proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Sound events with a mapped label, sure and long enough, as tags: merged over gaps below a second, six seconds at most."""
-    tag = F.when(F.col("label") == "click", "[applause]").when(F.col("label") == "view", "[music]")
-    e = X.iv(spark, d).withColumn("tag", tag).where("tag IS NOT NULL AND score >= 60 AND end_ms - start_ms >= 500")
-    g = I.islands(e, ["job_id", "tag"], 1000).groupBy("job_id", "tag", "island")
+    """Sound events of a class with a caption, sure and long enough, as tags: merged over gaps below a second, six seconds at most. The map is a literal."""
+    rows = [(kind, CAPTIONS[c], LEAST_MS.get(CAPTIONS[c], 400)) for kind, c in CLASSES.items() if c in CAPTIONS]
+    captions = spark.createDataFrame(rows, "label string, tag string, least int")
+    e = X.iv(spark, d).join(F.broadcast(captions), "label").where("score >= 60 AND end_ms - start_ms >= least")
+    g = I.islands(e, ["job_id", "tag"], 999).groupBy("job_id", "tag", "island")
     return g.agg(F.min("start_ms").alias("start_ms"), F.least(F.max("end_ms"), F.min("start_ms") + 6000).alias("end_ms"), F.count("*").alias("events")).drop("island")
 
 
-@query(f"WITH {X.IV}, e AS (SELECT *, lag(label) OVER w AS pl, lag(end_ms) OVER w AS pe FROM iv WINDOW w AS (PARTITION BY job_id ORDER BY start_ms, iv_id)), i AS (SELECT *, sum(CASE WHEN pl = label AND start_ms - pe < 72000 THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY start_ms, iv_id ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT job_id, any_value(label) AS label, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM i GROUP BY job_id, g")
+@query(f"WITH {X.IV}, e AS (SELECT *, lag(label) OVER w AS pl, lag(end_ms) OVER w AS pe FROM iv WINDOW w AS (PARTITION BY job_id ORDER BY start_ms, iv_id)), i AS (SELECT *, sum(CASE WHEN pl = label AND start_ms - pe < 72000 THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY start_ms, iv_id ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT job_id, any_value(label) AS label, min(start_ms) AS start_ms, least(max_by(end_ms, (start_ms, iv_id)), min(start_ms) + 6000) AS end_ms, count(*) AS n FROM i GROUP BY job_id, g")
 def w30_frame_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Only consecutive frames of one tag merge."""
+    """Only consecutive frames of one tag merge; the last one ends the tag, after six seconds at most."""
     w = W.partitionBy("job_id").orderBy("start_ms", "iv_id")
     same = (F.lag("label").over(w) == F.col("label")) & (F.col("start_ms") - F.lag("end_ms").over(w) < 72000)
     e = X.iv(spark, d).withColumn("new", F.when(same, 0).otherwise(1)).withColumn("g", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return e.groupBy("job_id", "g").agg(F.first("label").alias("label"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n")).drop("g")
+    end = F.least(F.max_by("end_ms", F.struct("start_ms", "iv_id")), F.min("start_ms") + 6000)
+    return e.groupBy("job_id", "g").agg(F.first("label").alias("label"), F.min("start_ms").alias("start_ms"), end.alias("end_ms"), F.count("*").alias("n")).drop("g")
 
 
-@query("SELECT user_id, floor(value)::BIGINT % 100 AS p, count(*) AS n, min(floor(value))::BIGINT AS low, max(floor(value))::BIGINT AS high FROM events GROUP BY 1, 2")
+@query(f"WITH {X.FR} SELECT job_id, frame // 16 AS bucket, min(p) AS low, max(p) AS high FROM fr WHERE frame // 16 < 2000 GROUP BY 1, 2")
 def a20_peaks_per_bucket(spark: SparkSession, d: str) -> DataFrame:
-    v = F.floor("value")
-    return X.read(spark, d, "events").groupBy("user_id", (v % 100).alias("p")).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return S.peaks(X.fr(spark, d).select("job_id", F.col("frame").alias("at"), F.col("p").alias("x")), ["job_id"], 16)
+
 
+_TABLE = "[" + ", ".join(f"{v}::DOUBLE" for v in S.SNR_STATISTIC) + "]"
 
-@query("WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, round(10 * log10(avg(x * x)), 3) AS rms_db, round(ln(avg(abs(x))) - avg(ln(abs(x))), 3) AS snr_stat FROM s WHERE x <> 0 GROUP BY vec_id")
+
+@query(f"""WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), p AS (SELECT vec_id, max(abs(x)) AS peak FROM s GROUP BY 1),
+m AS (SELECT vec_id, 10 * log10(avg(x * x) + 1e-12) AS rms, CASE WHEN max(peak) >= {S.SILENT} THEN ln(avg(greatest(abs(x / peak), {S.LEAST}))) - avg(ln(greatest(abs(x / peak), {S.LEAST}))) END AS g FROM s JOIN p USING (vec_id) GROUP BY 1),
+t AS (SELECT *, len(list_filter(tb, lambda v: v <= g)) AS k FROM m, (SELECT {_TABLE} AS tb))
+SELECT vec_id, round(rms, 3) AS rms_db, round(CASE WHEN g IS NULL THEN NULL WHEN k = 0 THEN -20 WHEN k = 121 THEN 100 ELSE -21 + k + (g - tb[k]) / (tb[k + 1] - tb[k]) END, 3) AS snr_db FROM t""")
 def a18_signal_measures(spark: SparkSession, d: str) -> DataFrame:
-    """RMS level and the statistic of the blind SNR estimate, over blocks of samples."""
-    s = X.read(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("v")).select("vec_id", F.col("v").cast("double").alias("x")).where("x <> 0")
-    a = F.abs("x")
-    return s.groupBy("vec_id").agg(F.round(10 * F.log10(F.avg(F.col("x") * F.col("x"))), 3).alias("rms_db"), F.round(F.ln(F.avg(a)) - F.avg(F.ln(a)), 3).alias("snr_stat"))
+    """Level and blind SNR of blocks of samples."""
+    s = X.read(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("v")).select("vec_id", F.col("v").cast("double").alias("x"))
+    return S.blind_snr(s, ["vec_id"]).select("vec_id", F.round("rms_db", 3).alias("rms_db"), F.round("snr_db", 3).alias("snr_db"))
 
 
-@query(f"WITH {X.FR}, h AS (SELECT *, p >= 90 AS top, max(p) OVER (PARTITION BY job_id) AS peak FROM fr), r AS (SELECT *, frame - row_number() OVER (PARTITION BY job_id, top ORDER BY frame) AS g FROM h), k AS (SELECT job_id, count(*) AS n FROM r WHERE top GROUP BY job_id, g HAVING count(*) >= 2), t AS (SELECT job_id, sum(n)::BIGINT AS clipped FROM k GROUP BY 1) SELECT j.job_id, coalesce(clipped, 0) AS clipped, n FROM (SELECT job_id, count(*) AS n FROM fr GROUP BY 1) j LEFT JOIN t USING (job_id)")
+@query(f"""WITH {X.FR}, f AS (SELECT job_id, frame, p // 20 AS x FROM fr), k AS (SELECT job_id, count(*) AS n, max(x) AS peak FROM f GROUP BY 1), t AS (SELECT job_id, frame - row_number() OVER (PARTITION BY job_id ORDER BY frame) AS g FROM f JOIN k USING (job_id) WHERE x = peak AND peak > 0),
+r AS (SELECT job_id, sum(c)::BIGINT AS clipped FROM (SELECT job_id, g, count(*) AS c FROM t GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1) SELECT k.job_id, n, coalesce(clipped, 0) AS clipped FROM k LEFT JOIN r USING (job_id)""")
 def a19_clipping(spark: SparkSession, d: str) -> DataFrame:
-    """Samples in runs at the top."""
-    w = W.partitionBy("job_id").orderBy("frame")
-    h = X.fr(spark, d).where("p >= 90").withColumn("g", F.col("frame") - F.row_number().over(w))
-    runs = h.groupBy("job_id", "g").agg(F.count("*").alias("n")).where("n >= 2").groupBy("job_id").agg(F.sum("n").alias("clipped"))
-    return X.fr(spark, d).groupBy("job_id").agg(F.count("*").alias("n")).join(runs, "job_id", "left").select("job_id", F.coalesce("clipped", F.lit(0)).alias("clipped"), "n")
+    """Samples in runs of three at a job's own peak; the series is coarse, so that there are some."""
+    return S.clipped(X.fr(spark, d).select("job_id", F.col("frame").alias("at"), F.floor(F.col("p") / 20).alias("x")), ["job_id"])
+
+
+@query()
+def a21_high_share(spark: SparkSession, d: str) -> DataFrame:
+    """Share of energy in the upper half of the band of blocks of samples."""
+    frames = X.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("frame"))
+    return S.high_share(frames, "vec_id", 64).select("vec_id", F.round("share", 6).alias("share"))
+
+
+_WINDOWS = "wi AS (SELECT job_id, s // 90000 AS window_id, s AS from_ms, s + 90000 AS to_ms FROM (SELECT job_id, unnest(range(0, max(end_ms), 90000)) AS s FROM tok GROUP BY 1))"
+
+
+@query(f"""WITH {X.TOK}, {_WINDOWS} SELECT wi.job_id, window_id, CASE WHEN t.start_ms < from_ms THEN 'before' WHEN t.start_ms >= to_ms THEN 'after' ELSE 'center' END AS role, count(*) AS words, min(idx) AS first, max(idx) AS last FROM tok t JOIN wi ON t.job_id = wi.job_id AND t.start_ms >= from_ms - 20000 AND t.start_ms < to_ms + 20000 GROUP BY 1, 2, 3""")
+def w46_window_words(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 90 s, each with the words of 20 s before and after it, by their role."""
+    t = X.tok(spark, d)
+    jobs = t.groupBy("job_id").agg(F.max("end_ms").alias("duration_ms"))
+    windows = I.fixed_chunks(jobs, 90000).select("job_id", F.col("chunk_id").alias("window_id"), F.col("start_ms").alias("from_ms"), (F.col("start_ms") - 20000).alias("start_ms"), (F.col("start_ms") + 110000).alias("end_ms"))
+    words = t.select("job_id", "idx", "start_ms", (F.col("start_ms") + 1).alias("end_ms"))
+    at, begin = F.col("l.start_ms"), F.col("r.from_ms")
+    role = F.when(at < begin, "before").when(at >= begin + 90000, "after").otherwise("center")
+    return I.interval_join(words, windows, 30000).groupBy("l.job_id", "r.window_id", role.alias("role")).agg(F.count("*").alias("words"), F.min("l.idx").alias("first"), F.max("l.idx").alias("last"))

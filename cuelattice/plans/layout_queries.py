@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelattice.functions import text as T
+from cuelattice.operators import align as A
 from cuelattice.operators import cues as C
 from cuelattice.plans import cue_queries as Q
 from cuelattice.plans import fixtures as X
@@ -34,33 +35,33 @@ def w33_grown_cues(spark: SparkSession, d: str) -> DataFrame:
     return C.grown(X.cue(spark, d)).select("job_id", "cue_id", "start_ms", "end_ms")
 
 
-_STRONG = "s AS (SELECT t.job_id, t.idx, t.start_ms AS expected, a.start_ms AS heard, a.end_ms AS until, b.start_ms AS other, abs(a.start_ms - b.start_ms) <= 80 AS strong FROM tok t LEFT JOIN hyp a ON t.job_id = a.job_id AND t.idx = a.idx AND a.engine = 'a' AND a.sub = 0 AND a.norm = t.norm LEFT JOIN hyp b ON t.job_id = b.job_id AND t.idx = b.idx AND b.engine = 'b' AND b.sub = 0 AND b.norm = t.norm)"
+_STRONG = "s AS (SELECT t.job_id, t.idx, t.start_ms AS expected, a.start_ms AS heard, a.end_ms AS until, b.start_ms AS other, abs(a.start_ms - b.start_ms) <= 80 AS strong FROM tok t LEFT JOIN am a ON t.job_id = a.job_id AND t.idx = a.idx AND a.engine = 'a' AND a.same LEFT JOIN am b ON t.job_id = b.job_id AND t.idx = b.idx AND b.engine = 'b' AND b.same)"
 
 
-@query(f"""WITH {X.HYP}, {_STRONG}, r AS (SELECT *, max(CASE WHEN strong THEN until END) OVER ({_BY} idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low, min(CASE WHEN strong THEN heard END) OVER ({_BY} idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS high FROM s)
+@query(f"""WITH {X.ALIGNED}, {_STRONG}, r AS (SELECT *, max(CASE WHEN strong THEN until END) OVER ({_BY} idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low, min(CASE WHEN strong THEN heard END) OVER ({_BY} idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS high FROM s)
 SELECT job_id, idx, greatest(coalesce(low, 0), least(coalesce(heard, other, expected), coalesce(high, coalesce(heard, other, expected)))) AS start_ms, CASE WHEN strong THEN 90 WHEN heard IS NOT NULL THEN 75 WHEN other IS NOT NULL THEN 50 ELSE 20 END AS confidence FROM r""")
 def w43_best_times(spark: SparkSession, d: str) -> DataFrame:
     """Each word's best time, kept between the strong anchors around it, with its confidence in per cent."""
-    h = X.hyp(spark, d).where("sub = 0")
-    at = h.where("engine = 'a'").select("job_id", "idx", "norm", F.col("start_ms").alias("at"), F.col("end_ms").alias("until"))
-    other = h.where("engine = 'b'").select("job_id", "idx", "norm", F.col("start_ms").alias("other"))
-    s = X.tok(spark, d).select("job_id", "idx", "norm", F.col("start_ms").alias("expected")).join(at, ["job_id", "idx", "norm"], "left").join(other, ["job_id", "idx", "norm"], "left")
+    h = X.aligned(spark, d).where("same")
+    at = h.where("engine = 'a'").select("job_id", "idx", F.col("start_ms").alias("at"), F.col("end_ms").alias("until"))
+    other = h.where("engine = 'b'").select("job_id", "idx", F.col("start_ms").alias("other"))
+    s = X.tok(spark, d).select("job_id", "idx", "norm", F.col("start_ms").alias("expected")).join(at, ["job_id", "idx"], "left").join(other, ["job_id", "idx"], "left")
     s = s.withColumn("strong", F.abs(F.col("at") - F.col("other")) <= 80)
     w = W.partitionBy("job_id").orderBy("idx")
     low = F.max(F.when(F.col("strong"), F.col("until"))).over(w.rowsBetween(W.unboundedPreceding, -1))
-    high = F.min(F.when(F.col("strong"), F.col("at"))).over(w.rowsBetween(1, W.unboundedFollowing))
+    high = F.min(F.when(F.col("strong"), F.col("at"))).over(A.backwards(["job_id"], "idx"))
     r = s.withColumn("low", low).withColumn("high", high).withColumn("t", F.coalesce("at", "other", "expected"))
     confidence = F.when(F.col("strong"), 90).when(F.col("at").isNotNull(), 75).when(F.col("other").isNotNull(), 50).otherwise(20)
     return r.select("job_id", "idx", F.greatest(F.coalesce("low", F.lit(0)), F.least("t", F.coalesce("high", "t"))).alias("start_ms"), confidence.alias("confidence"))
 
 
-@query(f"""WITH {X.HYP}, v AS (SELECT t.job_id, t.idx, t.start_ms, t.end_ms, t.norm IS DISTINCT FROM h.norm AS changed FROM tok t LEFT JOIN hyp h ON t.job_id = h.job_id AND t.idx = h.idx AND h.engine = 'a' AND h.sub = 0),
+@query(f"""WITH {X.ALIGNED}, v AS (SELECT t.job_id, t.idx, t.start_ms, t.end_ms, t.norm IS DISTINCT FROM h.norm AS changed FROM tok t LEFT JOIN am h ON t.job_id = h.job_id AND t.idx = h.idx AND h.engine = 'a'),
 n AS (SELECT *, lag(end_ms) OVER ({_BY} idx) AS p, lead(start_ms) OVER ({_BY} idx) AS nx FROM v), r AS (SELECT *, idx - row_number() OVER ({_BY} idx) AS g FROM n WHERE changed),
 k AS (SELECT *, row_number() OVER (PARTITION BY job_id, g ORDER BY idx) - 1 AS j, count(*) OVER (PARTITION BY job_id, g) AS n, coalesce(first_value(p) OVER (PARTITION BY job_id, g ORDER BY idx), 0) AS a, coalesce(last_value(nx) OVER (PARTITION BY job_id, g ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), max(end_ms) OVER (PARTITION BY job_id, g)) AS b FROM r)
 SELECT job_id, idx, a + (b - a) * j // n AS start_ms, a + (b - a) * (j + 1) // n AS end_ms FROM k""")
 def w47_retimed_edits(spark: SparkSession, d: str) -> DataFrame:
     """Words of edited spans share the time between the unchanged neighbours evenly."""
-    h = X.hyp(spark, d).where("engine = 'a' AND sub = 0").select("job_id", "idx", F.col("norm").alias("other"))
+    h = X.aligned(spark, d).where("engine = 'a'").select("job_id", "idx", F.col("norm").alias("other"))
     w = W.partitionBy("job_id").orderBy("idx")
     v = X.tok(spark, d).join(h, ["job_id", "idx"], "left").select("job_id", "idx", "end_ms", F.lag("end_ms").over(w).alias("p"), F.lead("start_ms").over(w).alias("nx"), (~F.col("norm").eqNullSafe(F.col("other"))).alias("changed"))
     r = v.where("changed").withColumn("g", F.col("idx") - F.row_number().over(w))
@@ -106,11 +107,14 @@ def s14_ass_events(spark: SparkSession, d: str) -> DataFrame:
     return C.ass_events(Q._positive(spark, d), "role")
 
 
-@query(f"""WITH {X.CUE}, r AS (SELECT *, sum(coalesce(pr <> role OR start_ms - pe > 1750, false)::INT) OVER (PARTITION BY job_id ORDER BY start_ms, cue_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(role) OVER {Q._ORDER} AS pr, lag(end_ms) OVER {Q._ORDER} AS pe FROM cue)),
-p AS (SELECT job_id, run, min(role) AS role, greatest(0, min(start_ms)) // 1000 AS s, string_agg(replace(text, chr(10), ' '), ' ' ORDER BY start_ms, cue_id) AS text FROM r GROUP BY 1, 2)
-SELECT job_id, string_agg('[' || lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') || '] ' || role || ': ' || text, chr(10) || chr(10) ORDER BY run) AS txt FROM p GROUP BY 1""")
+@query(f"""{Q._PARA}, pp AS (SELECT job_id, part, block, min(s) // 1000 AS s, min(speaker) AS speaker, string_agg(text, ' ' ORDER BY sentence) AS text FROM pa GROUP BY 1, 2, 3)
+SELECT job_id, string_agg('[' || lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') || '] ' || speaker || ': ' || text, chr(10) || chr(10) ORDER BY part, block) AS txt FROM pp GROUP BY 1""")
 def s15_transcript_text(spark: SparkSession, d: str) -> DataFrame:
-    return C.transcript(C.speaker_runs(X.cue(spark, d), "role", 1750), "role")
+    """Paragraphs of sentences with their time and speaker. A sentence has 60 words at most, a paragraph eight sentences, so both lists are short."""
+    words = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ")
+    s = Q._sentences(spark, d).groupBy("job_id", "sentence").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("speaker").alias("speaker"), words.alias("text"))
+    p = C.paragraphs(s).withColumn("run", F.col("part") * 1000000 + F.col("block")).withColumn("cue_id", F.col("sentence"))
+    return C.transcript(p, "speaker")
 
 
 @query(f"""WITH {X.CUE}, r AS (SELECT *, sum(coalesce(pr <> role OR start_ms - pe > 800, false)::INT) OVER (PARTITION BY job_id ORDER BY start_ms, cue_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(role) OVER {Q._ORDER} AS pr, lag(end_ms) OVER {Q._ORDER} AS pe FROM cue)),

@@ -25,11 +25,11 @@ def s18_job_manifest(spark: SparkSession, d: str) -> DataFrame:
     return g.select("user_id", F.to_json(F.struct(F.col("user_id").alias("job"), "events", "failed", "stages")).alias("manifest"))
 
 
-@query(f"""{Q._REVIEW.replace(f"WITH {X.TOK}", f"WITH {X.HYP}", 1)}, x AS (SELECT t.job_id, t.chunk_id, count(CASE WHEN t.norm IS DISTINCT FROM h.norm THEN 1 END) > 2 AS wrong FROM tok t LEFT JOIN hyp h ON t.job_id = h.job_id AND t.idx = h.idx AND h.engine = 'a' AND h.sub = 0 GROUP BY 1, 2)
+@query(f"""{Q._REVIEW.replace(f"WITH {X.TOK}", f"WITH {X.ALIGNED}", 1)}, x AS (SELECT t.job_id, t.chunk_id, count(CASE WHEN t.norm IS DISTINCT FROM h.norm THEN 1 END) > 2 AS wrong FROM tok t LEFT JOIN am h ON t.job_id = h.job_id AND t.idx = h.idx AND h.engine = 'a' GROUP BY 1, 2)
 SELECT t.job_id, count(*) AS cues, count(CASE WHEN wrong THEN 1 END) AS wrong, count(CASE WHEN wrong AND tier <> 'accept' THEN 1 END) AS found, count(CASE WHEN wrong AND tier = 'accept' THEN 1 END) AS accepted FROM t JOIN x USING (job_id, chunk_id) GROUP BY 1""")
 def a10_triage_quality(spark: SparkSession, d: str) -> DataFrame:
     """Cues with errors, those that triage flagged, and those that it accepted."""
-    h = X.hyp(spark, d).where("engine = 'a' AND sub = 0").select("job_id", "idx", F.col("norm").alias("heard"))
+    h = X.aligned(spark, d).where("engine = 'a'").select("job_id", "idx", F.col("norm").alias("heard"))
     bad = ~F.col("norm").eqNullSafe(F.col("heard"))
     x = X.tok(spark, d).select("job_id", "chunk_id", "idx", "norm").join(h, ["job_id", "idx"], "left").groupBy("job_id", "chunk_id").agg((F.count(F.when(bad, 1)) > 2).alias("wrong"))
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
@@ -37,21 +37,27 @@ def a10_triage_quality(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("job_id").agg(F.count("*").alias("cues"), n(F.col("wrong"), "wrong"), n(F.col("wrong") & (F.col("tier") != "accept"), "found"), n(F.col("wrong") & (F.col("tier") == "accept"), "accepted"))
 
 
-@query(f"WITH {X.HYP}, j AS (SELECT job_id, max(end_ms) AS ms, sum(end_ms - start_ms)::BIGINT AS spoken FROM tok GROUP BY 1), i AS (SELECT job_id, engine, count(*) AS n FROM hyp WHERE sub = 1 GROUP BY 1, 2) SELECT i.job_id, engine, n, n * 600000 // greatest(1, ms - spoken) AS per_ten_minutes FROM i JOIN j USING (job_id)")
+@query(f"WITH {X.ALIGNED}, j AS (SELECT job_id, max(end_ms) AS ms, sum(end_ms - start_ms)::BIGINT AS spoken FROM tok GROUP BY 1), i AS (SELECT job_id, engine, count(*) AS n FROM heard h WHERE norm <> '' AND NOT EXISTS (SELECT 1 FROM al WHERE al.job_id = h.job_id AND al.engine = h.engine AND al.pos = h.pos) GROUP BY 1, 2) SELECT i.job_id, engine, n, n * 600000 // greatest(1, ms - spoken) AS per_ten_minutes FROM i JOIN j USING (job_id)")
 def a07_invented_words(spark: SparkSession, d: str) -> DataFrame:
     """Words that no reference has, per ten minutes without speech."""
     j = X.tok(spark, d).groupBy("job_id").agg((F.max("end_ms") - F.sum(F.col("end_ms") - F.col("start_ms"))).alias("quiet"))
-    i = X.hyp(spark, d).where("sub = 1").groupBy("job_id", "engine").agg(F.count("*").alias("n"))
+    h = X.heard(spark, d).where("norm <> ''")
+    i = h.join(X.aligned(spark, d).select("job_id", "engine", "pos"), ["job_id", "engine", "pos"], "left_anti").groupBy("job_id", "engine").agg(F.count("*").alias("n"))
     return i.join(j, "job_id").select("job_id", "engine", "n", F.floor(F.col("n") * 600000 / F.greatest(F.lit(1), F.col("quiet"))).alias("per_ten_minutes"))
 
 
-@query(f"WITH {X.HYP}, w AS (SELECT t.job_id, t.chunk_id, count(*) AS words, count(h.idx) AS timed, median(abs(h.start_ms - t.start_ms)) AS deviation FROM tok t LEFT JOIN hyp h ON t.job_id = h.job_id AND t.idx = h.idx AND h.engine = 'b' AND h.sub = 0 AND h.norm = t.norm GROUP BY 1, 2) SELECT job_id, chunk_id, words, timed, deviation, timed * 100 >= 70 * words AND deviation <= 300 AS accepted FROM w")
+@query(f"""WITH {X.ALIGNED}, w AS (SELECT t.job_id, t.chunk_id, count(*) AS words, count(h.idx) AS timed, count(CASE WHEN h.end_ms - h.start_ms <= 10 THEN 1 END) AS tiny, count(DISTINCT h.start_ms // 10) AS starts, median(abs(h.start_ms - t.start_ms)) AS deviation FROM tok t LEFT JOIN am h ON t.job_id = h.job_id AND t.idx = h.idx AND h.engine = 'b' AND h.same GROUP BY 1, 2)
+SELECT job_id, chunk_id, words, timed, deviation, CASE WHEN timed < greatest(1, words * 7 // 10) THEN 'few' WHEN tiny * 10 > 3 * timed THEN 'zero_length' WHEN timed >= 5 AND starts * 2 < timed THEN 'repeated' WHEN timed >= 3 AND deviation > 300 THEN 'deviates' ELSE 'ok' END AS verdict FROM w""")
 def w42_window_check(spark: SparkSession, d: str) -> DataFrame:
-    """An aligned window is accepted if 70 % of its words have times, by the median within 300 ms of the expected ones."""
-    h = X.hyp(spark, d).where("engine = 'b' AND sub = 0").select("job_id", "idx", "norm", F.col("start_ms").alias("at"))
-    w = X.tok(spark, d).join(h, ["job_id", "idx", "norm"], "left").groupBy("job_id", "chunk_id")
-    w = w.agg(F.count("*").alias("words"), F.count("at").alias("timed"), F.percentile(F.abs(F.col("at") - F.col("start_ms")), F.lit(0.5)).alias("deviation"))
-    return w.withColumn("accepted", (F.col("timed") * 100 >= 70 * F.col("words")) & (F.col("deviation") <= 300))
+    """What is wrong with an aligned window: under 70 % of its words have times, over 30 % of those have none of length, under half of their starts
+    differ, or by the median they are more than 300 ms from the expected ones."""
+    h = X.aligned(spark, d).where("engine = 'b' AND same").select("job_id", "idx", F.col("start_ms").alias("at"), F.col("end_ms").alias("until"))
+    w = X.tok(spark, d).join(h, ["job_id", "idx"], "left").groupBy("job_id", "chunk_id")
+    tiny, starts = F.count(F.when(F.col("until") - F.col("at") <= 10, 1)).alias("tiny"), F.count_distinct(F.floor(F.col("at") / 10)).alias("starts")
+    w = w.agg(F.count("*").alias("words"), F.count("at").alias("timed"), tiny, starts, F.percentile(F.abs(F.col("at") - F.col("start_ms")), F.lit(0.5)).alias("deviation"))
+    few = F.col("timed") < F.greatest(F.lit(1), F.floor(F.col("words") * 7 / 10))
+    wrong = F.when(few, "few").when(F.col("tiny") * 10 > 3 * F.col("timed"), "zero_length").when((F.col("timed") >= 5) & (F.col("starts") * 2 < F.col("timed")), "repeated")
+    return w.select("job_id", "chunk_id", "words", "timed", "deviation", wrong.when((F.col("timed") >= 3) & (F.col("deviation") > 300), "deviates").otherwise("ok").alias("verdict"))
 
 
 @query(f"{V._GAPS} SELECT job_id, idx, p + (nx - p) * j // (n + 1) AS start_ms FROM k WHERE p IS NOT NULL AND nx IS NOT NULL")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.plans import fixtures as X
 from cuelattice.plans.book import query
+from cuelattice.sources import files
 from cuelattice.streaming import live
 
 
@@ -27,6 +28,17 @@ def t03_error_rates(spark: SparkSession, d: str) -> DataFrame:
     return live.rates(timed(X.read(spark, d, "events")))
 
 
+@query("SELECT s AS start_us, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM (SELECT event_type, unnest([epoch_us(ts) // 1800000000 * 1800000000, epoch_us(ts) // 1800000000 * 1800000000 - 1800000000]) AS s FROM events) GROUP BY 1")
+def t03_sliding_rates(spark: SparkSession, d: str) -> DataFrame:
+    return live.rates(timed(X.read(spark, d, "events")), slide="30 minutes")
+
+
+@query("SELECT a.user_id, a.event_type AS gram, a.event_id AS first, b.event_id AS again FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 30 MINUTES")
+def t04_repetitions(spark: SparkSession, d: str) -> DataFrame:
+    """Batch twin of the repetition detector: the same kind of event of a user again within half an hour."""
+    return live.repeated_again(timed(X.read(spark, d, "events")).withColumn("gram", F.col("event_type")), "30 minutes")
+
+
 @query("WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events) SELECT user_id, (epoch_us(now) - epoch_us(last)) // 60000000 AS silent_min FROM l, n WHERE epoch_us(now) - epoch_us(last) > 6 * 3600000000")
 def t05_stale_jobs(spark: SparkSession, d: str) -> DataFrame:
     """Jobs without an event for six hours; their last events and the log's end are small aggregates."""
@@ -37,17 +49,21 @@ def t05_stale_jobs(spark: SparkSession, d: str) -> DataFrame:
     return last.withColumn("one", F.lit(1)).join(F.broadcast(now), "one").where(quiet > 6 * 3600 * 1_000_000).select("user_id", F.floor(quiet / 60_000_000).alias("silent_min"))
 
 
-@query("WITH e AS (SELECT user_id AS job_id, event_type AS stage, ts, event_id FROM events) SELECT job_id, stage, count(*) AS runs, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us FROM e GROUP BY 1, 2")
+@query("WITH e AS (SELECT user_id AS job_id, event_type AS stage, epoch_us(ts) AS us, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS nx FROM events) SELECT job_id, stage, count(*) AS runs, coalesce(sum(nx - us), 0)::BIGINT AS took_us, count(nx) AS ended FROM e GROUP BY 1, 2")
 def a29_stage_durations(spark: SparkSession, d: str) -> DataFrame:
-    us = F.unix_micros("at")
-    return timed(X.read(spark, d, "events")).groupBy(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage")).agg(F.count("*").alias("runs"), (F.max(us) - F.min(us)).alias("span_us"))
+    """A stage lasts until the job's next event; how often each ran, and ended."""
+    e = timed(X.read(spark, d, "events")).select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.unix_micros("at").alias("us"), F.unix_micros(F.lead("at").over(W.partitionBy("user_id").orderBy("ts", "event_id"))).alias("nx"))
+    return e.groupBy("job_id", "stage").agg(F.count("*").alias("runs"), F.coalesce(F.sum(F.col("nx") - F.col("us")), F.lit(0)).alias("took_us"), F.count("nx").alias("ended"))
 
 
 @query("WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT user_id, event_type, event_id, value FROM e WHERE rn = 1")
 def s19_store_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Latest row per key, as the store keeps it."""
-    rn = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")))
-    return X.read(spark, d, "events").withColumn("rn", rn).where("rn = 1").select("user_id", "event_type", "event_id", "value")
+    """A store of the first events, one row per job and kind, upserted with the later ones."""
+    e = X.read(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    key, order = ["user_id", "event_type"], ["ts", "event_id"]
+    early = F.col("event_id") % 2 == 0
+    store = files.upserted(e.where(early).limit(0), e.where(early), key, order)
+    return files.upserted(store, e.where(~early), key, order).select("user_id", "event_type", "event_id", "value")
 
 
 @query("SELECT event_id, user_id, ts::VARCHAR AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")

@@ -25,7 +25,7 @@ def p01_normalize_word(spark: SparkSession, d: str) -> DataFrame:
     return X.tok(spark, d).groupBy("norm").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {X.CUE}, {_TAGGED} SELECT job_id, cue_id, trim(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]', ' ', 'g'), ' +', ' ', 'g')) AS bare, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\\[[^\\]]*\\]'), lambda x: NOT regexp_matches(x, '^\\[[0-9:., ]+\\]$') AND upper(x) <> '[END OF AUDIO]'))), '|') AS tags FROM t")
+@query(f"WITH {X.CUE}, {_TAGGED} SELECT job_id, cue_id, trim(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]', ' ', 'g'), ' +', ' ', 'g')) AS bare, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\[([^\\]]*)\\]', 1), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '{T.TIMECODE}') AND NOT contains(x, '{T.END_MARK}')))), '|') AS tags FROM t")
 def p02_tags(spark: SparkSession, d: str) -> DataFrame:
     return _tagged(spark, d).select("job_id", "cue_id", T.strip_tags(F.col("text")).alias("bare"), F.array_join(F.sort_array(T.extract_tags(F.col("text"))), "|").alias("tags"))
 
@@ -42,11 +42,11 @@ def p04_visible_chars(spark: SparkSession, d: str) -> DataFrame:
     return X.cue(spark, d).select("job_id", "cue_id", T.visible_chars(t).alias("chars"), T.longest_line(t).alias("longest"), F.size(T.caption_tokens(t)).alias("n_tokens"))
 
 
-@query(f"WITH {X.CUE}, {_TAGGED} SELECT job_id, cue_id, regexp_matches(trim(text), '^\\[[^\\]]*\\]$') AS isolated, regexp_matches(trim(text), '^(\\[[^\\]]*\\][ \\n]*)+$') AS only_tags, len(list_filter(regexp_extract_all(text, '\\[[^\\]]*\\]'), lambda x: regexp_matches(x, '^\\[[^\\]]*\\p{{L}}[^\\]]*\\]$') AND upper(x) <> '[END OF AUDIO]')) AS sounds FROM t")
+@query(f"WITH {X.CUE}, {_TAGGED} SELECT job_id, cue_id, regexp_matches(trim(text), '^\\[[^\\]]*\\]$') AS isolated, regexp_matches(trim(text), '^(\\[[^\\]]*\\][ \\n]*)+$') AS only_tags, len(list_filter(regexp_extract_all(text, '\\[[^\\]]*\\]'), lambda x: regexp_matches(x, '^\\[[^\\]]+\\]$') AND NOT regexp_matches(lower(x), '{T.NO_SOUND}'))) AS sounds, contains(text, '[') AND len(list_filter(list_transform(regexp_extract_all(text, '\\[([^\\]]*)\\]', 1), lambda x: trim(x)), lambda x: x = '' OR regexp_matches(x, '{T.TIMECODE}') OR contains(upper(x), '{T.END_MARK}'))) = 0 AS keepable FROM t")
 def p05_tag_predicates(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     sounds = F.size(F.filter(F.regexp_extract_all(t, F.lit(T.TAG), F.lit(0)), T.sound_tag))
-    return _tagged(spark, d).select("job_id", "cue_id", T.isolated_tag(t).alias("isolated"), T.tags_only(t).alias("only_tags"), sounds.alias("sounds"))
+    return _tagged(spark, d).select("job_id", "cue_id", T.isolated_tag(t).alias("isolated"), T.tags_only(t).alias("only_tags"), sounds.alias("sounds"), T.keepable_tags(t).alias("keepable"))
 
 
 @query(f"WITH {X.HYP} SELECT engine, count(*) AS kept FROM hyp WHERE start_ms >= 0 AND end_ms - start_ms BETWEEN 20 AND 3000 GROUP BY engine")

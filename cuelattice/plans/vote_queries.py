@@ -22,15 +22,24 @@ def prior(engine: F.Column) -> F.Column:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Reference and heard word lists per chunk and engine."""
-    ref = X.tok(spark, d).groupBy("job_id", "chunk_id").agg(F.max("lang").alias("lang"), F.transform(F.sort_array(F.collect_list(F.struct("idx", "norm"))), lambda x: x["norm"]).alias("ref"))
-    hyp = X.hyp(spark, d).groupBy("job_id", "chunk_id", "engine").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "sub", "norm"))), lambda x: x["norm"]).alias("hyp"))
-    return ref.join(hyp, ["job_id", "chunk_id"])
+    """Word lists of the reference's chunks and of what each engine heard there. What was heard is cut at its first word that matches a chunk's;
+    an engine that heard nothing in a chunk has an empty list, one that heard nothing at all counts in every chunk."""
+    words = lambda at: F.transform(F.sort_array(F.collect_list(F.struct(at, "norm"))), lambda x: x["norm"])
+    t, h = X.tok(spark, d), X.heard(spark, d)
+    ref = t.groupBy("job_id", "chunk_id").agg(F.max("lang").alias("lang"), words("idx").alias("ref"))
+    m = A.aligned(t, h).where("same").join(t.select("job_id", "idx", "chunk_id"), ["job_id", "idx"]).select("job_id", "engine", "pos", "chunk_id")
+    w = W.partitionBy("job_id", "engine").orderBy("pos")
+    at = F.coalesce(F.last("chunk_id", ignorenulls=True).over(w), F.lit(0)).alias("chunk_id")
+    hyp = h.join(m, ["job_id", "engine", "pos"], "left").select("job_id", "engine", "pos", "norm", at).groupBy("job_id", "chunk_id", "engine").agg(words("pos").alias("hyp"))
+    every = ref.withColumn("engine", F.explode(F.array(*[F.lit(e) for e in PRIORS])))
+    return every.join(hyp, ["job_id", "chunk_id", "engine"], "left").withColumn("hyp", F.coalesce("hyp", F.array().cast("array<string>")))
 
 
 #: DuckDB's distance works on bytes, so each distinct word becomes one byte.
-_CHUNKS = f"""WITH {X.HYP}, r AS (SELECT job_id, chunk_id, max(lang) AS lang, list(norm ORDER BY idx) AS ref FROM tok GROUP BY 1, 2), h AS (SELECT job_id, chunk_id, engine, list(norm ORDER BY idx, sub) AS hyp FROM hyp GROUP BY 1, 2, 3),
-c AS (SELECT *, list_distinct(list_concat(ref, hyp)) AS dict FROM r JOIN h USING (job_id, chunk_id)),
+_CHUNKS = f"""WITH {X.ALIGNED}, r AS (SELECT job_id, chunk_id, max(lang) AS lang, list(norm ORDER BY idx) AS ref FROM tok GROUP BY 1, 2),
+hc AS (SELECT h.job_id, h.engine, h.pos, h.norm, coalesce(last_value(t.chunk_id IGNORE NULLS) OVER (PARTITION BY h.job_id, h.engine ORDER BY h.pos), 0) AS chunk_id FROM heard h LEFT JOIN al ON al.job_id = h.job_id AND al.engine = h.engine AND al.pos = h.pos AND al.same LEFT JOIN tok t ON t.job_id = al.job_id AND t.idx = al.idx),
+h AS (SELECT job_id, chunk_id, engine, list(norm ORDER BY pos) AS hyp FROM hc GROUP BY 1, 2, 3),
+c AS (SELECT r.*, x.engine, coalesce(hyp, []) AS hyp, list_distinct(list_concat(ref, coalesce(hyp, []))) AS dict FROM r CROSS JOIN (VALUES ('a'), ('b'), ('c')) x(engine) LEFT JOIN h ON h.job_id = r.job_id AND h.chunk_id = r.chunk_id AND h.engine = x.engine),
 e AS (SELECT job_id, chunk_id, lang, engine, len(ref) AS n, len(hyp) AS m, levenshtein(array_to_string(list_transform(ref, lambda w: chr(32 + list_position(dict, w)::INT)), ''), array_to_string(list_transform(hyp, lambda w: chr(32 + list_position(dict, w)::INT)), '')) AS errors FROM c)"""
 
 
@@ -65,20 +74,19 @@ def a24_error_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def a03_error_split(spark: SparkSession, d: str) -> DataFrame:
-    """Substitutions, deletions and insertions of the chunks that have errors, by one weighted integer cost."""
-    c = _chunks(spark, d).where((F.col("engine") == "a") & (F.col("ref") != F.col("hyp"))).withColumn("cost", A.errors("ref", "hyp"))
+    """Substitutions, deletions and insertions of each chunk and engine, by one weighted integer cost."""
+    c = _chunks(spark, d).withColumn("cost", A.errors("ref", "hyp"))
     both = F.floor(F.col("cost") / A.EDIT) - F.col("cost") % A.EDIT
     more = F.size("ref") - F.size("hyp")
-    return c.select("job_id", "chunk_id", (F.col("cost") % A.EDIT).alias("substitutions"), ((both + more) / 2).cast("int").alias("deletions"), ((both - more) / 2).cast("int").alias("insertions"))
+    return c.select("job_id", "chunk_id", "engine", (F.col("cost") % A.EDIT).alias("substitutions"), ((both + more) / 2).cast("long").alias("deletions"), ((both - more) / 2).cast("long").alias("insertions"))
 
 
 _GRAM = "SELECT job_id, g, min(idx) AS i FROM (SELECT job_id, idx, norm || ' ' || lead(norm, 1) OVER w || ' ' || lead(norm, 2) OVER w AS g FROM {} WINDOW w AS (PARTITION BY job_id ORDER BY idx)) WHERE g IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1"
-_ANCHOR = f"WITH {X.HYP}, hb AS (SELECT job_id, norm, row_number() OVER (PARTITION BY job_id ORDER BY idx, sub) - 1 AS idx FROM hyp WHERE engine = 'b'), an AS (SELECT a.job_id, a.i AS a_idx, b.i AS b_idx FROM ({_GRAM.format('tok')}) a JOIN ({_GRAM.format('hb')}) b ON a.job_id = b.job_id AND a.g = b.g)"
+_ANCHOR = f"WITH {X.HEARD}, hb AS (SELECT job_id, norm, pos AS idx FROM heard WHERE engine = 'b'), an AS (SELECT a.job_id, a.i AS a_idx, b.i AS b_idx FROM ({_GRAM.format('tok')}) a JOIN ({_GRAM.format('hb')}) b ON a.job_id = b.job_id AND a.g = b.g)"
 
 
 def _heard(spark: SparkSession, d: str, engine: str) -> DataFrame:
-    at = F.row_number().over(W.partitionBy("job_id").orderBy("idx", "sub")) - 1
-    return X.hyp(spark, d).where(F.col("engine") == engine).select("job_id", "norm", at.alias("idx"))
+    return X.heard(spark, d).where(F.col("engine") == engine).select("job_id", "norm", F.col("pos").alias("idx"))
 
 
 @query(f"{_ANCHOR} SELECT * FROM an")
@@ -100,14 +108,21 @@ def a14_match_rate(spark: SparkSession, d: str) -> DataFrame:
     return X.tok(spark, d).select("job_id", "idx").join(m, ["job_id", "idx"], "left").groupBy("job_id").agg(F.count("*").alias("words"), F.count("hit").alias("matched"))
 
 
-@query(f"WITH {X.HYP} SELECT t.job_id, t.idx, count(DISTINCT h.engine) AS heard_by FROM tok t LEFT JOIN hyp h ON t.job_id = h.job_id AND t.idx = h.idx AND h.sub = 0 AND h.norm = t.norm GROUP BY 1, 2")
+@query(f"WITH {X.ALIGNED} SELECT job_id, engine, idx, pos, same FROM al")
+def j07_aligned_words(spark: SparkSession, d: str) -> DataFrame:
+    """Each engine's words and the transcript's that they stand for: anchors, extended, and equal gaps."""
+    return A.aligned(X.tok(spark, d), X.heard(spark, d))
+
+
+@query(f"WITH {X.ALIGNED} SELECT t.job_id, t.idx, count(DISTINCT al.engine) AS heard_by FROM tok t LEFT JOIN al ON t.job_id = al.job_id AND t.idx = al.idx AND al.same GROUP BY 1, 2")
 def j09_heard_by(spark: SparkSession, d: str) -> DataFrame:
-    h = X.hyp(spark, d).where("sub = 0").select("job_id", "idx", "norm", "engine")
-    return X.tok(spark, d).select("job_id", "idx", "norm").join(h, ["job_id", "idx", "norm"], "left").groupBy("job_id", "idx").agg(F.count_distinct("engine").alias("heard_by"))
+    t = X.tok(spark, d)
+    m = A.aligned(t, X.heard(spark, d)).where("same").select("job_id", "idx", "engine")
+    return t.select("job_id", "idx").join(m, ["job_id", "idx"], "left").groupBy("job_id", "idx").agg(F.count_distinct("engine").alias("heard_by"))
 
 
-_VOTE = f"""WITH {X.HYP}, st AS (SELECT job_id, chunk_id, engine FROM (SELECT DISTINCT job_id, chunk_id FROM tok), (VALUES ('a'), ('b'), ('c')) e(engine) WHERE NOT (engine = 'c' AND (job_id + chunk_id) % 23 = 0)),
-sl AS (SELECT t.job_id, t.idx, st.engine, {_PRIOR.replace("engine", "st.engine")} AS w, h.norm AS token FROM tok t JOIN st USING (job_id, chunk_id) LEFT JOIN hyp h ON h.job_id = t.job_id AND h.idx = t.idx AND h.engine = st.engine AND h.sub = 0),
+_VOTE = f"""WITH {X.ALIGNED}, st AS (SELECT job_id, chunk_id, engine FROM (SELECT DISTINCT job_id, chunk_id FROM tok), (VALUES ('a'), ('b'), ('c')) e(engine) WHERE NOT (engine = 'c' AND (job_id + chunk_id) % 23 = 0)),
+sl AS (SELECT t.job_id, t.idx, st.engine, {_PRIOR.replace("engine", "st.engine")} AS w, h.norm AS token FROM tok t JOIN st USING (job_id, chunk_id) LEFT JOIN am h ON h.job_id = t.job_id AND h.idx = t.idx AND h.engine = st.engine),
 g AS (SELECT job_id, idx, token, sum(w) AS w, max(CASE WHEN engine = 'a' THEN 1 ELSE 0 END) AS back, list_sort(list(engine)) AS voters FROM sl GROUP BY 1, 2, 3),
 v AS (SELECT *, row_number() OVER (PARTITION BY job_id, idx ORDER BY w DESC, back DESC, token IS NULL, token) AS rn, sum(w) OVER (PARTITION BY job_id, idx) AS total FROM g)"""
 
@@ -122,9 +137,9 @@ def votes(slots: DataFrame) -> DataFrame:
 
 
 def _slots(spark: SparkSession, d: str) -> DataFrame:
-    """Slots of the reference positions: an engine that failed on a chunk does not vote there, one that heard nothing votes null."""
+    """A slot per transcript word, with the words that engines heard in its place: an engine that failed on a chunk does not vote there, one that heard nothing votes null."""
     t = X.tok(spark, d).select("job_id", "idx", "chunk_id", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("engine")).where("NOT (engine = 'c' AND (job_id + chunk_id) % 23 = 0)")
-    h = X.hyp(spark, d).where("sub = 0").select("job_id", "idx", "engine", F.col("norm").alias("token"))
+    h = X.aligned(spark, d).select("job_id", "idx", "engine", F.col("norm").alias("token"))
     return t.join(h, ["job_id", "idx", "engine"], "left").select("job_id", "idx", "engine", prior(F.col("engine")).alias("w"), "token")
 
 
@@ -144,11 +159,11 @@ def a11_confidence_stats(spark: SparkSession, d: str) -> DataFrame:
     return X.hyp(spark, d).groupBy("engine").agg(F.count("*").alias("n"), F.avg("conf").alias("mean"), F.percentile("conf", F.lit(0.5)).alias("median"), *bins)
 
 
-@query(f"WITH {X.HYP} SELECT engine, count(*) AS matched, avg(abs(h.start_ms - t.start_ms)) AS mean_ms, avg((abs(h.start_ms - t.start_ms) <= 50)::INT) AS within_50, avg((abs(h.start_ms - t.start_ms) <= 100)::INT) AS within_100 FROM hyp h JOIN tok t ON h.job_id = t.job_id AND h.idx = t.idx AND h.norm = t.norm WHERE sub = 0 GROUP BY 1")
+@query(f"WITH {X.ALIGNED} SELECT engine, count(*) AS matched, avg(abs(h.start_ms - t.start_ms)) AS mean_ms, avg((abs(h.start_ms - t.start_ms) <= 50)::INT) AS within_50, avg((abs(h.start_ms - t.start_ms) <= 100)::INT) AS within_100 FROM am h JOIN tok t ON h.job_id = t.job_id AND h.idx = t.idx WHERE same GROUP BY 1")
 def a06_timing_error(spark: SparkSession, d: str) -> DataFrame:
-    t = X.tok(spark, d).select("job_id", "idx", "norm", F.col("start_ms").alias("true_ms"))
+    t = X.tok(spark, d).select("job_id", "idx", F.col("start_ms").alias("true_ms"))
     e = F.abs(F.col("start_ms") - F.col("true_ms"))
-    return X.hyp(spark, d).where("sub = 0").join(t, ["job_id", "idx", "norm"]).groupBy("engine").agg(F.count("*").alias("matched"), F.avg(e).alias("mean_ms"), F.avg((e <= 50).cast("int")).alias("within_50"), F.avg((e <= 100).cast("int")).alias("within_100"))
+    return X.aligned(spark, d).where("same").join(t, ["job_id", "idx"]).groupBy("engine").agg(F.count("*").alias("matched"), F.avg(e).alias("mean_ms"), F.avg((e <= 50).cast("int")).alias("within_50"), F.avg((e <= 100).cast("int")).alias("within_100"))
 
 
 @query(f"WITH {X.HYP} SELECT engine, count(*) AS n, (count(*) * 1000 // sum(count(*)) OVER ())::BIGINT AS share FROM hyp GROUP BY 1")
@@ -158,7 +173,7 @@ def a13_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("engine", "n", F.floor(F.col("n") * 1000 / F.col("total")).alias("share"))
 
 
-_AGREE = f"""WITH {X.HYP}, s AS (SELECT *, CASE engine WHEN 'b' THEN 0 WHEN 'a' THEN 1 ELSE 2 END AS pr FROM hyp WHERE sub = 0), b AS (SELECT job_id, idx, start_ms, end_ms, engine FROM s QUALIFY row_number() OVER (PARTITION BY job_id, idx ORDER BY pr) = 1)
+_AGREE = f"""WITH {X.ALIGNED}, s AS (SELECT *, CASE engine WHEN 'b' THEN 0 WHEN 'a' THEN 1 ELSE 2 END AS pr FROM am WHERE same), b AS (SELECT job_id, idx, start_ms, end_ms, engine FROM s QUALIFY row_number() OVER (PARTITION BY job_id, idx ORDER BY pr) = 1)
 SELECT b.job_id, b.idx, b.start_ms, b.end_ms, b.engine AS source, count(*) AS agree FROM b JOIN s ON b.job_id = s.job_id AND b.idx = s.idx AND abs(b.start_ms - s.start_ms) <= 150 AND abs(b.end_ms - s.end_ms) <= 150 GROUP BY ALL"""
 
 
@@ -166,7 +181,7 @@ SELECT b.job_id, b.idx, b.start_ms, b.end_ms, b.engine AS source, count(*) AS ag
 def a15_anchor_spans(spark: SparkSession, d: str) -> DataFrame:
     """Each word's span from the best timing source, and how many sources agree within 150 ms (two make it strong)."""
     rank = F.when(F.col("engine") == "b", 0).when(F.col("engine") == "a", 1).otherwise(2)
-    g = X.hyp(spark, d).where("sub = 0").groupBy("job_id", "idx").agg(F.sort_array(F.collect_list(F.struct(rank.alias("r"), "engine", "start_ms", "end_ms"))).alias("s"))
+    g = X.aligned(spark, d).where("same").groupBy("job_id", "idx").agg(F.sort_array(F.collect_list(F.struct(rank.alias("r"), "engine", "start_ms", "end_ms"))).alias("s"))
     best = F.element_at("s", 1)
     near = F.filter("s", lambda x: (F.abs(x["start_ms"] - best["start_ms"]) <= 150) & (F.abs(x["end_ms"] - best["end_ms"]) <= 150))
     return g.select("job_id", "idx", best["start_ms"].alias("start_ms"), best["end_ms"].alias("end_ms"), best["engine"].alias("source"), F.size(near).cast("long").alias("agree"))
@@ -181,7 +196,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY job_id, g ORDER BY idx) AS j, co
 def untimed_runs(words: DataFrame) -> DataFrame:
     """Words without time with their run: j of n in it, end p of the word before, start nx of the one after. words: job_id, idx, s, e."""
     w = W.partitionBy("job_id").orderBy("idx")
-    r = words.withColumn("g", F.count("s").over(w)).withColumn("p", F.last("e", ignorenulls=True).over(w)).withColumn("nx", F.first("s", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))).where("s IS NULL")
+    # The row itself is untimed where it counts, so the next timed one is among those after it.
+    r = words.withColumn("g", F.count("s").over(w)).withColumn("p", F.last("e", ignorenulls=True).over(w)).withColumn("nx", F.last("s", ignorenulls=True).over(A.backwards(["job_id"], "idx"))).where("s IS NULL")
     g = W.partitionBy("job_id", "g")
     return r.withColumn("j", F.row_number().over(g.orderBy("idx"))).withColumn("n", F.count("*").over(g))
 

@@ -13,13 +13,22 @@ def utterances(events: DataFrame, gap: str = "2 hours", late: str | None = None)
     return g.select("user_id", F.unix_micros("s.start").alias("start_us"), "n")
 
 
-def rates(events: DataFrame, length: str = "1 hour", late: str | None = None) -> DataFrame:
-    """Events and errors per tumbling window (start_us, n, errors)."""
+def rates(events: DataFrame, length: str = "1 hour", late: str | None = None, slide: str | None = None) -> DataFrame:
+    """Events and errors per window (start_us, n, errors); windows are tumbling, or slide."""
     events = events.withWatermark("at", late) if late else events
-    g = events.groupBy(F.window("at", length).alias("w")).agg(F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"))
+    g = events.groupBy(F.window("at", length, slide).alias("w")).agg(F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"))
     return g.select(F.unix_micros("w.start").alias("start_us"), "n", "errors")
 
 
+def repeated_again(events: DataFrame, within: str = "30 seconds", late: str | None = None) -> DataFrame:
+    """Repetition with a memory: each event with the same (user_id, event_type, gram) as an earlier one of at most `within` before it (user_id, gram, first,
+    again: event ids). A self-join with a time bound, so a stream keeps no more than `within` and `late` of events. events: user_id, at, event_id, gram."""
+    a, b = ((events.withWatermark("at", late) if late else events).select(*[F.col(c).alias(f"{c}_{k}") for c in ("user_id", "gram", "at", "event_id")]) for k in "ab")
+    near = (F.col("at_b") > F.col("at_a")) & (F.col("at_b") <= F.col("at_a") + F.expr(f"INTERVAL {within}"))
+    both = a.join(b, (F.col("user_id_a") == F.col("user_id_b")) & (F.col("gram_a") == F.col("gram_b")) & near)
+    return both.select(F.col("user_id_a").alias("user_id"), F.col("gram_a").alias("gram"), F.col("event_id_a").alias("first"), F.col("event_id_b").alias("again"))
+
+
 def latest(events: DataFrame) -> DataFrame:
     """Last state per job of an event log (user_id, state, n)."""
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("at", "event_id")).alias("state"), F.count("*").alias("n"))

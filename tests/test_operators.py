@@ -1,11 +1,13 @@
 """Small hand-made inputs for the library's own operators."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cuelattice.functions import text as T
 from cuelattice.operators import align as A
 from cuelattice.operators import cues as C
 from cuelattice.operators import intervals as I
+from cuelattice.operators import signals as S
 from cuelattice.plans import vote_queries as V
 from cuelattice.sources import files
 from cuelattice.streaming import live
@@ -19,7 +21,7 @@ def test_words(spark):
     assert one(spark, T.normalize_word(F.col("w")), w="Über-Straße!") == "überstraße"
     assert one(spark, T.sentence_end(F.col("w")), w="go to St.") is False
     assert one(spark, T.sentence_end(F.col("w")), w='He said "Go."') is True
-    assert one(spark, T.extract_tags(F.col("w")), w="[music] a [00:01:02] [END OF AUDIO]") == ["[music]"]
+    assert one(spark, T.extract_tags(F.col("w")), w="[music] a [00:01:02] [END OF AUDIO]") == ["music"]
     assert one(spark, T.metric_words(F.col("w")), w="I can't hear uh twenty [noise]") == ["i", "can", "not", "hear", "20"]
     assert one(spark, T.script_of(F.col("w")), w="слово") == "ru"
 
@@ -64,7 +66,7 @@ def test_word_errors(spark):
     df = spark.createDataFrame([("the cat sat on the mat".split(), "the cat sat on a mat".split()), ([], ["x"]), (["a", "b"], [])], "a array<string>, b array<string>")
     got = df.select(A.distance(F.col("a"), F.col("b")).alias("d"), A.errors("a", "b").alias("e")).collect()
     assert [r.d for r in got] == [1, 1, 2]
-    assert [(r.e // 4096, r.e % 4096) for r in got] == [(1, 1), (1, 0), (2, 0)]
+    assert [(r.e // A.EDIT, r.e % A.EDIT) for r in got] == [(1, 1), (1, 0), (2, 0)]
 
 
 def test_votes(spark):
@@ -130,7 +132,7 @@ def test_alignment_pairs_cost_what_the_errors_say(spark):
     for r in spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", A.errors("a", "b").alias("e"), A.pairs("a", "b").alias("p")).collect():
         assert [p.a for p in r.p if p.a is not None] == list(range(len(r.a))) and [p.b for p in r.p if p.b is not None] == list(range(len(r.b)))
         wrong = [p for p in r.p if not p.same]
-        assert r.e == 4096 * len(wrong) + sum(p.a is not None and p.b is not None for p in wrong)
+        assert r.e == A.EDIT * len(wrong) + sum(p.a is not None and p.b is not None for p in wrong)
         assert all(r.a[p.a] == r.b[p.b] for p in r.p if p.same)
 
 
@@ -166,3 +168,69 @@ def test_calibration_raises_a_telling_weight(spark):
     df = spark.createDataFrame([(1, 1)] * 60 + [(0, 0)] * 60, "music int, label int")
     got = {r.feature: r.weight for r in B.calibrated(df, ["music"], "label", [0.7], -3.2).collect()}
     assert got["music"] > 0.7
+
+
+def test_aligned_with_own_positions(spark):
+    """What was heard has its own positions: dropped, extra and changed words, a repeated one, and an engine without a match."""
+    ref = "the quick brown fox jumps over the lazy dog and then it sleeps for a long long while".split()
+    a = "the quick brown fox uh jumps over the crazy dog and it sleeps for a long long while".split()
+    ref_rows = spark.createDataFrame([(1, i, w) for i, w in enumerate(ref)], "job_id long, idx long, norm string")
+    heard = spark.createDataFrame([(1, "a", i, w) for i, w in enumerate(a)] + [(1, "b", 0, "nothing"), (1, "b", 1, "alike")], "job_id long, engine string, pos long, norm string")
+    got = {(r.engine, r.idx): (r.pos, r.same) for r in A.aligned(ref_rows, heard).collect()}
+    assert all(e == "a" for e, _ in got)
+    want = {0: 0, 1: 1, 2: 2, 3: 3, 4: 5, 5: 6, 6: 7, 8: 9, 9: 10} | {i: i for i in range(11, 18)}
+    assert {i: p for (_, i), (p, same) in got.items() if same} == want
+    assert got["a", 7] == (8, False) and ("a", 10) not in got
+
+
+def test_edit_costs_of_long_lists(spark):
+    df = spark.createDataFrame([([f"a{i}" for i in range(5000)], [f"b{i}" for i in range(5000)])], "x array<string>, y array<string>")
+    assert df.select(A.errors("x", "y").alias("c")).first().c == 5000 * A.SUBSTITUTION
+    words = spark.createDataFrame([([f"w{i}" for i in range(40000)],)], "d array<string>")
+    letters = words.select(A.as_letters(F.array(F.lit("w0"), F.lit("w35327"), F.lit("w35328"), F.lit("w39999")), F.col("d")).alias("s")).first().s
+    assert len(set(letters)) == 4 and letters.encode("utf-16-be", "strict").decode("utf-16-be") == letters
+
+
+def test_signals(spark):
+    clip = spark.createDataFrame([(1, i, x) for i, x in enumerate([0.1, 0.9, 0.9, 0.9, 0.2, -0.9, 0.9, 0.3])] + [(2, i, 0.2) for i in range(5)], "k long, at long, x double")
+    assert {r.k: (r.n, r.clipped) for r in S.clipped(clip, ["k"]).collect()} == {1: (8, 3), 2: (5, 0)}
+    frames = spark.createDataFrame([(1, i, p) for i, p in enumerate([9, 1, 5, 7])] + [(2, 0, 3), (2, 1, 8)], "job_id long, frame long, p long")
+    assert sorted((r.job_id, r.frame, r.smooth) for r in S.running_median(frames, 1).collect()) == [(1, 0, 9.0), (1, 1, 5.0), (1, 2, 5.0), (1, 3, 7.0), (2, 0, 3.0), (2, 1, 8.0)]
+    t = np.arange(512) / 16000
+    waves = spark.createDataFrame([(1, np.sin(2 * np.pi * 6000 * t).tolist()), (2, np.sin(2 * np.pi * 500 * t).tolist()), (3, [0.0] * 512)], "k long, frame array<double>")
+    share = {r.k: r.share for r in S.high_share(waves, "k").collect()}
+    assert share[1] > 0.99 and share[2] < 0.01 and share[3] is None
+    rng = np.random.default_rng(1)
+    rows = [(1, float(x)) for x in rng.normal(0, 1, 4000)] + [(2, 0.0)] * 9 + [(3, float(x)) for x in rng.gamma(0.4, 1, 4000)]
+    snr = {r.k: r.snr_db for r in S.blind_snr(spark.createDataFrame(rows, "k long, x double"), ["k"]).collect()}
+    assert snr[1] < 0 and snr[2] is None and snr[3] > 40  # noise, silence, clean speech amplitudes
+
+
+def test_edit_log_upsert_and_textgrid(spark, tmp_path):
+    edits = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "job_id long, cue long, text string")
+    files.append_edits(edits, f"file://{tmp_path}/log")
+    files.append_edits(edits.limit(1).withColumn("text", F.lit("c")), f"file://{tmp_path}/log")
+    assert sorted(r.text for r in files.read_edits(spark, f"file://{tmp_path}/log", "job_id long, cue long, text string").collect()) == ["a", "b", "c"]
+    store = spark.createDataFrame([(1, 1, "old"), (2, 1, "kept")], "id long, at long, v string")
+    assert sorted((r.id, r.v) for r in files.upserted(store, spark.createDataFrame([(1, 2, "new"), (3, 0, "x")], store.schema), ["id"], ["at"]).collect()) == [(1, "new"), (2, "kept"), (3, "x")]
+    grid = 'item [1]:\n name = "words"\n intervals [1]:\n xmin = 0\n xmax = 0.5\n text = "hi"\n intervals [2]:\n xmin = 0.5\n xmax = 0.75\n text = "<eps>"\n intervals [3]:\n xmin = 0.75 \n xmax = 1.25 \n text = "say ""x""" \nitem [2]:\n name = "phones"\n intervals [1]:\n xmin = 0\n xmax = 9\n text = "no"'
+    got = files.from_textgrid(spark.createDataFrame([(1, grid)], "job_id long, grid string")).collect()
+    assert [(r.n, r.start_ms, r.end_ms, r.word) for r in got] == [(0, 0, 500, "hi"), (2, 750, 1250, 'say "x"')]
+    keys = spark.createDataFrame([("a", "b"), ("ab", ""), ("a", "b")], "x string, y string").select(files.settings_key(F.col("x"), F.col("y")).alias("k")).collect()
+    assert keys[0] == keys[2] != keys[1]
+
+
+def test_cues_without_speaker_or_text(spark):
+    cues = spark.createDataFrame([(1, 1, 0, 900, "A & B", "Hi\n \n there "), (1, 2, 1000, 1900, None, "who?"), (1, 3, 2000, 2900, "B", None)], "job_id long, cue_id int, start_ms long, end_ms long, who string, text string")
+    assert C.vtt(cues, "who").first().vtt == "WEBVTT\n\n1\n00:00:00.000 --> 00:00:00.900\n<v A &amp; B>Hi\nthere\n\n2\n00:00:01.000 --> 00:00:01.900\nwho?\n\n3\n00:00:02.000 --> 00:00:02.900\n"
+    assert C.srt(cues).first().srt.count(" --> ") == 3
+    assert C.transcript(C.speaker_runs(cues, "who", 1750), "who").first().txt == "[00:00:00] A & B: Hi    there \n\n[00:00:01] who?\n\n[00:00:02] B: "
+    T.register_sql(spark)
+    r = spark.sql("SELECT cl_timecode_ms('nonsense') a, cl_timecode_ms(NULL) b, cl_timecode_ms('01:02:03.004') c, cl_timecode(3723004) d, cl_strip_tags('[x] a  [y]b') e").first()
+    assert tuple(r) == (0, 0, 3723004, "01:02:03,004", "a b")
+
+
+def test_tags(spark):
+    rows = spark.createDataFrame([("[music]",), ("[?]",), ("[inaudible 00:01:02]",), ("[]",)], "t string")
+    assert [r[0] for r in rows.select(T.sound_tag(F.col("t"))).collect()] == [True, False, False, False]
+    assert [r[0] for r in rows.select(T.keepable_tags(F.col("t"))).collect()] == [True, True, True, False]
