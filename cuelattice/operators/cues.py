@@ -69,13 +69,17 @@ def offences(cues: DataFrame, cpl: int = 42, lines: int = 2, most_ms: int = 7000
     return cues.withColumn("rule", F.explode(F.filter(rules, lambda r: r.isNotNull()))).drop("next_")
 
 
-def repeats(words: DataFrame, n: int, within_ms: int = 30000) -> DataFrame:
-    """n-grams (job_id, first, again) that come again within the time, each with its earlier occurrence."""
+def repeats(words: DataFrame, least: int = 3, most: int = 8, within_ms: int = 30000) -> DataFrame:
+    """The first time that each n-gram of least to most words comes again within the time: (job_id, n, first, again), positions of both. Grams meet by
+    their 64-bit hashes."""
     w = W.partitionBy("job_id").orderBy("idx")
-    gram = F.concat_ws(" ", *[F.lead("norm", k).over(w) if k else F.col("norm") for k in range(n)])
-    g = words.withColumn("gram", gram).withColumn("whole", F.lead("norm", n - 1).over(w).isNotNull()).where("whole AND norm <> ''")
-    v = W.partitionBy("job_id", "gram").orderBy("idx")
-    return g.withColumn("first", F.lag("idx").over(v)).withColumn("gone", F.col("start_ms") - F.lag("start_ms").over(v)).where(F.col("gone") <= within_ms).select("job_id", "gram", "first", F.col("idx").alias("again"))
+    ahead = [F.lead("norm", k).over(w) if k else F.col("norm") for k in range(most)]
+    grams = F.filter(F.array(*[F.when(ahead[n - 1].isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), *ahead[:n]).alias("gram"))) for n in range(least, most + 1)]), lambda g: g.isNotNull())
+    g = words.select("job_id", "idx", "start_ms", grams.alias("grams")).select("job_id", "idx", "start_ms", F.explode("grams").alias("g")).select("job_id", "idx", "start_ms", "g.n", "g.gram")
+    v = W.partitionBy("job_id", "n", "gram").orderBy("idx")
+    again = g.withColumn("first", F.lag("idx").over(v)).withColumn("gone", F.col("start_ms") - F.lag("start_ms").over(v)).where(F.col("gone") <= within_ms)
+    found = again.groupBy("job_id", "n", "gram").agg(F.min(F.struct(F.col("idx").alias("again"), "first")).alias("m"))
+    return found.select("job_id", "n", "m.first", "m.again")
 
 
 def loops(words: DataFrame, n: int) -> DataFrame:

@@ -149,13 +149,15 @@ def s03_truth_source(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min_by("kind", "p").alias("truth"), F.count("*").alias("sources"))
 
 
-@query("""WITH s AS (SELECT source, lang, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5(source || '/' || lang)) AS place FROM documents GROUP BY 1, 2), u AS (SELECT d.doc_id, d.source, d.lang, row_number() OVER (PARTITION BY d.source, d.lang ORDER BY d.doc_id) AS k FROM documents d JOIN s ON d.source = s.source AND d.lang = s.lang AND place <= 3) SELECT doc_id, source, lang FROM u WHERE k <= 4""")
+@query("""WITH s AS (SELECT DISTINCT source, lang, substr(md5(source), 1, 1) >= '8' AS male FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY lang, male ORDER BY md5(source || '/' || lang)) AS k FROM s),
+c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k, male) AS place FROM r), u AS (SELECT d.doc_id, d.source, d.lang, male, row_number() OVER (PARTITION BY d.source, d.lang ORDER BY d.doc_id) AS n FROM documents d JOIN c ON d.source = c.source AND d.lang = c.lang AND place <= 4) SELECT doc_id, source, lang, male FROM u WHERE n <= 4""")
 def s10_balanced_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A balanced sample: per language three speakers (sources) in hashed order, of each the first four items."""
+    """A balanced sample: per language four speakers (sources) in hashed order, the sexes by turns (here by hash), of each the first four items."""
     docs = X.read(spark, d, "documents").select("doc_id", "source", "lang")
-    s = docs.groupBy("source", "lang").count().withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.md5(F.concat_ws("/", "source", "lang")))))
-    u = docs.join(s.where("place <= 3").select("source", "lang"), ["source", "lang"], "left_semi")
-    return u.withColumn("k", F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id"))).where("k <= 4").select("doc_id", "source", "lang")
+    s = docs.where("source IS NOT NULL AND lang IS NOT NULL").select("source", "lang").distinct().withColumn("male", F.substring(F.md5("source"), 1, 1) >= "8")
+    r = s.withColumn("k", F.row_number().over(W.partitionBy("lang", "male").orderBy(F.md5(F.concat_ws("/", "source", "lang")))))
+    c = r.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("k", "male"))).where("place <= 4").select("source", "lang", "male")
+    return docs.join(c, ["source", "lang"]).withColumn("n", F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id"))).where("n <= 4").select("doc_id", "source", "lang", "male")
 
 
 @query("""WITH e AS (SELECT user_id AS job_id, event_type AS cue, event_id, floor(value * 100)::BIGINT AS amount, ts FROM events) SELECT job_id, cue, max_by(event_id, (ts, event_id)) AS edit, max_by(amount, (ts, event_id)) AS amount, count(*) AS edits FROM e GROUP BY 1, 2""")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuelattice.operators import intervals as I
 from cuelattice.plans import fixtures as X
 from cuelattice.plans.book import query
+from cuelattice.plans.interval_queries import _WINDOWS
 
 
 @query(f"WITH {X.HYP} SELECT job_id, engine, count(*) AS n FROM (SELECT job_id, engine FROM hyp UNION ALL SELECT job_id, 'ref' FROM tok) GROUP BY 1, 2")
@@ -24,11 +26,13 @@ def u02_missing_and_extra_words(spark: SparkSession, d: str) -> DataFrame:
     return g.select("job_id", "norm", F.when(F.col("s") > 0, "missing").otherwise("extra").alias("kind"), F.abs("s").alias("n"))
 
 
-@query("WITH e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) SELECT user_id, event_type, event_id FROM e WHERE rn = 1")
+@query(f"WITH {X.TOK}, {_WINDOWS} SELECT t.job_id, idx, min(window_id) AS window_id, count(*) AS windows FROM tok t JOIN wi ON t.job_id = wi.job_id AND t.start_ms >= from_ms - 20000 AND t.start_ms < to_ms + 20000 WHERE length(norm) > 9 GROUP BY 1, 2")
 def u04_distinct_findings(spark: SparkSession, d: str) -> DataFrame:
-    """The first finding of each key over overlapping windows."""
-    g = X.read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("m"))
-    return g.select("user_id", "event_type", "m.event_id")
+    """Findings (here: long words) in windows that overlap by their context: each word once, as its first window has it."""
+    t = X.tok(spark, d)
+    windows = I.fixed_chunks(t.groupBy("job_id").agg(F.max("end_ms").alias("duration_ms")), 90000).select("job_id", F.col("chunk_id").alias("window_id"), (F.col("start_ms") - 20000).alias("start_ms"), (F.col("start_ms") + 110000).alias("end_ms"))
+    found = t.where(F.length("norm") > 9).select("job_id", "idx", "start_ms", (F.col("start_ms") + 1).alias("end_ms"))
+    return I.interval_join(found, windows, 30000).groupBy("l.job_id", "l.idx").agg(F.min("r.window_id").cast("long").alias("window_id"), F.count("*").alias("windows"))
 
 
 @query("WITH e AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS warnings FROM e GROUP BY 1")
@@ -88,11 +92,20 @@ def j20_edited_spans(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("job_id", "g").agg(F.min("idx").alias("first"), F.max("idx").alias("last")).drop("g")
 
 
-@query("WITH s AS (SELECT user_id AS job_id, event_type AS stage, ts, event_id, event_type <> 'error' AS done FROM events), l AS (SELECT job_id, max_by(done, (ts, event_id)) AS ended, max_by(stage, CASE WHEN done THEN (ts, event_id) END) AS last_stage FROM s GROUP BY 1) SELECT job_id, last_stage FROM l WHERE NOT ended")
+@query("""WITH s AS (SELECT user_id AS job_id, event_type AS stage, epoch_us(ts) AS us, event_id FROM events), n AS (SELECT max(us) AS now FROM s), live AS (SELECT DISTINCT job_id FROM s, n WHERE us > now - 1800000000),
+l AS (SELECT job_id, max(us) AS last, max_by(stage, (us, event_id)) = 'error' AS interrupted, max_by(stage, CASE WHEN stage <> 'error' THEN (us, event_id) END) AS last_stage, count(CASE WHEN stage <> 'error' THEN 1 END) AS completed, count(*) AS stages FROM s GROUP BY 1)
+SELECT job_id, last_stage, completed, stages, (now - last) // 1000000 AS age_s FROM l, n WHERE (interrupted OR now - last >= 21600000000) AND job_id NOT IN (SELECT job_id FROM live)""")
 def j21_resume_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs whose last stage failed, with the last one that completed."""
-    s = X.read(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.struct("ts", "event_id").alias("o"), (F.col("event_type") != "error").alias("done"))
-    return s.groupBy("job_id").agg(F.max_by("done", "o").alias("ended"), F.max_by("stage", F.when(F.col("done"), F.col("o"))).alias("last_stage")).where("NOT ended").select("job_id", "last_stage")
+    """Jobs that were interrupted (their last stage failed), or had no event for six hours, and are not live (an event in the last half hour), with
+    the last stage that completed. The log's end is one row."""
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    s = X.read(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), us.alias("us"), "event_id").withColumn("done", F.col("stage") != "error")
+    end = F.broadcast(s.agg(F.max("us").alias("now")).withColumn("one", F.lit(1)))
+    at = F.struct("us", "event_id")
+    last = s.groupBy("job_id").agg(F.max("us").alias("last"), (~F.max_by("done", at)).alias("interrupted"), F.max_by("stage", F.when(F.col("done"), at)).alias("last_stage"), F.count_if("done").alias("completed"), F.count("*").alias("stages"))
+    live = s.withColumn("one", F.lit(1)).join(end, "one").where("us > now - 1800000000").select("job_id").distinct()
+    jobs = last.withColumn("one", F.lit(1)).join(end, "one").where("interrupted OR now - last >= 21600000000").join(live, "job_id", "left_anti")
+    return jobs.select("job_id", "last_stage", "completed", "stages", F.floor((F.col("now") - F.col("last")) / 1000000).alias("age_s"))
 
 
 @query(f"WITH {X.CUE}, t AS (SELECT job_id, start_ms - 300 AS start_ms, '[' || role || ']' AS text, 1 AS tag FROM cue WHERE cue_id % 2 = 0 UNION ALL SELECT job_id, start_ms, text, 0 FROM cue) SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, tag, text) AS place, start_ms, text FROM t")

@@ -12,17 +12,28 @@ from cuelattice.plans import vote_queries as V
 from cuelattice.plans.book import query
 
 
-@query(f"{Q._REVIEW} SELECT job_id, '{{\"job\":' || job_id || ',\"cues\":' || count(*) || ',\"accept\":' || count(CASE WHEN tier = 'accept' THEN 1 END) || ',\"redo\":' || count(CASE WHEN tier = 'redo' THEN 1 END) || '}}' AS review FROM t GROUP BY 1")
+@query(f"""{Q._REVIEW} SELECT job_id, '{{"job":' || job_id || ',"summary":{{"cues":' || count(*) || ',"accept":' || count(CASE WHEN tier = 'accept' THEN 1 END) || ',"redo":' || count(CASE WHEN tier = 'redo' THEN 1 END) || '}},"queue":[' || coalesce(string_agg(CASE WHEN tier <> 'accept' THEN chunk_id::VARCHAR END, ',' ORDER BY round(risk, 9) DESC, start_ms, chunk_id), '')
+ || '],"cues":[' || string_agg('{{"cue":' || chunk_id || ',"tier":"' || tier || '"}}', ',' ORDER BY chunk_id) || ']}}' AS review FROM t GROUP BY 1""")
 def s17_review_json(spark: SparkSession, d: str) -> DataFrame:
+    """Each job's review: summary, queue of the cues to look at by falling risk, and all cues."""
     n = lambda t: F.count(F.when(F.col("tier") == t, 1)).alias(t)
-    g = Q._review(spark, d).groupBy("job_id").agg(F.count("*").alias("cues"), n("accept"), n("redo"))
-    return g.select("job_id", F.to_json(F.struct(F.col("job_id").alias("job"), "cues", "accept", "redo")).alias("review"))
+    waiting = F.when(F.col("tier") != "accept", F.struct((-F.round("risk", 9)).alias("r"), "start_ms", "chunk_id"))
+    g = Q._review(spark, d).groupBy("job_id").agg(F.count("*").alias("cues"), n("accept"), n("redo"), F.sort_array(F.collect_list(waiting)).alias("queue"), F.sort_array(F.collect_list(F.struct("chunk_id", "tier"))).alias("all"))
+    whole = F.struct(F.col("job_id").alias("job"), F.struct("cues", "accept", "redo").alias("summary"), F.transform("queue", lambda x: x["chunk_id"]).alias("queue"), F.transform("all", lambda x: F.struct(x["chunk_id"].alias("cue"), x["tier"].alias("tier"))).alias("cues"))
+    return g.select("job_id", F.to_json(whole).alias("review"))
 
 
-@query("SELECT user_id, '{\"job\":' || user_id || ',\"events\":' || count(*) || ',\"failed\":' || count(CASE WHEN event_type = 'error' THEN 1 END) || ',\"stages\":[' || string_agg(DISTINCT '\"' || event_type || '\"', ',' ORDER BY '\"' || event_type || '\"') || ']}' AS manifest FROM events GROUP BY 1")
+_DONE = "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END"
+
+
+@query(f"""SELECT user_id, '{{"job":' || user_id || ',"counts":{{"done":' || count(CASE WHEN event_type <> 'error' THEN 1 END) || ',"failed":' || count(CASE WHEN event_type = 'error' THEN 1 END) || '}},"files":[' || string_agg('{{"file":' || event_id || ',"stage":"' || event_type || '","status":"' || {_DONE} || '"}}', ',' ORDER BY event_id) || ']}}' AS manifest FROM events GROUP BY 1""")
 def s18_job_manifest(spark: SparkSession, d: str) -> DataFrame:
-    g = X.read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("events"), F.count(F.when(F.col("event_type") == "error", 1)).alias("failed"), F.sort_array(F.collect_set("event_type")).alias("stages"))
-    return g.select("user_id", F.to_json(F.struct(F.col("user_id").alias("job"), "events", "failed", "stages")).alias("manifest"))
+    """A job's manifest: counts by status and an entry per file, in order."""
+    status = F.when(F.col("event_type") == "error", "failed").otherwise("done")
+    n = lambda s: F.count_if(status == s).alias(s)
+    entry = F.struct(F.col("event_id").alias("file"), F.col("event_type").alias("stage"), status.alias("status"))
+    g = X.read(spark, d, "events").groupBy("user_id").agg(n("done"), n("failed"), F.sort_array(F.collect_list(entry)).alias("files"))
+    return g.select("user_id", F.to_json(F.struct(F.col("user_id").alias("job"), F.struct("done", "failed").alias("counts"), "files")).alias("manifest"))
 
 
 @query(f"""{Q._REVIEW.replace(f"WITH {X.TOK}", f"WITH {X.ALIGNED}", 1)}, x AS (SELECT t.job_id, t.chunk_id, count(CASE WHEN t.norm IS DISTINCT FROM h.norm THEN 1 END) > 2 AS wrong FROM tok t LEFT JOIN am h ON t.job_id = h.job_id AND t.idx = h.idx AND h.engine = 'a' GROUP BY 1, 2)
