@@ -14,14 +14,23 @@ from cuelattice.plans.book import query
 from cuelattice.plans.match_queries import a33_calibration_examples
 
 
-@query()
+def _grouped_sql(gap_ms: int, most_ms: int) -> str:
+    """CTEs over sg (job_id, start_ms, end_ms), and the groups: one segment of every part at a time."""
+    fits = f"gp.end_ms - gf.opened <= {most_ms}"
+    return f"""gp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id, part ORDER BY start_ms, end_ms) AS rn FROM (SELECT job_id, start_ms, end_ms, sum(fresh) OVER (PARTITION BY job_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING)::BIGINT AS part
+ FROM (SELECT *, coalesce((start_ms - lag(end_ms) OVER (PARTITION BY job_id ORDER BY start_ms, end_ms) > {gap_ms})::INT, 0) AS fresh FROM sg))),
+gf AS (SELECT job_id, part, rn, 0 AS place, start_ms AS opened, end_ms AS until FROM gp WHERE rn = 1 UNION ALL SELECT gp.job_id, gp.part, gp.rn, CASE WHEN {fits} THEN place ELSE place + 1 END, CASE WHEN {fits} THEN opened ELSE gp.start_ms END, gp.end_ms FROM gf JOIN gp ON gp.job_id = gf.job_id AND gp.part = gf.part AND gp.rn = gf.rn + 1)
+SELECT job_id, part, place::INT AS place, min(opened) AS start_ms, max(until) AS end_ms, count(*)::INT AS n FROM gf GROUP BY 1, 2, 3"""
+
+
+@query(f"{Q._SENT.replace('WITH', 'WITH RECURSIVE', 1)}, sg AS (SELECT job_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM s GROUP BY job_id, sentence), {_grouped_sql(2000, 28000)}")
 def w02_speech_groups(spark: SparkSession, d: str) -> DataFrame:
     """Sentences as speech segments, in groups without a gap over two seconds and of at most 28 seconds."""
-    s = C.sentences(X.tok(spark, d)).groupBy("job_id", "sentence").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    s = Q._sentences(spark, d).groupBy("job_id", "sentence").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     return B.grouped(s, gap_ms=2000, most_ms=28000)
 
 
-@query()
+@query(f"WITH RECURSIVE {X.TOK}, sg AS (SELECT job_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM tok GROUP BY job_id, chunk_id), {_grouped_sql(2500, 30000)}")
 def w41_joined_windows(spark: SparkSession, d: str) -> DataFrame:
     """Voted chunks joined to windows of at most 30 seconds."""
     c = X.tok(spark, d).groupBy("job_id", "chunk_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
