@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import ann, bpe, huffman, langid, mixing, neardup, ogg, passages, spans, toolcalls, urlrep
+from cuelattice.llm import ann, audit, bpe, decontam, huffman, langid, merkle, mixing, neardup, ogg, passages, spans, toolcalls, urlrep
 from cuelattice.llm.shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -59,10 +59,22 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.stored_ids(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_byte_bpe, op2_source_mixing, op3_minhash_neardup, op4_lsh_neighbours, op5_span_dedup, op5_passage_dedup, op6_url_filter, op7_language_id, op8_tool_calls, op9_ogg_media, op10_huffman_ids)
+    every = (op1_byte_bpe, op2_source_mixing, op3_minhash_neardup, op4_lsh_neighbours, op5_span_dedup, op5_passage_dedup, op6_url_filter, op7_language_id, op8_tool_calls, op9_ogg_media, op10_huffman_ids, op11_filter_audit, op12_merkle_manifest, op13_decontamination)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.SQL, "op5_span_dedup": spans.SQL, "op6_url_filter": urlrep.SQL, "op8_tool_calls": toolcalls.SQL}
+    return {"op2_source_mixing": mixing.SQL, "op5_span_dedup": spans.SQL, "op6_url_filter": urlrep.SQL, "op8_tool_calls": toolcalls.SQL, "op11_filter_audit": audit.SQL, "op12_merkle_manifest": merkle.SQL, "op13_decontamination": decontam.SQL}
