@@ -2,7 +2,7 @@
 
 Leaves are numbered per source by one range sort; from there on every level has its nodes numbered, so that runs of 16 are known
 without a search. Per level, lag and lead columns at fixed offsets 1 to 15, masked by a node's slot in its run and the run's length, are
-its siblings; the first child of each run hashes its parent from its own digest and its leads. Windows hold blocks of 1024 neighbouring
+its siblings; the first child of each run hashes its parent from its own digest and its leads. Windows hold blocks of 256 neighbouring
 nodes, so a source with a third of all rows is many windows. Each level is a table 16 times smaller than the one below; parents' paths
 are then joined downwards by (source, run).
 
@@ -15,14 +15,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuelattice.llm.shared import written
+from cuelattice.llm.shared import dropped, written
 
 #: Children of a node; nodes of a window.
-FAN, BLOCK = 16, 1024
+FAN, BLOCK = 16, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PATH = "array<struct<left:string,right:string>>"
 
@@ -44,17 +44,32 @@ def leaves(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", key.alias("key"), leaf(F.col("text")).alias("leaf"), F.when(hit, leaf(F.translate("text", UPPER, LOWER))).alias("changed"))
 
 
-def numbered(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
+class Scratch:
+    """Tables that one manifest writes on its way, so that no plan holds more than one level; those that nothing reads any more can be dropped."""
+
+    def __init__(self):
+        self.paths: dict[str, str] = {}
+
+    def put(self, df: DataFrame, tag: str) -> DataFrame:
+        out, self.paths[tag] = written(df, tag)
+        return out
+
+    def drop_all_but(self, spark: SparkSession, *tags: str) -> None:
+        dropped(spark, *[p for t, p in self.paths.items() if t not in tags])
+
+
+def numbered(rows: DataFrame, order: list[str], scratch: Scratch, tag: str) -> DataFrame:
     """rows with place (0-based, within key) and n (rows of the key). One range sort by key and order; places within a range come from the rows'
     position there, those of ranges from their counts. Equal rows are split at will, so none of them holds a range together."""
     tie = F.monotonically_increasing_id()
     sort = rows.withColumn("tie", tie).repartitionByRange("key", *order, "tie").sortWithinPartitions("key", *order, "tie").drop("tie")
-    kept, _ = written(sort.withColumn("at", F.monotonically_increasing_id()), tag)
+    kept = scratch.put(sort.withColumn("at", F.monotonically_increasing_id()), f"{tag}-sorted")
     area = F.shiftright("at", 33)
     starts = kept.groupBy("key", area.alias("area")).agg(F.min("at").alias("first"), F.count("*").alias("c"))
     w = W.partitionBy("key").orderBy("area")
     starts = starts.select("key", "area", "first", F.coalesce(F.sum("c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(W.partitionBy("key")).alias("n"))
-    return kept.withColumn("area", area).join(starts, ["key", "area"]).withColumn("place", F.col("before") + F.col("at") - F.col("first")).drop("area", "at", "first", "before")
+    placed = kept.withColumn("area", area).join(starts, ["key", "area"]).withColumn("place", F.col("before") + F.col("at") - F.col("first")).drop("area", "at", "first", "before")
+    return scratch.put(placed, tag)
 
 
 def with_siblings(nodes: DataFrame) -> DataFrame:
@@ -67,14 +82,14 @@ def with_siblings(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("left", F.concat_ws("", *lags)).withColumn("right", F.concat_ws("", *leads))
 
 
-def climbed(nodes: DataFrame, tag: str) -> list[DataFrame]:
+def climbed(nodes: DataFrame, scratch: Scratch, tag: str) -> list[DataFrame]:
     """The tables of nodes (key, place, n, digest) level by level, up to where every key has one node. Above the lowest they are written."""
     levels = [nodes.select("key", "place", "n", "digest")]
     most = levels[0].agg(F.max("n")).first()[0] or 0
     while most > 1:
         runs = with_siblings(levels[-1].where("n > 1")).where(F.col("place") % FAN == 0)
         up = runs.select("key", F.floor(F.col("place") / FAN).alias("place"), F.ceil(F.col("n") / FAN).alias("n"), F.sha2(F.concat("digest", "right"), 256).alias("digest"))
-        levels.append(written(up, tag)[0])
+        levels.append(scratch.put(up, f"{tag}-{len(levels)}"))
         most = -(-most // FAN)
     return levels
 
@@ -84,11 +99,11 @@ def roots(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [x.where("n = 1").select("key", "digest") for x in levels])
 
 
-def descended(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
+def descended(levels: list[DataFrame], tops: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """The lowest nodes' columns with subroot and path: (left, right) of their ancestors and themselves, from the bottom up. tops: key, subroot, path
-    above the key's root."""
+    above the key's root. Paths of the levels above are written, each 16 times smaller than the one below."""
     found = None
-    for level in levels[::-1]:
+    for i, level in reversed(list(enumerate(levels))):
         here = level.where("n = 1").join(tops, "key")
         if found is not None:
             run = F.floor(F.col("place") / FAN).alias("run")
@@ -96,7 +111,7 @@ def descended(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
             grown = with_siblings(level.where("n > 1")).select("*", run).join(above, ["key", "run"])
             grown = grown.withColumn("path", F.concat(F.array(F.struct("left", "right")), "above"))
             here = here.unionByName(grown.select(*here.columns))
-        found = here
+        found = scratch.put(here.select("key", "place", "subroot", "path"), f"{tag}-{i}") if i else here
     return found
 
 
@@ -112,18 +127,20 @@ def proof(path: Column) -> Column:
 
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, changed, subroot, root, path of every row."""
-    rows = numbered(leaves(docs), ["doc_id", "leaf"], "leaves")
-    own = F.struct("doc_id", "changed").alias("own")
-    levels = climbed(rows.withColumnRenamed("leaf", "digest"), "nodes")
+    scratch = Scratch()
+    rows = numbered(leaves(docs), ["doc_id", "leaf"], scratch, "merkle-leaves")
+    levels = climbed(rows.withColumnRenamed("leaf", "digest"), scratch, "merkle-nodes")
     sources = roots(levels).select(F.lit("").alias("key"), F.col("key").alias("source"), "digest")
-    ranked = numbered(sources, ["source"], "sources")
-    above = climbed(ranked, "source-nodes")
+    ranked = numbered(sources, ["source"], scratch, "merkle-sources")
+    above = climbed(ranked, scratch, "merkle-source-nodes")
     root = roots(above).select("digest").first()
     above[0] = ranked.select("key", "place", "n", "digest", "source")
-    top = above[0].select(F.col("key").alias("key")).distinct().select("key", F.lit("").alias("subroot"), F.lit(None).cast(PATH).alias("path"))
-    tops = descended(above, top.withColumn("path", F.array().cast(PATH))).select(F.col("source").alias("key"), F.col("digest").alias("subroot"), "path")
-    levels[0] = rows.select("key", "place", "n", F.col("leaf").alias("digest"), own)
-    found = descended(levels, tops)
+    top = ranked.where("place = 0").select("key", F.lit("").alias("subroot"), F.array().cast(PATH).alias("path"))
+    tops = descended(above, top, scratch, "merkle-source-paths").select(F.col("source").alias("key"), F.col("digest").alias("subroot"), "path")
+    tops = scratch.put(tops, "merkle-tops")
+    levels[0] = rows.select("key", "place", "n", F.col("leaf").alias("digest"), F.struct("doc_id", "changed").alias("own"))
+    found = descended(levels, tops, scratch, "merkle-paths")
+    scratch.drop_all_but(docs.sparkSession, "merkle-leaves", "merkle-tops", "merkle-paths-1")
     return found.select("own.doc_id", F.col("digest").alias("leaf"), "own.changed", "subroot", F.lit(root["digest"] if root else None).cast("string").alias("root"), "path")
 
 
