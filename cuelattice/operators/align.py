@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Weighted costs of one integer: errors in the high part, substitutions in the low one.
 EDIT, SUBSTITUTION = 1 << 24, (1 << 24) + 1
+#: Cost of a word without partner beside similarity_cost.
+LONE = 1000
+
+
+def words_apart(x: list[str], y: list[str]) -> int:
+    """Word edit distance. A column of the cost table is two integers of a bit per word of x: where costs rise by one downwards, and where they fall. So a
+    word of y takes a few operations on long integers, and lists of any length and any number of distinct words do."""
+    while x and y and x[-1] == y[-1]:
+        x, y = x[:-1], y[:-1]
+    if not x or not y:
+        return len(x) + len(y)
+    places: dict[str, int] = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last, cost = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
+    rise, fall = every, 0
+    for w in y:
+        same = places.get(w, 0)
+        diagonal = (((same & rise) + rise) ^ rise) | same | fall
+        up, down = fall | every & ~(diagonal | rise), rise & diagonal
+        cost += bool(up & last) - bool(down & last)
+        up, down = up << 1 | 1, down << 1
+        rise, fall = (down | ~(same | fall | up)) & every, up & (same | fall) & every
+    return cost
 
 
-def as_letters(words: Column, dictionary: Column) -> Column:
-    """A list of words as a string of one character per distinct word of the dictionary, for the built-in Levenshtein distance."""
-    code = lambda n: F.when(n < 35328, 19968 + n).otherwise(22016 + n)  # noqa: E731  (no surrogates)
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(code(F.array_position(dictionary, w))), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(words, letter), "")
+def distance(a: Column, b: Column) -> Column:
+    """Word edit distance of two whole lists."""
 
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([words_apart(x or [], y or []) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int32())
 
-def distance(a: Column, b: Column) -> Column:
-    """Word edit distance of two lists, of at most 43,519 distinct words together. Equal lists are settled by comparison."""
-    d = F.array_distinct(F.concat(a, b))
-    return F.when(a == b, 0).otherwise(F.levenshtein(as_letters(a, d), as_letters(b, d)))
+    return F.when(a == b, 0).otherwise(F.arrow_udf(run, "int")(a, b))
 
 
 def errors(a: str, b: str) -> Column:
@@ -45,38 +69,72 @@ def errors(a: str, b: str) -> Column:
     return F.arrow_udf(run, "long")(a, b)
 
 
-def pairs(a: str, b: str) -> Column:
-    """Array of (a, b, same): an edit-distance alignment of two word lists, a and b positions or null, in order. Of equal costs a pair goes
-    before a missing word, that before an extra one. Cost tables are lists' lengths squared, so lists should be chunks."""
+def similarity_cost(a: Column, b: Column) -> Column:
+    """Cost of hearing word b for a, per mille of a missing word's (LONE): 0 for the same, else 500 to 1000, less the more characters they share in place."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(a == b, 0).when((a == "") | (b == ""), 1000).otherwise((F.lit(1000) - F.floor((longest - F.levenshtein(a, b)) * 500 / longest)).cast("int"))
+
+
+def exact_cost(a: Column, b: Column) -> Column:
+    """Cost of another word: a little over that of a missing one, so that of equally many errors those with fewer changed words are chosen."""
+    return F.when(a == b, 0).otherwise(SUBSTITUTION)
+
+
+PAIRS = "array<struct<a:int,b:int,same:boolean>>"
 
-    def walk(x: list[str], y: list[str]) -> list[dict]:
-        names = {w: i for i, w in enumerate({*x, *y})}
-        hyp, steps = np.array([names[w] for w in y], np.int64), np.arange(len(y) + 1) * EDIT
-        rows = [steps]
-        for w in x:
-            here = rows[-1] + EDIT
-            here[1:] = np.minimum(here[1:], rows[-1][:-1] + np.where(hyp == names[w], 0, SUBSTITUTION))
-            rows.append(np.minimum.accumulate(here - steps) + steps)
-        i, j, found = len(x), len(y), []
-        while i or j:
-            same = bool(i and j and x[i - 1] == y[j - 1])
-            if i and j and rows[i][j] == rows[i - 1][j - 1] + (0 if same else SUBSTITUTION):
-                i, j = i - 1, j - 1
-                found.append({"a": i, "b": j, "same": same})
-            elif i and rows[i][j] == rows[i - 1][j] + EDIT:
-                i -= 1
-                found.append({"a": i, "b": None, "same": False})
-            else:
-                j -= 1
-                found.append({"a": None, "b": j, "same": False})
-        return found[::-1]
+
+def cheapest_path(n: int, m: int, costs: np.ndarray, lone: int) -> list[dict]:
+    """Pairs (a, b, same) of an alignment of least cost. costs: of every pair, n rows of m; lone: of a word without partner. From the end backwards, of equal
+    costs a pair goes before a missing word, that before an extra one."""
+    costs, steps = costs.reshape(n, m), np.arange(m + 1) * lone
+    rows = np.empty((n + 1, m + 1), np.int64)
+    rows[0] = steps
+    for i in range(n):
+        here = rows[i] + lone
+        here[1:] = np.minimum(here[1:], rows[i, :-1] + costs[i])
+        rows[i + 1] = np.minimum.accumulate(here - steps) + steps
+    i, j, found, price, table = n, m, [], costs.tolist(), rows.tolist()
+    while i or j:
+        if i and j and table[i][j] == table[i - 1][j - 1] + price[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            found.append({"a": i, "b": j, "same": price[i][j] == 0})
+        elif i and table[i][j] == table[i - 1][j] + lone:
+            i -= 1
+            found.append({"a": i, "b": None, "same": False})
+        else:
+            j -= 1
+            found.append({"a": None, "b": j, "same": False})
+    return found[::-1]
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df by keys over as many partitions as the session's shuffles have, and no fewer: what follows is heavy for its bytes, and adaptive execution would put
+    small partitions together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def with_pairs(df: DataFrame, a: str, b: str, name: str, cost: Callable[[Column, Column], Column] = exact_cost, lone: int = EDIT) -> DataFrame:
+    """df with the column name: array of (a, b, same), an edit-distance alignment of the word lists a and b; positions or null, in order. Costs of all pairs, beside lone
+    for a word without partner, are a column of Spark's; a kernel walks through them. Work and memory are the lists' lengths multiplied, so lists should be
+    chunks. Null lists are empty."""
+    none = F.array().cast("array<string>")
+    x, y = F.coalesce(a, none), F.coalesce(b, none)
 
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("same", pa.bool_())]))
 
-    def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([walk(x or [], y or []) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables, out = batch.column(batch.num_columns - 1), []
+            values, ends = tables.values.to_numpy(zero_copy_only=False), tables.offsets.to_pylist()
+            for at, end in itertools.pairwise(ends):
+                n, m = values[at : at + 2].tolist()
+                out.append(cheapest_path(n, m, values[at + 2 : end], lone))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*batch.schema.names[:-1], name])
 
-    return F.arrow_udf(run, "array<struct<a:int,b:int,same:boolean>>")(a, b)
+    # Not a column function: lambdas in such a one's arguments would be merged into it, and are not taken out of it.
+    costs = F.flatten(F.transform(x, lambda v: F.transform(y, lambda w: cost(v, w).cast("int"))))
+    table = df.withColumn("cost_table", F.concat(F.array(F.size(x), F.size(y)), costs))
+    return table.mapInArrow(run, StructType([*df.schema.fields, StructField(name, df.sparkSession.createDataFrame([], f"p {PAIRS}").schema[0].dataType)]))
 
 
 def _grams(df: DataFrame, by: list[str], at: str, n: int) -> DataFrame:
@@ -112,16 +170,37 @@ def in_order(pairs: DataFrame) -> DataFrame:
     return _uncrossed(pairs, ["job_id"], "a_idx", "b_idx")
 
 
+def _edges(ref: DataFrame, heard: DataFrame) -> DataFrame:
+    """(job_id, engine, idx, pos): the last pair of the equal words that both sides begin with, and the first of those that both end with. Where the two would overlap, as in
+    text that repeats itself, the beginning has the words. They need no n-gram that is unique."""
+    by = ["job_id", "engine"]
+    n = ref.groupBy("job_id").agg(F.count("*").alias("n"))
+    m = heard.groupBy(*by).agg(F.count("*").alias("m")).join(n, "job_id")
+    both = heard.select(*by, "pos", "norm").join(m, by)
+    other = ref.select("job_id", F.col("idx").alias("at"), F.col("norm").alias("said"))
+
+    def equal(at: Column, place: Column, name: str) -> DataFrame:
+        met = both.withColumn("at", at).withColumn("place", place).join(other, ["job_id", "at"], "left")
+        return met.groupBy(*by, "n", "m").agg(F.coalesce(F.min(F.when(~F.col("norm").eqNullSafe(F.col("said")), F.col("place"))), F.count("*")).alias(name))
+
+    from_end = F.col("m") - 1 - F.col("pos")
+    e = equal(F.col("pos"), F.col("pos"), "p").join(equal(F.col("n") - 1 - from_end, from_end, "q").select(*by, "q"), by)
+    q = F.least("q", F.col("n") - F.col("p"), F.col("m") - F.col("p"))
+    ends = F.array(F.when(F.col("p") > 0, F.struct((F.col("p") - 1).alias("idx"), (F.col("p") - 1).alias("pos"))), F.when(q > 0, F.struct((F.col("n") - q).alias("idx"), (F.col("m") - q).alias("pos"))))
+    return e.select(*by, F.explode(F.array_compact(ends)).alias("x")).select(*by, "x.idx", "x.pos")
+
+
 def aligned(ref: DataFrame, heard: DataFrame, n: int = 3) -> DataFrame:
     """(job_id, engine, idx, pos, same): which word of what an engine heard stands for which word of the reference. ref: job_id, idx, norm;
     heard: job_id, engine, pos, norm; each side has its own positions, from 0 on.
 
-    Runs of n words that are unique on both sides are anchors; those that others cross go. From the anchor before, and else from the one after, words
+    Runs of n words that are unique on both sides are anchors, and so are the ends of what both begin and end with; those that others cross go. From the anchor before, and else from the one after, words
     match on at the same distance as long as they are equal (same). Between matches, equally many words on both sides stand for each other (not same);
     any other word has no partner. All by hash joins and windows per job and engine."""
     by = ["job_id", "engine"]
     found = _grams(ref.select("job_id", "idx", "norm"), ["job_id"], "idx", n).join(_grams(heard.select(*by, "pos", "norm"), by, "pos", n), ["job_id", "g"])
-    found = _uncrossed(found.select(*by, "idx", "pos"), by, "idx", "pos")
+    found = found.select(*by, "idx", "pos").union(_edges(ref, heard)).groupBy(*by, "idx").agg(F.min("pos").alias("pos"))
+    found = _uncrossed(found, by, "idx", "pos")
     words = ref.select("job_id", "idx", "norm").join(heard.select(*by).distinct(), "job_id")
     w = W.partitionBy(*by).orderBy("idx")
     ahead = backwards(by, "idx")

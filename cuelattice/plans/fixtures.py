@@ -116,7 +116,10 @@ def aligned_sql(ref: str, heard: str, name: str = "al") -> str:
     clean = "SELECT job_id, engine, idx, pos FROM (SELECT *, max(pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx, min(pos) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS mn FROM {} WINDOW w AS (PARTITION BY job_id, engine ORDER BY idx, pos)) WHERE coalesce(mx, -1) < pos AND coalesce(mn, pos + 1) > pos"
     around = "last_value(CASE WHEN {1} IS NOT NULL THEN w1.idx END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {0}i, last_value({1} IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {0}p, first_value(CASE WHEN {1} IS NOT NULL THEN w1.idx END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS {0}j, first_value({1} IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS {0}q"
     n = name
-    return f"""{n}_1 AS MATERIALIZED (SELECT a.job_id, b.engine, a.idx, b.pos FROM ({gram.format("job_id", "idx", ref)}) a JOIN ({gram.format("job_id, engine", "pos", heard)}) b ON a.job_id = b.job_id AND a.g = b.g),
+    equal = "SELECT job_id, engine, n, m, coalesce(min(CASE WHEN norm IS DISTINCT FROM said THEN place END), count(*)) AS {0} FROM (SELECT s.job_id, s.engine, n, m, h.norm, r.norm AS said, {1} AS place FROM {2} s JOIN {3} h ON h.job_id = s.job_id AND h.engine = s.engine LEFT JOIN {4} r ON r.job_id = s.job_id AND r.idx = {5}) GROUP BY ALL"
+    return f"""{n}_s AS (SELECT h.job_id, h.engine, any_value(k.n) AS n, count(*) AS m FROM {heard} h JOIN (SELECT job_id, count(*) AS n FROM {ref} GROUP BY 1) k ON k.job_id = h.job_id GROUP BY 1, 2),
+{n}_e AS (SELECT job_id, engine, n, m, p, least(q, n - p, m - p) AS q FROM ({equal.format("p", "h.pos", n + "_s", heard, ref, "h.pos")}) JOIN ({equal.format("q", "m - 1 - h.pos", n + "_s", heard, ref, "n - m + h.pos")}) USING (job_id, engine, n, m)),
+{n}_1 AS MATERIALIZED (SELECT job_id, engine, idx, min(pos) AS pos FROM (SELECT job_id, engine, p - 1 AS idx, p - 1 AS pos FROM {n}_e WHERE p > 0 UNION SELECT job_id, engine, n - q, m - q FROM {n}_e WHERE q > 0 UNION SELECT a.job_id, b.engine, a.idx, b.pos FROM ({gram.format("job_id", "idx", ref)}) a JOIN ({gram.format("job_id, engine", "pos", heard)}) b ON a.job_id = b.job_id AND a.g = b.g) GROUP BY 1, 2, 3),
 {n}_2 AS MATERIALIZED ({clean.format(n + "_1")}), {n}_w AS MATERIALIZED (SELECT r.job_id, e.engine, r.idx, r.norm FROM {ref} r JOIN (SELECT DISTINCT job_id, engine FROM {heard}) e ON r.job_id = e.job_id),
 {n}_3 AS MATERIALIZED (SELECT job_id, engine, idx, norm, CASE WHEN idx - li + lp < coalesce(lq, idx - li + lp + 1) THEN idx - li + lp END AS x, CASE WHEN idx - lj + lq > coalesce(lp, -1) THEN idx - lj + lq END AS y
  FROM (SELECT w1.*, {around.format("l", "a.pos")} FROM {n}_w w1 LEFT JOIN {n}_2 a USING (job_id, engine, idx) WINDOW w AS (PARTITION BY w1.job_id, w1.engine ORDER BY w1.idx))),

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelattice.operators import align as A
+from cuelattice.operators import voting as V
 from cuelattice.plans import fixtures as X
 from cuelattice.plans.book import query
 
@@ -16,69 +17,96 @@ _PRIOR = "CASE engine " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORS.ite
 
 
 def prior(engine: F.Column) -> F.Column:
-    """Vote weight of an engine; unknown ones count half."""
-    known = F.create_map(*[F.lit(x) for kv in PRIORS.items() for x in kv])
-    return F.coalesce(F.element_at(known, engine), F.lit(500))
+    return V.prior_of(engine, PRIORS)
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Word lists of the reference's chunks and of what each engine heard there. What was heard is cut at its first word that matches a chunk's;
-    an engine that heard nothing in a chunk has an empty list, one that heard nothing at all counts in every chunk."""
-    words = lambda at: F.transform(F.sort_array(F.collect_list(F.struct(at, "norm"))), lambda x: x["norm"])
-    t, h = X.tok(spark, d), X.heard(spark, d)
-    ref = t.groupBy("job_id", "chunk_id").agg(F.max("lang").alias("lang"), words("idx").alias("ref"))
-    m = A.aligned(t, h).where("same").join(t.select("job_id", "idx", "chunk_id"), ["job_id", "idx"]).select("job_id", "engine", "pos", "chunk_id")
-    w = W.partitionBy("job_id", "engine").orderBy("pos")
-    at = F.coalesce(F.last("chunk_id", ignorenulls=True).over(w), F.lit(0)).alias("chunk_id")
-    hyp = h.join(m, ["job_id", "engine", "pos"], "left").select("job_id", "engine", "pos", "norm", at).groupBy("job_id", "chunk_id", "engine").agg(words("pos").alias("hyp"))
-    every = ref.withColumn("engine", F.explode(F.array(*[F.lit(e) for e in PRIORS])))
-    return every.join(hyp, ["job_id", "chunk_id", "engine"], "left").withColumn("hyp", F.coalesce("hyp", F.array().cast("array<string>")))
-
+def _words(df: DataFrame, by: list[str], at: str, name: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(at, "norm"))), lambda x: x["norm"]).alias(name))
 
-#: DuckDB's distance works on bytes, so each distinct word becomes one byte.
-_CHUNKS = f"""WITH {X.ALIGNED}, r AS (SELECT job_id, chunk_id, max(lang) AS lang, list(norm ORDER BY idx) AS ref FROM tok GROUP BY 1, 2),
-hc AS (SELECT h.job_id, h.engine, h.pos, h.norm, coalesce(last_value(t.chunk_id IGNORE NULLS) OVER (PARTITION BY h.job_id, h.engine ORDER BY h.pos), 0) AS chunk_id FROM heard h LEFT JOIN al ON al.job_id = h.job_id AND al.engine = h.engine AND al.pos = h.pos AND al.same LEFT JOIN tok t ON t.job_id = al.job_id AND t.idx = al.idx),
-h AS (SELECT job_id, chunk_id, engine, list(norm ORDER BY pos) AS hyp FROM hc GROUP BY 1, 2, 3),
-c AS (SELECT r.*, x.engine, coalesce(hyp, []) AS hyp, list_distinct(list_concat(ref, coalesce(hyp, []))) AS dict FROM r CROSS JOIN (VALUES ('a'), ('b'), ('c')) x(engine) LEFT JOIN h ON h.job_id = r.job_id AND h.chunk_id = r.chunk_id AND h.engine = x.engine),
-e AS (SELECT job_id, chunk_id, lang, engine, len(ref) AS n, len(hyp) AS m, levenshtein(array_to_string(list_transform(ref, lambda w: chr(32 + list_position(dict, w)::INT)), ''), array_to_string(list_transform(hyp, lambda w: chr(32 + list_position(dict, w)::INT)), '')) AS errors FROM c)"""
 
-
-@query(f"{_CHUNKS} SELECT job_id, chunk_id, engine, n, m, errors FROM e")
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """What was said in each job, what each engine heard, and the edit distance of the two whole lists. An engine that heard nothing has an empty list."""
+    words = lambda at: F.transform(F.sort_array(F.collect_list(F.struct(at, "norm"))), lambda x: x["norm"])
+    ref = A.spread(X.tok(spark, d).select("job_id", "idx", "lang", "norm"), "job_id").groupBy("job_id").agg(F.max("lang").alias("lang"), words("idx").alias("ref"))
+    hyp = A.spread(X.heard(spark, d).select("job_id", "engine", "pos", "norm"), "job_id").groupBy("job_id", "engine").agg(words("pos").alias("hyp"))
+    hyp = hyp.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("engine", "hyp"))).alias("by_engine"))
+    both = ref.join(hyp, "job_id", "left").select("*", F.explode(F.array(*[F.lit(e) for e in PRIORS])).alias("engine"))
+    both = both.withColumn("hyp", F.coalesce(F.element_at("by_engine", F.col("engine")), F.array().cast("array<string>")))
+    return both.select("job_id", "engine", "lang", F.size("ref").cast("long").alias("n"), F.size("hyp").cast("long").alias("m"), A.distance(F.col("ref"), F.col("hyp")).cast("long").alias("errors"))
+
+
+#: The distance by another way: e errors reach, on each diagonal (what was heard less what was said), so many words of the transcript; runs of equal words are free.
+_WHOLE = f"""WITH RECURSIVE {X.HEARD}, sz AS MATERIALIZED (SELECT r.*, x.engine, coalesce(h.m, 0) AS m FROM (SELECT job_id, max(lang) AS lang, count(*) AS n FROM tok GROUP BY 1) r CROSS JOIN (VALUES ('a'), ('b'), ('c')) x(engine) LEFT JOIN (SELECT job_id, engine, count(*) AS m FROM heard GROUP BY 1, 2) h ON h.job_id = r.job_id AND h.engine = x.engine),
+most AS (SELECT job_id, engine, count(*) AS u FROM hyp0 WHERE r <= 2 GROUP BY 1, 2),
+eq AS (SELECT h.job_id, h.engine, h.pos - t.idx AS k, t.idx AS i FROM heard h LEFT JOIN most USING (job_id, engine) JOIN tok t ON t.job_id = h.job_id AND t.norm = h.norm AND abs(h.pos - t.idx) <= coalesce(u, 0)),
+run AS MATERIALIZED (SELECT job_id, engine, k, min(i) AS s, max(i) + 1 AS f FROM (SELECT *, i - row_number() OVER (PARTITION BY job_id, engine, k ORDER BY i) AS g FROM eq) GROUP BY job_id, engine, k, g),
+lv(job_id, engine, n, m, e, k, i, done) AS (SELECT sz.job_id, sz.engine, n, m, 0, 0, coalesce(f, 0), n = m AND coalesce(f, 0) >= n FROM sz LEFT JOIN run ON run.job_id = sz.job_id AND run.engine = sz.engine AND run.k = 0 AND run.s = 0
+ UNION ALL SELECT job_id, engine, n, m, e, k, i, bool_or(k = m - n AND i >= n) OVER (PARTITION BY job_id, engine) FROM (
+  SELECT c.job_id, c.engine, n, m, e, c.k, coalesce(max(run.f), c.i) AS i FROM (SELECT job_id, engine, n, m, e + 1 AS e, k2 AS k, max(least(i2, n, m - k2)) AS i FROM (SELECT *, unnest([k - 1, k, k + 1]) AS k2, unnest([i + 1, i + 1, i]) AS i2 FROM lv WHERE NOT done) WHERE k2 BETWEEN -n AND m GROUP BY ALL) c
+  LEFT JOIN run ON run.job_id = c.job_id AND run.engine = c.engine AND run.k = c.k AND run.s <= c.i AND c.i < run.f GROUP BY c.job_id, c.engine, n, m, e, c.k, c.i)),
+e AS (SELECT sz.job_id, sz.engine, lang, sz.n, sz.m, min(e)::BIGINT AS errors FROM sz JOIN lv ON lv.job_id = sz.job_id AND lv.engine = sz.engine AND lv.done GROUP BY ALL)"""
+
+
+@query(f"{_WHOLE} SELECT job_id, engine, n, m, errors FROM e")
 def a03_word_errors(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("job_id", "chunk_id", "engine", F.size("ref").alias("n"), F.size("hyp").alias("m"), A.distance(F.col("ref"), F.col("hyp")).alias("errors"))
+    return _whole(spark, d).select("job_id", "engine", "n", "m", "errors")
+
+
+def blockwise_errors(ref: DataFrame, heard: DataFrame) -> DataFrame:
+    """job_id, engine, n, errors, blocks: matched words cut both sides into gaps, whose distances are summed. Never less than the whole lists' distance, and a
+    job may have any length. ref: job_id, idx, norm; heard: job_id, engine, pos, norm."""
+    by = ["job_id", "engine"]
+    m = A.aligned(ref, heard).where("same").select(*by, "idx", "pos")
+    every = ref.select("job_id", "idx", "norm").join(heard.select(*by).distinct(), "job_id")
+    last = lambda df, at: df.withColumn("gap", F.coalesce(F.last("match", ignorenulls=True).over(W.partitionBy(*by).orderBy(at)), F.lit(-1)))
+    said = last(every.join(m.select(*by, "idx", F.col("pos").alias("match")), [*by, "idx"], "left"), "idx")
+    got = last(heard.join(m.select(*by, "pos", F.col("pos").alias("match")), [*by, "pos"], "left").select(*by, "pos", "norm", "match"), "pos")
+    total = said.groupBy(*by).agg(F.count("*").alias("n"))
+    left = _words(said.where("match IS NULL"), [*by, "gap"], "idx", "a").join(_words(got.where("match IS NULL"), [*by, "gap"], "pos", "b"), [*by, "gap"], "full")
+    none = F.array().cast("array<string>")
+    sums = left.groupBy(*by).agg(F.sum(A.distance(F.coalesce("a", none), F.coalesce("b", none))).alias("errors"), F.count("*").alias("blocks"))
+    return total.join(sums, by, "left").na.fill(0, ["errors", "blocks"])
+
+
+@query(f"""WITH {X.ALIGNED}, g AS (SELECT t.job_id, e.engine, t.norm, t.idx, al.pos, coalesce(last_value(al.pos IGNORE NULLS) OVER (PARTITION BY t.job_id, e.engine ORDER BY t.idx), -1) AS gap FROM tok t JOIN (SELECT DISTINCT job_id, engine FROM heard) e USING (job_id) LEFT JOIN al ON al.job_id = t.job_id AND al.engine = e.engine AND al.idx = t.idx AND al.same),
+h AS (SELECT h.job_id, h.engine, h.norm, h.pos, al.pos AS own, coalesce(last_value(al.pos IGNORE NULLS) OVER (PARTITION BY h.job_id, h.engine ORDER BY h.pos), -1) AS gap FROM heard h LEFT JOIN al ON al.job_id = h.job_id AND al.engine = h.engine AND al.pos = h.pos AND al.same),
+b AS (SELECT *, coalesce(a, []) AS x, coalesce(b, []) AS y, list_distinct(list_intersect(x, y)) AS dict FROM (SELECT job_id, engine, gap, list(norm ORDER BY idx) AS a FROM g WHERE pos IS NULL GROUP BY ALL) FULL JOIN (SELECT job_id, engine, gap, list(norm ORDER BY pos) AS b FROM h WHERE own IS NULL GROUP BY ALL) USING (job_id, engine, gap)),
+s AS (SELECT job_id, engine, count(*) AS blocks, sum(levenshtein(array_to_string(list_transform(x, lambda w: chr(34 + coalesce(list_position(dict, w), -1)::INT)), ''), array_to_string(list_transform(y, lambda w: chr(34 + coalesce(list_position(dict, w), 0)::INT)), ''))) AS errors FROM b GROUP BY ALL)
+SELECT job_id, engine, n, coalesce(errors, 0)::BIGINT AS errors, coalesce(blocks, 0) AS blocks FROM (SELECT job_id, engine, count(*) AS n FROM g GROUP BY ALL) LEFT JOIN s USING (job_id, engine)""")
+def a04_blockwise_errors(spark: SparkSession, d: str) -> DataFrame:
+    return blockwise_errors(X.tok(spark, d), X.heard(spark, d))
 
 
-@query(f"{_CHUNKS} SELECT job_id, engine, sum(n)::BIGINT AS n, sum(errors)::BIGINT AS errors FROM e GROUP BY 1, 2")
-def a04_blockwise_errors(spark: SparkSession, d: str) -> DataFrame:
-    return a03_word_errors(spark, d).groupBy("job_id", "engine").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
+_RANKED = "SELECT *, row_number() OVER (PARTITION BY lang ORDER BY wer, coverage DESC, engine) AS place, CASE WHEN wer < 0.9 THEN 1 / (1 + wer) END AS weight FROM (SELECT engine, lang, sum(n)::BIGINT AS n, sum(errors)::BIGINT AS errors, sum(errors) / sum(n) AS wer, sum(m) / sum(n) AS coverage FROM e GROUP BY 1, 2)"
 
 
-@query(f"{_CHUNKS}, g AS (SELECT engine, lang, sum(n)::BIGINT AS n, sum(errors)::BIGINT AS errors FROM e GROUP BY 1, 2) SELECT engine, lang, n, errors, errors / n AS wer, row_number() OVER (PARTITION BY lang ORDER BY errors / n, engine) AS place FROM g")
+@query(f"{_WHOLE} {_RANKED}")
 def a12_engine_leaderboard(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d).select("engine", "lang", F.size("ref").alias("n"), A.distance(F.col("ref"), F.col("hyp")).alias("errors"))
-    g = c.groupBy("engine", "lang").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors")).withColumn("wer", F.col("errors") / F.col("n"))
-    return g.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("wer", "engine")).cast("long"))
+    """Engines of each language, best first: by word error rate, then by how much they heard. weight: for votes, none from a rate of 0.9 on."""
+    g = _whole(spark, d).groupBy("engine", "lang").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.sum("m").alias("m"))
+    g = g.withColumn("wer", F.col("errors") / F.col("n")).withColumn("coverage", F.col("m") / F.col("n")).drop("m")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("wer", F.desc("coverage"), "engine")).cast("long")
+    return g.withColumn("place", place).withColumn("weight", F.when(F.col("wer") < 0.9, 1 / (1 + F.col("wer"))))
 
 
-@query(f"{_CHUNKS} SELECT coalesce(engine, 'all') AS engine, coalesce(lang, 'all') AS lang, sum(n)::BIGINT AS n, sum(errors)::BIGINT AS errors FROM e GROUP BY ROLLUP (engine, lang)")
+@query(f"{_WHOLE} SELECT coalesce(engine, 'all') AS engine, coalesce(lang, 'all') AS lang, sum(n)::BIGINT AS n, sum(errors)::BIGINT AS errors FROM e GROUP BY ROLLUP (engine, lang)")
 def a08_error_rollup(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d).select("engine", "lang", F.size("ref").alias("n"), A.distance(F.col("ref"), F.col("hyp")).alias("errors"))
-    return c.rollup("engine", "lang").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors")).fillna("all", ["engine", "lang"])
+    return _whole(spark, d).rollup("engine", "lang").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors")).fillna("all", ["engine", "lang"])
 
 
-@query(f"{_CHUNKS} PIVOT (SELECT lang, engine, errors FROM e) ON engine IN ('a', 'b', 'c') USING sum(errors)::BIGINT GROUP BY lang")
+@query(f"{_WHOLE} PIVOT (SELECT lang, engine, errors FROM e) ON engine IN ('a', 'b', 'c') USING sum(errors)::BIGINT GROUP BY lang")
 def a24_error_pivot(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d).select("engine", "lang", A.distance(F.col("ref"), F.col("hyp")).alias("errors"))
-    return c.groupBy("lang").pivot("engine", ["a", "b", "c"]).agg(F.sum("errors"))
+    return _whole(spark, d).groupBy("lang").pivot("engine", ["a", "b", "c"]).agg(F.sum("errors"))
 
 
 @query()
 def a03_error_split(spark: SparkSession, d: str) -> DataFrame:
-    """Substitutions, deletions and insertions of each chunk and engine, by one weighted integer cost."""
-    c = _chunks(spark, d).withColumn("cost", A.errors("ref", "hyp"))
+    """Substitutions, deletions and insertions of each job and engine: of fewest errors, those with fewest substitutions, by one weighted integer cost."""
+    t, h = X.tok(spark, d), X.heard(spark, d)
+    c = _words(t, ["job_id"], "idx", "ref").join(_words(h, ["job_id", "engine"], "pos", "hyp"), "job_id").withColumn("cost", A.errors("ref", "hyp"))
     both = F.floor(F.col("cost") / A.EDIT) - F.col("cost") % A.EDIT
     more = F.size("ref") - F.size("hyp")
-    return c.select("job_id", "chunk_id", "engine", (F.col("cost") % A.EDIT).alias("substitutions"), ((both + more) / 2).cast("long").alias("deletions"), ((both - more) / 2).cast("long").alias("insertions"))
+    return c.select("job_id", "engine", (F.col("cost") % A.EDIT).alias("substitutions"), ((both + more) / 2).cast("long").alias("deletions"), ((both - more) / 2).cast("long").alias("insertions"))
 
 
 _GRAM = "SELECT job_id, g, min(idx) AS i FROM (SELECT job_id, idx, norm || ' ' || lead(norm, 1) OVER w || ' ' || lead(norm, 2) OVER w AS g FROM {} WINDOW w AS (PARTITION BY job_id ORDER BY idx)) WHERE g IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1"
@@ -153,6 +181,41 @@ def w23_low_agreement(spark: SparkSession, d: str) -> DataFrame:
     return votes(_slots(spark, d)).groupBy("job_id").agg(F.count("*").alias("words"), F.count(F.when(F.col("agreement") < 500, 1)).alias("low"), F.count(F.when(F.col("agreement") < 300, 1)).alias("very_low"))
 
 
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    """What each engine heard in each chunk of audio, from its own words alone. The third one failed on some chunks: it has no row there."""
+    h = A.spread(X.hyp(spark, d), "job_id", "chunk_id")
+    words = F.transform(F.sort_array(F.collect_list(F.struct("idx", "sub", "norm", "word", "start_ms", "end_ms"))), lambda x: F.struct(x["norm"].alias("norm"), x["word"].alias("word"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms")))
+    got = h.groupBy("job_id", "chunk_id", "engine").agg(words.alias("words"))
+    every = h.select("job_id", "chunk_id").distinct().select("*", F.explode(F.array(*[F.lit(e) for e in PRIORS])).alias("engine")).where("NOT (engine = 'c' AND (job_id + chunk_id) % 23 = 0)")
+    none = F.array().cast("array<struct<norm:string,word:string,start_ms:bigint,end_ms:bigint>>")
+    return every.join(got, ["job_id", "chunk_id", "engine"], "left").withColumn("words", F.coalesce("words", none))
+
+
+_CHUNK = ["job_id", "chunk_id"]
+
+
+@query()
+def a02_vote_network(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of each chunk and what each engine heard in them, without the transcript."""
+    return V.tokens(V.network(_said(spark, d), _CHUNK, PRIORS), _CHUNK)
+
+
+@query()
+def a01_network_vote(spark: SparkSession, d: str) -> DataFrame:
+    """The voted text of each chunk, without the transcript."""
+    return V.decided(V.network(_said(spark, d), _CHUNK, PRIORS), _CHUNK, PRIORS, ["b", "a", "c"])
+
+
+_LETTERS = "array_to_string(list_transform(str_split({}, ''), lambda c: chr(32 + list_position(ds, c)::INT)), '')"
+
+
+@query(f"WITH {X.TOK}, p AS (SELECT DISTINCT norm AS a, lead(norm) OVER (PARTITION BY job_id ORDER BY idx) AS b FROM tok), q AS (SELECT *, greatest(length(a), length(b)) AS l, list_distinct(str_split(a || b, '')) AS ds FROM p WHERE b IS NOT NULL) SELECT a, b, CASE WHEN a = b THEN 0 WHEN a = '' OR b = '' THEN 1000 ELSE 1000 - (l - levenshtein({_LETTERS.format('a')}, {_LETTERS.format('b')})) * 500 // l END::INT AS cost FROM q")
+def f02_similarity_cost(spark: SparkSession, d: str) -> DataFrame:
+    """What it costs to take a word for the one beside it, for every pair of neighbours that there is."""
+    p = X.tok(spark, d).select(F.col("norm").alias("a"), F.lead("norm").over(W.partitionBy("job_id").orderBy("idx")).alias("b")).distinct().where("b IS NOT NULL")
+    return p.select("a", "b", A.similarity_cost(F.col("a"), F.col("b")).alias("cost"))
+
+
 @query(f"WITH {X.HYP} SELECT engine, count(*) AS n, avg(conf) AS mean, median(conf) AS median, {', '.join(f'count(CASE WHEN conf // 200 = {i} THEN 1 END) AS bin{i}' for i in range(5))} FROM hyp GROUP BY 1")
 def a11_confidence_stats(spark: SparkSession, d: str) -> DataFrame:
     bins = [F.count(F.when(F.floor(F.col("conf") / 200) == i, 1)).alias(f"bin{i}") for i in range(5)]
