@@ -165,11 +165,6 @@ def _uncrossed(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return pairs.withColumn("ok", ok).where("ok").drop("ok")
 
 
-def in_order(pairs: DataFrame) -> DataFrame:
-    """Anchors that no other one crosses: those within the running maximum before and minimum after."""
-    return _uncrossed(pairs, ["job_id"], "a_idx", "b_idx")
-
-
 def _edges(ref: DataFrame, heard: DataFrame) -> DataFrame:
     """(job_id, engine, idx, pos): the last pair of the equal words that both sides begin with, and the first of those that both end with. Where the two would overlap, as in
     text that repeats itself, the beginning has the words. They need no n-gram that is unique."""

@@ -72,8 +72,8 @@ def running_median(frames: DataFrame, half: int) -> DataFrame:
 
 
 def high_share(frames: DataFrame, key: str, size: int = 512, rate: int = 16000, above_hz: int = 4000) -> DataFrame:
-    """key, share: energy from above_hz on, of all but the mean, over Hann windows of `size` samples (null for silence). frames: key, frame (array of doubles).
-    A row is one window, so a task holds one batch of them; the sums meet in an aggregate."""
+    """key, share: energy from above_hz on, of all, over Hann windows of `size` samples (null for silence, and where no window is whole). frames: key, frame (array of
+    doubles). A row is one window, so a task holds one batch of them; the sums meet in an aggregate."""
     hann = np.hanning(size)
     from_bin = -(-above_hz * size // rate)
 
@@ -81,12 +81,10 @@ def high_share(frames: DataFrame, key: str, size: int = 512, rate: int = 16000,
         for b in batches:
             high, total = [], []
             for frame in b.column(1):
-                x = np.zeros(size)
                 own = np.asarray(frame.as_py() or (), float)[:size]
-                x[: len(own)] = own
-                power = np.abs(np.fft.rfft(x * hann)) ** 2
+                power = np.abs(np.fft.rfft(own * hann)) ** 2 if len(own) == size else np.zeros(1)
                 high.append(float(power[from_bin:].sum()))
-                total.append(float(power[1:].sum()))
+                total.append(float(power.sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(high, pa.float64()), pa.array(total, pa.float64())], ["key", "high", "total"])
 
     sums = frames.select(F.col(key).cast("long"), "frame").mapInArrow(run, "key long, high double, total double").groupBy("key").agg(F.sum("high").alias("high"), F.sum("total").alias("total"))

@@ -210,7 +210,9 @@ def a19_clipping(spark: SparkSession, d: str) -> DataFrame:
     return S.clipped(X.fr(spark, d).select("job_id", F.col("frame").alias("at"), F.floor(F.col("p") / 20).alias("x")), ["job_id"])
 
 
-@query()
+@query("""WITH s AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS x FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings WHERE len(embedding) >= 64)),
+b AS (SELECT vec_id, k, pow(sum(x * cos(2 * pi() * i * k / 64)), 2) + pow(sum(x * sin(2 * pi() * i * k / 64)), 2) AS power FROM s, (SELECT unnest(range(0, 33)) AS k) GROUP BY 1, 2)
+SELECT e.vec_id, round(sum(CASE WHEN k >= 16 THEN power END) / nullif(sum(power), 0), 6) AS share FROM (SELECT DISTINCT vec_id FROM embeddings) e LEFT JOIN b USING (vec_id) GROUP BY 1""")
 def a21_high_share(spark: SparkSession, d: str) -> DataFrame:
     """Share of energy in the upper half of the band of blocks of samples."""
     frames = X.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("frame"))

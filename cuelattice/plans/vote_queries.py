@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelattice.operators import align as A
+from cuelattice.operators import timing as M
 from cuelattice.operators import voting as V
 from cuelattice.plans import fixtures as X
 from cuelattice.plans.book import query
@@ -122,12 +123,17 @@ def j07_anchors(spark: SparkSession, d: str) -> DataFrame:
     return A.anchors(X.tok(spark, d), _heard(spark, d, "b"))
 
 
-_CHAIN = "ok AS (SELECT * FROM (SELECT *, max(b_idx) OVER (PARTITION BY job_id ORDER BY a_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx, min(b_idx) OVER (PARTITION BY job_id ORDER BY a_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS mn FROM an) WHERE coalesce(mx, -1) < b_idx AND coalesce(mn, b_idx + 1) > b_idx)"
+_SEAT = "len(list_filter(s.t, lambda y: y <= x.t[1]))"
+#: The chain by folds: a table of least last values gives each anchor the length of its chain; from the end back, the next shorter one each time.
+_CHAIN = f"""li AS (SELECT job_id, list(a_idx ORDER BY a_idx, b_idx) AS a, list(b_idx ORDER BY a_idx, b_idx) AS b FROM an GROUP BY 1),
+le AS (SELECT *, list_reduce(list_prepend({{'t': []::BIGINT[], 'l': []::BIGINT[]}}, list_transform(b, lambda v: {{'t': [v], 'l': []::BIGINT[]}})), lambda s, x: {{'t': list_concat(list_concat(s.t[1:{_SEAT}], x.t), s.t[{_SEAT} + 2:]), 'l': list_append(s.l, {_SEAT})}}).l AS l FROM li),
+ok AS (SELECT job_id, a[i] AS a_idx, b[i] AS b_idx FROM (SELECT job_id, a, b, unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(range(len(b), 0, -1), lambda i: [i])), lambda k, x: CASE WHEN l[x[1]] = list_max(l) - len(k) THEN list_concat(k, x) ELSE k END)) AS i FROM le))"""
 
 
 @query(f"{_ANCHOR}, {_CHAIN} SELECT job_id, a_idx, b_idx FROM ok")
 def w08_ordered_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return A.in_order(j07_anchors(spark, d))
+    """The longest chain of anchors whose places do not fall, so that one wrong anchor removes none but itself."""
+    return M.chained(j07_anchors(spark, d), "a_idx", "b_idx")
 
 
 @query(f"{_ANCHOR}, {_CHAIN}, w AS (SELECT DISTINCT job_id, a_idx + k AS a_idx FROM ok, range(0, 3) r(k)) SELECT t.job_id, count(*) AS words, count(w.a_idx) AS matched FROM tok t LEFT JOIN w ON t.job_id = w.job_id AND t.idx = w.a_idx GROUP BY 1")
