@@ -6,8 +6,6 @@ iv: events as labelled intervals per user. fr: events as a frame series per user
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,32 +16,10 @@ from cuelattice.operators import align as A
 CHUNK = 40
 
 
-#: Derived tables that `prepare` has written, by (name, folder of the given tables).
-PREPARED: dict[tuple[str, str], str] = {}
-
-
-def prepare(spark: SparkSession, d: str, to: str) -> None:
-    """Write the derived tables tok, hyp and heard of folder d below `to`; queries of this process read them from there. By itself every query derives them."""
-    for name, make in (("tok", tok), ("hyp", hyp), ("heard", heard)):
-        path = f"{to.rstrip('/')}/{name}"
-        make(spark, d).write.parquet(path)
-        PREPARED[name, d] = path
-
-
-def _prepared(f):
-    @functools.wraps(f)
-    def table(spark: SparkSession, d: str) -> DataFrame:
-        path = PREPARED.get((f.__name__, d))
-        return spark.read.parquet(path) if path else f(spark, d)
-
-    return table
-
-
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-@_prepared
 def tok(spark: SparkSession, d: str) -> DataFrame:
     words = read(spark, d, "documents").select(F.col("doc_id").alias("job_id"), "lang", F.posexplode(T.tokens(F.col("text"))).alias("idx", "word"))
     dur = T.spoken_ms(F.col("word"))
@@ -54,7 +30,6 @@ def tok(spark: SparkSession, d: str) -> DataFrame:
     return timed.withColumn("norm", T.normalize_word(F.col("word"))).withColumn("chunk_id", F.floor(F.col("idx") / CHUNK).cast("int"))
 
 
-@_prepared
 def hyp(spark: SparkSession, d: str) -> DataFrame:
     engines = F.array(*[F.struct(F.lit(e).alias("engine"), F.lit(k).alias("k")) for e, k in (("a", 1), ("b", 2), ("c", 3))])
     rows = tok(spark, d).select("*", F.explode(engines).alias("e")).select("*", "e.engine", "e.k").withColumn("r", (F.col("job_id") * 7 + F.col("idx") * 13 + F.col("k")) % 31)
@@ -65,7 +40,6 @@ def hyp(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("job_id", "lang", "chunk_id", "engine", "idx", "sub", F.col("said").alias("word"), T.normalize_word(F.col("said")).alias("norm"), (F.col("start_ms") + shift).alias("start_ms"), (F.col("end_ms") + shift).alias("end_ms"), conf.alias("conf"))
 
 
-@_prepared
 def heard(spark: SparkSession, d: str) -> DataFrame:
     """hyp as an engine delivers it: words by their own positions, without any of the reference's."""
     pos = F.row_number().over(W.partitionBy("job_id", "engine").orderBy("idx", "sub")) - 1
