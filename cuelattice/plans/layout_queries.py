@@ -12,6 +12,7 @@ from cuelattice.operators import cues as C
 from cuelattice.plans import cue_queries as Q
 from cuelattice.plans import fixtures as X
 from cuelattice.plans.book import query
+from cuelattice.streaming import live
 
 _BY = "PARTITION BY job_id ORDER BY"
 
@@ -163,9 +164,7 @@ def s10_balanced_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT user_id AS job_id, event_type AS cue, event_id, floor(value * 100)::BIGINT AS amount, ts FROM events) SELECT job_id, cue, max_by(event_id, (ts, event_id)) AS edit, max_by(amount, (ts, event_id)) AS amount, count(*) AS edits FROM e GROUP BY 1, 2""")
 def t06_latest_edits(spark: SparkSession, d: str) -> DataFrame:
     """Batch twin of the edit log: the latest edit of each cue."""
-    e = X.read(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("cue"), F.struct("ts", "event_id", F.floor(F.col("value") * 100).alias("amount")).alias("o"))
-    g = e.groupBy("job_id", "cue").agg(F.max("o").alias("o"), F.count("*").alias("edits"))
-    return g.select("job_id", "cue", F.col("o.event_id").alias("edit"), "o.amount", "edits")
+    return live.latest_edits(X.read(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("cue"), "event_id", F.floor(F.col("value") * 100).alias("amount"), F.col("ts").alias("at")))
 
 
 @query(f"""WITH {X.TOK}, c AS (SELECT job_id, chunk_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(norm, ' ' ORDER BY idx) FILTER (WHERE norm <> '') AS said, (job_id * 13 + chunk_id * 7) % 100 AS speech FROM tok GROUP BY 1, 2), ph AS (SELECT said FROM c GROUP BY 1 HAVING count(DISTINCT job_id) > 1)

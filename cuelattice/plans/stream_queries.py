@@ -49,6 +49,12 @@ def t05_stale_jobs(spark: SparkSession, d: str) -> DataFrame:
     return last.withColumn("one", F.lit(1)).join(F.broadcast(now), "one").where(quiet > 6 * 3600 * 1_000_000).select("user_id", F.floor(quiet / 60_000_000).alias("silent_min"))
 
 
+@query("WITH e AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx, event_id FROM events), g AS (SELECT *, coalesce(sum((nx IS NULL OR nx - ts >= INTERVAL 6 HOURS)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e) SELECT user_id, epoch_us(max(ts)) AS last_us, count(*) AS n FROM g GROUP BY user_id, s")
+def t05_silences(spark: SparkSession, d: str) -> DataFrame:
+    """Batch twin of the alerts that a job went silent for six hours."""
+    return live.silences(timed(X.read(spark, d, "events")))
+
+
 @query("WITH e AS (SELECT user_id AS job_id, event_type AS stage, epoch_us(ts) AS us, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS nx FROM events) SELECT job_id, stage, count(*) AS runs, coalesce(sum(nx - us), 0)::BIGINT AS took_us, count(nx) AS ended FROM e GROUP BY 1, 2")
 def a29_stage_durations(spark: SparkSession, d: str) -> DataFrame:
     """A stage lasts until the job's next event; how often each ran, and ended."""

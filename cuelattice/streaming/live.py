@@ -39,3 +39,29 @@ def replayed(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     q = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def silences(events: DataFrame, after: str = "6 hours", late: str | None = None) -> DataFrame:
+    """Alerts that a job went silent (user_id, last_us, events since it last spoke up): a session that the gap closed. As a stream in append mode each comes once, when the
+    watermark passes the end of the gap, so a session's end is the timer. `late`: how long rows may lag (0 seconds by default, in streams)."""
+    at = events.withWatermark("at", late or "0 seconds") if events.isStreaming else events
+    g = at.groupBy("user_id", F.session_window("at", after).alias("s")).agg(F.count("*").alias("n"), F.max("at").alias("last"))
+    return g.select("user_id", F.unix_micros("last").alias("last_us"), "n")
+
+
+def latest_edits(edits: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The latest edit of each cue of an edit log, and how many there were: (job_id, cue, edit, amount, edits). A batch that is written again counts once: rows with an id
+    seen before are dropped, as a stream for as long as `late` after it. edits: job_id, cue, event_id, amount, at."""
+    if edits.isStreaming:
+        once = edits.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
+    else:
+        once = edits.dropDuplicates(["event_id"])
+    g = once.groupBy("job_id", "cue").agg(F.max(F.struct("at", "event_id", "amount")).alias("o"), F.count("*").alias("edits"))
+    return g.select("job_id", "cue", F.col("o.event_id").alias("edit"), "o.amount", "edits")
+
+
+def written_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an append-mode stream over all that is there, into Parquet files, and read them. Commits are Spark's, so a restart from the checkpoint writes nothing twice."""
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
