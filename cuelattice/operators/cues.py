@@ -57,6 +57,24 @@ def chained(cues: DataFrame, bridge_ms: int = 1000, linger_ms: int = 250, most_m
     return cues.withColumn("end_ms", F.greatest(F.col("end_ms"), F.least(end, F.col("start_ms") + most_ms)))
 
 
+def dash_joined(cues: DataFrame, cpl: int = 42, gap_ms: int = 300, most_ms: int = 7000, style: str = "-") -> DataFrame:
+    """cues (job_id, cue_id, start_ms, end_ms, text, speaker) with quick exchanges joined, and `dash`: two neighbours by different speakers, at most gap_ms apart, become one cue of
+    a line each if both lines and the whole fit. From the first on no cue is joined twice: of neighbours that could all be joined, the first with the second, the third with the
+    fourth, and so on, which their place in the run tells without a loop."""
+    w = W.partitionBy("job_id").orderBy("start_ms", "cue_id")
+    flat = F.array_join(T.tokens(F.col("text")), " ")
+    c = cues.withColumn("line", F.concat(F.lit(style), flat))
+    c = c.withColumn("b", F.lead(F.struct("start_ms", "end_ms", "line", "speaker")).over(w))
+    end = F.greatest("end_ms", "b.end_ms")
+    joins = (F.col("speaker") != F.col("b.speaker")) & (F.col("b.start_ms") - F.col("end_ms") <= gap_ms) & (F.length("line") <= cpl) & (F.length("b.line") <= cpl) & (end - F.col("start_ms") <= most_ms)
+    c = c.withColumn("joins", F.coalesce(joins, F.lit(False)))
+    c = c.withColumn("run", F.coalesce(F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    c = c.withColumn("dash", F.col("joins") & (F.row_number().over(W.partitionBy("job_id", "run").orderBy("start_ms", "cue_id")) % 2 == 1))
+    c = c.withColumn("gone", F.coalesce(F.lag("dash").over(w), F.lit(False))).where("NOT gone")
+    pick = lambda a, b: F.when(F.col("dash"), a).otherwise(b)
+    return c.select("job_id", "cue_id", "start_ms", pick(F.greatest("end_ms", "b.end_ms"), F.col("end_ms")).alias("end_ms"), pick(F.concat("line", F.lit("\n"), "b.line"), F.col("text")).alias("text"), pick(F.concat("speaker", F.lit(" / "), "b.speaker"), F.col("speaker")).alias("speaker"), "dash")
+
+
 def offences(cues: DataFrame, cpl: int = 42, lines: int = 2, most_ms: int = 7000, least_ms: int = 700, cps: int = 20) -> DataFrame:
     """One row per cue and layout or timing rule that it breaks."""
     after = F.lead("start_ms").over(W.partitionBy("job_id").orderBy("start_ms", "cue_id"))

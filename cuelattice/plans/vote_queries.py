@@ -36,15 +36,15 @@ def _whole(spark: SparkSession, d: str) -> DataFrame:
     return both.select("job_id", "engine", "lang", F.size("ref").cast("long").alias("n"), F.size("hyp").cast("long").alias("m"), A.distance(F.col("ref"), F.col("hyp")).cast("long").alias("errors"))
 
 
-#: The distance by another way: e errors reach, on each diagonal (what was heard less what was said), so many words of the transcript; runs of equal words are free.
-_WHOLE = f"""WITH RECURSIVE {X.HEARD}, sz AS MATERIALIZED (SELECT r.*, x.engine, coalesce(h.m, 0) AS m FROM (SELECT job_id, max(lang) AS lang, count(*) AS n FROM tok GROUP BY 1) r CROSS JOIN (VALUES ('a'), ('b'), ('c')) x(engine) LEFT JOIN (SELECT job_id, engine, count(*) AS m FROM heard GROUP BY 1, 2) h ON h.job_id = r.job_id AND h.engine = x.engine),
-most AS (SELECT job_id, engine, count(*) AS u FROM hyp0 WHERE r <= 2 GROUP BY 1, 2),
-eq AS (SELECT h.job_id, h.engine, h.pos - t.idx AS k, t.idx AS i FROM heard h LEFT JOIN most USING (job_id, engine) JOIN tok t ON t.job_id = h.job_id AND t.norm = h.norm AND abs(h.pos - t.idx) <= coalesce(u, 0)),
+#: The distance by another way: e errors reach, on each diagonal (what was heard less what was said), so many words of the transcript; runs of equal words are free. No job
+#: has more errors than edits were made (u), so diagonals too far from the end for that are left out.
+_WHOLE = f"""WITH RECURSIVE {X.HEARD}, sz AS MATERIALIZED (SELECT r.*, x.engine, coalesce(h.m, 0) AS m, coalesce(u, 0) AS u FROM (SELECT job_id, max(lang) AS lang, count(*) AS n FROM tok GROUP BY 1) r CROSS JOIN (VALUES ('a'), ('b'), ('c')) x(engine) LEFT JOIN (SELECT job_id, engine, count(*) AS m FROM heard GROUP BY 1, 2) h ON h.job_id = r.job_id AND h.engine = x.engine LEFT JOIN (SELECT job_id, engine, count(*) AS u FROM hyp0 WHERE r <= 2 GROUP BY 1, 2) b ON b.job_id = r.job_id AND b.engine = x.engine),
+eq AS (SELECT h.job_id, h.engine, h.pos - t.idx AS k, t.idx AS i FROM heard h JOIN sz USING (job_id, engine) JOIN tok t ON t.job_id = h.job_id AND t.norm = h.norm AND abs(h.pos - t.idx) + abs(h.pos - t.idx - m + n) <= u),
 run AS MATERIALIZED (SELECT job_id, engine, k, min(i) AS s, max(i) + 1 AS f FROM (SELECT *, i - row_number() OVER (PARTITION BY job_id, engine, k ORDER BY i) AS g FROM eq) GROUP BY job_id, engine, k, g),
-lv(job_id, engine, n, m, e, k, i, done) AS (SELECT sz.job_id, sz.engine, n, m, 0, 0, coalesce(f, 0), n = m AND coalesce(f, 0) >= n FROM sz LEFT JOIN run ON run.job_id = sz.job_id AND run.engine = sz.engine AND run.k = 0 AND run.s = 0
- UNION ALL SELECT job_id, engine, n, m, e, k, i, bool_or(k = m - n AND i >= n) OVER (PARTITION BY job_id, engine) FROM (
-  SELECT c.job_id, c.engine, n, m, e, c.k, coalesce(max(run.f), c.i) AS i FROM (SELECT job_id, engine, n, m, e + 1 AS e, k2 AS k, max(least(i2, n, m - k2)) AS i FROM (SELECT *, unnest([k - 1, k, k + 1]) AS k2, unnest([i + 1, i + 1, i]) AS i2 FROM lv WHERE NOT done) WHERE k2 BETWEEN -n AND m GROUP BY ALL) c
-  LEFT JOIN run ON run.job_id = c.job_id AND run.engine = c.engine AND run.k = c.k AND run.s <= c.i AND c.i < run.f GROUP BY c.job_id, c.engine, n, m, e, c.k, c.i)),
+lv(job_id, engine, n, m, u, e, k, i, done) AS (SELECT sz.job_id, sz.engine, n, m, u, 0, 0, coalesce(f, 0), n = m AND coalesce(f, 0) >= n FROM sz LEFT JOIN run ON run.job_id = sz.job_id AND run.engine = sz.engine AND run.k = 0 AND run.s = 0
+ UNION ALL SELECT job_id, engine, n, m, u, e, k, i, bool_or(k = m - n AND i >= n) OVER (PARTITION BY job_id, engine) FROM (
+  SELECT c.job_id, c.engine, n, m, u, e, c.k, coalesce(max(run.f), c.i) AS i FROM (SELECT job_id, engine, n, m, u, e + 1 AS e, k2 AS k, max(least(i2, n, m - k2)) AS i FROM (SELECT *, unnest([k - 1, k, k + 1]) AS k2, unnest([i + 1, i + 1, i]) AS i2 FROM lv WHERE NOT done) WHERE k2 BETWEEN -n AND m AND abs(k2 - m + n) < u - e GROUP BY ALL) c
+  LEFT JOIN run ON run.job_id = c.job_id AND run.engine = c.engine AND run.k = c.k AND run.s <= c.i AND c.i < run.f GROUP BY c.job_id, c.engine, n, m, u, e, c.k, c.i)),
 e AS (SELECT sz.job_id, sz.engine, lang, sz.n, sz.m, min(e)::BIGINT AS errors FROM sz JOIN lv ON lv.job_id = sz.job_id AND lv.engine = sz.engine AND lv.done GROUP BY ALL)"""
 
 
