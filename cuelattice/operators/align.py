@@ -170,16 +170,14 @@ def _edges(ref: DataFrame, heard: DataFrame) -> DataFrame:
     text that repeats itself, the beginning has the words. They need no n-gram that is unique."""
     by = ["job_id", "engine"]
     n = ref.groupBy("job_id").agg(F.count("*").alias("n"))
-    m = heard.groupBy(*by).agg(F.count("*").alias("m")).join(n, "job_id")
-    both = heard.select(*by, "pos", "norm").join(m, by)
-    other = ref.select("job_id", F.col("idx").alias("at"), F.col("norm").alias("said"))
-
-    def equal(at: Column, place: Column, name: str) -> DataFrame:
-        met = both.withColumn("at", at).withColumn("place", place).join(other, ["job_id", "at"], "left")
-        return met.groupBy(*by, "n", "m").agg(F.coalesce(F.min(F.when(~F.col("norm").eqNullSafe(F.col("said")), F.col("place"))), F.count("*")).alias(name))
-
-    from_end = F.col("m") - 1 - F.col("pos")
-    e = equal(F.col("pos"), F.col("pos"), "p").join(equal(F.col("n") - 1 - from_end, from_end, "q").select(*by, "q"), by)
+    both = heard.select(*by, "pos", "norm", F.count("*").over(W.partitionBy(*by)).alias("m")).join(n, "job_id")
+    # A word's place from the beginning and from the end, on both sides, in one join.
+    way = lambda kind, at, place: F.struct(F.lit(kind).alias("kind"), at.alias("at"), place.alias("place"))
+    ways = F.array(way("p", F.col("pos"), F.col("pos")), way("q", F.col("n") - F.col("m") + F.col("pos"), F.col("m") - 1 - F.col("pos")))
+    ways = both.select(*by, "n", "m", "norm", F.explode(ways).alias("w")).select(*by, "n", "m", "norm", "w.kind", "w.at", "w.place")
+    met = ways.join(ref.select("job_id", F.col("idx").alias("at"), F.col("norm").alias("said")), ["job_id", "at"], "left")
+    first = lambda kind: F.coalesce(F.min(F.when((F.col("kind") == kind) & ~F.col("norm").eqNullSafe(F.col("said")), F.col("place"))), F.col("m")).alias(kind)
+    e = met.groupBy(*by, "n", "m").agg(first("p"), first("q"))
     q = F.least("q", F.col("n") - F.col("p"), F.col("m") - F.col("p"))
     ends = F.array(F.when(F.col("p") > 0, F.struct((F.col("p") - 1).alias("idx"), (F.col("p") - 1).alias("pos"))), F.when(q > 0, F.struct((F.col("n") - q).alias("idx"), (F.col("m") - q).alias("pos"))))
     return e.select(*by, F.explode(F.array_compact(ends)).alias("x")).select(*by, "x.idx", "x.pos")
