@@ -113,10 +113,11 @@ BIAS, ACCEPT, REDO = -3.2, 0.25, 0.30
 WEIGHTS = {"text_error": 6.0, "low_text": 2.0, "disputed_any": 2.6, "weak_timing": 2.2, "weak_timing_any": 1.5, "interpolated": 3.0, "unheard": 2.5, "unheard_any": 2.4, "overlap": 1.4, "music": 0.7, "crowd": 0.7, "very_low_snr": 1.1, "low_snr": 0.45, "noise": 0.3, "narrowband": 0.5, "clipping": 0.4, "hallucination": 0.8, "implausible": 0.8, "beside_tag": 1.8}
 
 
-def risk(features: list[str]) -> Column:
-    z = F.lit(BIAS)
+def risk(features: list[str], weights: dict[str, float] | None = None) -> Column:
+    known = {"bias": BIAS} | WEIGHTS | (weights or {})
+    z = F.lit(known["bias"])
     for name in features:
-        z = z + F.lit(WEIGHTS[name]) * F.col(name)
+        z = z + F.lit(known[name]) * F.col(name)
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
