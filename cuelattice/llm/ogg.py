@@ -7,7 +7,7 @@ each page's checksum, reassembles packets from lacing values (also over page bor
 streams by serial number, and derives times from granule positions.
 
 Defined cases: null and empty texts store one unit of padding; pages with a wrong checksum or cut short are
-skipped and counted; packets of lost pages, of streams without a head, or that lose a part are left out of the payload and counted; bytes
+skipped and counted; a stream whose last page (by its end flag) is missing counts as open, so a file cut at a page's border is told from a whole one; packets of lost pages, of streams without a head, or that lose a part are left out of the payload and counted; bytes
 that are no Ogg file give an empty payload; equal payloads give equal bytes; a very long text is one file, held whole by its task; repeated rows, null
 ids and other columns, whatever their names, change nothing; an empty table gives no rows.
 """
@@ -79,6 +79,8 @@ class Ogg(NamedTuple):
     pages: int
     bad_pages: int
     lost_packets: int
+    #: Logical streams without a page that bears the end flag.
+    open_streams: int
 
 
 def demux(media: bytes) -> Ogg:
@@ -86,6 +88,7 @@ def demux(media: bytes) -> Ogg:
     packets: list[Packet] = []
     partial: dict[int, bytes | None] = {}
     expected: dict[int, int] = {}
+    closed: set[int] = set()
     at = pages = bad = lost = 0
     while (at := media.find(b"OggS", at)) >= 0 and at + HEADER.size <= len(media):
         _, _, flags, granule, serial, number, crc, n = HEADER.unpack_from(media, at)
@@ -96,6 +99,8 @@ def demux(media: bytes) -> Ogg:
             bad, at = bad + 1, at + 4
             continue
         pages += 1
+        if flags & 4:
+            closed.add(serial)
         held = partial.pop(serial, None)
         gap = number != expected.get(serial, number)
         expected[serial] = number + 1
@@ -118,7 +123,7 @@ def demux(media: bytes) -> Ogg:
         if ended and len(packets) > first:
             packets[-1] = packets[-1]._replace(granule=granule)
         at = end
-    return Ogg(packets, pages, bad, lost + len(partial))
+    return Ogg(packets, pages, bad, lost + len(partial), len(expected.keys() - closed))
 
 
 def payload_of(ogg: Ogg) -> tuple[bytes, str]:
@@ -146,7 +151,7 @@ def payload_of(ogg: Ogg) -> tuple[bytes, str]:
     end = max(places, default=-1) + 1
     lost += end - len(kept)
     payload = b"".join(kept[i] for i in sorted(kept))
-    return payload, f"streams={len(known)};pages={ogg.pages};bad={ogg.bad_pages};lost={lost};packets={len(kept)};marks={marks};samples={end * UNIT};ms={end * UNIT * 1000 // RATE}"
+    return payload, f"streams={len(known)};pages={ogg.pages};bad={ogg.bad_pages};lost={lost};open={ogg.open_streams};packets={len(kept)};marks={marks};samples={end * UNIT};ms={end * UNIT * 1000 // RATE}"
 
 
 def stored(text: Column) -> Column:
