@@ -5,9 +5,10 @@ A query visits, in every table, its own bucket and then perturbed ones: moving o
 squared distance to that border, and sets of moves are visited in order of the sum of their costs, which is the order of
 estimated success. The candidates of all tables are merged and ranked by exact distance.
 
-Width is fitted on a bounded sample of SAMPLE vectors (their distance to the 10th neighbour there). M is the largest number of
-projections with which CALIBRATE queries, compared once with every row, find at least GOAL of their true neighbours: data with
-clear neighbours get many small buckets, data without few large ones. Every vector is indexed. Equal vectors are one
+M and the width are fitted together on a bounded sample of SAMPLE vectors: of all numbers of projections up to MOST and of WIDTHS times the sample's
+distance to the 10th neighbour, those with which CALIBRATE queries, compared once with every row, find at least GOAL of their true neighbours; of these the
+pair whose buckets hold the least share of the sample (`candidate_share`). Data with clear neighbours get many small buckets, data without few large ones.
+Where no pair reaches GOAL, one projection gets wider and wider, until it does: at last a bucket holds all. Every vector is indexed. Equal vectors are one
 entry that carries its TOP + 1 smallest ids; no more of them can be among the nearest TOP, so this loses nothing. Buckets are stored in
 blocks of about BLOCK entries, and blocks of queries meet blocks of entries, whose best TOP alone go on: no bucket,
 however full, is held whole.
@@ -24,6 +25,7 @@ import functools
 import math
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from cuelattice.llm.shared import bound_batches, written
 
 TOP, TABLES, PROBES, BLOCK, QUERIES, SEED = 10, 3, 60, 256, 64, 7
-#: Bucket width as a multiple of the sample's median distance to the 10th neighbour.
-WIDTH, SAMPLE, CALIBRATE, GOAL, MOST = 1.0, 2000, 48, 0.95, 16
+#: Bucket widths tried, as multiples of the sample's median distance to the 10th neighbour.
+WIDTHS, SAMPLE, CALIBRATE, GOAL, MOST = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0), 2000, 48, 0.95, 32
 
 
 #: Candidates that a task holds before it keeps each query's best alone.
@@ -134,12 +136,50 @@ def closest(x: np.ndarray, names: np.ndarray, q: np.ndarray, k: int) -> tuple[np
     return i[rank < k], j[rank < k], d[rank < k]
 
 
-def fitted(classes: DataFrame, dims: int) -> tuple[int, float]:
+class Fit(NamedTuple):
+    m: int
+    width: float
+    #: Of the calibrating queries' true neighbours, and of the sample's vectors, the share in buckets that the queries visit.
+    recall: float
+    candidate_share: float
+
+
+def fit_of(x: np.ndarray, asked: np.ndarray, owner: np.ndarray, theirs: np.ndarray, unit: float) -> Fit:
+    """The cheapest fit that reaches GOAL. x: the sample; theirs: true neighbours, each of the query asked[owner]."""
+
+    def tried(m: int, width: float) -> Fit:
+        h = hashes(x.shape[1], m, width)
+        visited = [h.visits(q) for q in asked]
+        own = h.keys(h.places(theirs)[0])
+        recall = float(np.mean([np.isin(k, visited[q]).any() for q, k in zip(owner.tolist(), own, strict=True)]))
+        keys = h.keys(h.places(x)[0]) if recall >= GOAL else None
+        return Fit(m, width, recall, 1.0 if keys is None else float(np.mean([np.isin(keys, v).any(1).mean() for v in visited])))
+
+    good = []
+    for times in WIDTHS:
+        low, high = 1, MOST  # fewer projections only add candidates, so the most that reach GOAL are found by halving
+        while low <= high:
+            m = (low + high) // 2
+            fit = tried(m, times * unit)
+            if fit.recall >= GOAL:
+                good.append(fit)
+                low = m + 1
+            else:
+                high = m - 1
+    if good:
+        return min(good, key=lambda f: (f.candidate_share, -f.m, f.width))
+    width = WIDTHS[-1] * unit
+    while (fit := tried(1, width)).recall < GOAL:
+        width *= 2
+    return fit
+
+
+def fitted(classes: DataFrame, dims: int) -> Fit:
     """Projections per table and bucket width. classes: cls, x (all of the same length)."""
     rows = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("x").collect()
     x = np.array([r.x for r in rows])
     near = np.sort(np.stack([distances(x, q) for q in x[:200]]), axis=1)
-    width = WIDTH * float(np.median(near[:, min(TOP, near.shape[1] - 1)])) or 1.0
+    unit = float(np.median(near[:, min(TOP, near.shape[1] - 1)])) or 1.0
     asked = x[:CALIBRATE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +192,7 @@ def fitted(classes: DataFrame, dims: int) -> tuple[int, float]:
     found = classes.select("cls", "x").mapInArrow(run, "q int, d double, cls long, x binary")
     found = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "cls"))).where(F.col("r") <= TOP + 1).select("q", "x").collect()
     truth = [(r.q, np.frombuffer(r.x)) for r in found]  # CALIBRATE * (TOP + 1) rows
-    theirs = np.stack([v for _, v in truth])
-    for m in range(MOST, 0, -1):
-        h = hashes(dims, m, width)
-        keys = h.keys(h.places(theirs)[0])
-        visited = [set(h.visits(q).tolist()) for q in asked]
-        if np.mean([any(k in visited[q] for k in own.tolist()) for (q, _), own in zip(truth, keys, strict=True)]) >= GOAL:
-            break
-    return m, width
+    return fit_of(x, asked, np.array([q for q, _ in truth]), np.stack([v for _, v in truth]), unit)
 
 
 def nearest(rows: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
@@ -180,7 +213,7 @@ def nearest(rows: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
 
 def _nearest(vectors: DataFrame, classes: DataFrame, dims: int, every: int, top: int) -> DataFrame:
     """vectors: vec_id, x; classes: x, ids, cls."""
-    m, width = fitted(classes, dims)
+    m, width, _, _ = fitted(classes, dims)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = hashes(dims, m, width)
