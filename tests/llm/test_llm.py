@@ -437,6 +437,31 @@ def test_ogg(odd, none):
     assert ogg.demux(one).lost_packets == 1 and ogg.demux(two).lost_packets == 1
 
 
+def test_ogg_cut_at_a_page_border():
+    payload = random.Random(2).randbytes(576 * 400)
+    media = ogg.mux(payload)
+    borders = [at for at in range(len(media)) if media[at : at + 4] == b"OggS"]
+    assert ";bad=0;lost=0;open=0;" in ogg.payload_of(ogg.demux(media))[1]
+    for at in borders[1:]:
+        left, line = ogg.payload_of(ogg.demux(media[:at]))
+        assert len(left) < len(payload) and ";open=0;" not in line and ";bad=0;" in line
+    assert ogg.demux(media[: borders[2]]).open_streams == 2 and ogg.demux(media[: borders[-1]]).open_streams == 1 and ogg.demux(b"").open_streams == 0
+
+
+def test_fit_of_neighbour_search_reaches_its_goal():
+    """The cheapest fit is taken; clear neighbours need a small share of all rows, and where no tried width will do, buckets grow until the goal is met."""
+    rng = np.random.default_rng(3)
+    clear = (rng.normal(0, 20, (100, 1, 16)) + rng.normal(0, 1, (100, 12, 16))).reshape(-1, 16)
+    noise = rng.normal(0, 1, (1200, 16))
+    for x, unit in ((clear, 4.0), (noise, 4.0), (noise, 1e-3)):
+        asked = x[:48]
+        near = np.stack([np.argsort(ann.distances(x, q))[: ann.TOP + 1] for q in asked])
+        fit = ann.fit_of(x, asked, np.repeat(np.arange(48), ann.TOP + 1), x[near.reshape(-1)], unit)
+        assert fit.recall >= ann.GOAL and 0 < fit.candidate_share <= 1
+        assert x is noise or fit.candidate_share < 0.1
+        assert unit > 1 or (fit.m == 1 and fit.width > ann.WIDTHS[-1] * unit)
+
+
 def test_huffman(spark, odd, none):
     fresh = Tokenizer.from_file(WORD)
     texts = ["hello <|endoftext|> world", "a<|STARTOFTEXT|>b", "<|endoftext", "x, y. z! (w)", "don't  <|endoftext|>\n", "Stra\u00dfe \u0130 \u03a3 \u1e9e"]
