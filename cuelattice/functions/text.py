@@ -6,15 +6,21 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Abbreviations whose period does not end a sentence.
-ABBREVIATIONS = "mr mrs ms messrs dr prof st mt sr jr rev fr hon gen lt col sgt capt cmdr sen rep gov supt det adm maj vs vol fig pp al u.s u.k a.m p.m e.g i.e".split()
+ABBREVIATIONS = [
+    "mr", "mrs", "ms", "messrs", "dr", "prof", "st", "mt", "sr", "jr", "rev", "fr", "hon", "gen", "lt", "col", "sgt", "capt", "cmdr", "sen", "rep",
+    "gov", "supt", "det", "adm", "maj", "vs", "vol", "fig", "pp", "al", "u.s", "u.k", "a.m", "p.m", "e.g", "i.e",
+]
 # Contractions (applied in this order), spelled numbers and fillers of the metric normalizer.
 CONTRACTIONS = {"won't": "will not", "can't": "can not", "n't": " not", "'re": " are", "'ll": " will", "'ve": " have", "'m": " am", "'d": " would"}
 NUMBERS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12", "twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "hundred": "100"}
-FILLERS = "uh um uhm hmm mm mhm er erm ah".split()
+FILLERS = ["uh", "um", "uhm", "hmm", "mm", "mhm", "er", "erm", "ah"]
 # English stopwords of the word-language test.
-STOPWORDS = """the and that this with from have has was were been will would could should can not for but are you your they them their what when where which
-who whom how why all any more most some such only own same so than too very just because about into over after before between under again further then once
-here there each few both also one two three""".split()
+STOPWORDS = [
+    "the", "and", "that", "this", "with", "from", "have", "has", "was", "were", "been", "will", "would", "could", "should", "can", "not", "for", "but",
+    "are", "you", "your", "they", "them", "their", "what", "when", "where", "which", "who", "whom", "how", "why", "all", "any", "more", "most", "some",
+    "such", "only", "own", "same", "so", "than", "too", "very", "just", "because", "about", "into", "over", "after", "before", "between", "under",
+    "again", "further", "then", "once", "here", "there", "each", "few", "both", "also", "one", "two", "three",
+]
 # Scripts by character range, in order of the test.
 SCRIPTS = (("ar", r"[؀-ۿݐ-ݿ]"), ("zh", r"[一-鿿]"), ("ja", r"[぀-ゟ゠-ヿ]"), ("ko", r"[가-힯]"), ("ru", r"[Ѐ-ӿ]"), ("el", r"[Ͱ-Ͽ]"), ("he", r"[֐-׿]"))
 # Patterns of tags, of marks that name no sound, of closing marks and sentence ends, and of bracketed text in metrics.

@@ -27,6 +27,10 @@ SNR_STATISTIC = (
 )
 #: Least amplitude that counts, and least peak of a signal that is no silence.
 LEAST, SILENT = 1e-10, 1e-6
+#: Samples in a row that make a clipped run, least peak that can clip, how near to the peak a clipped sample lies.
+CLIPPED_RUN, CLIPPED_PEAK, CLIPPED_NEAR = 3, 0.3, 1e-3
+#: Samples of a waveform's bucket, and how many buckets are drawn; size of a spectrum's window, its rate, and the first high frequency.
+PEAK_SAMPLES, MOST_PEAKS, WINDOW_SAMPLES, RATE_HZ, HIGH_HZ = 441, 2000, 512, 16000, 4000
 
 
 def blind_snr(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -44,7 +48,7 @@ def blind_snr(samples: DataFrame, by: list[str]) -> DataFrame:
     return loud.select(*by, "rms_db", F.when(F.col("g").isNotNull(), snr).alias("snr_db"))
 
 
-def clipped(samples: DataFrame, by: list[str], run: int = 3, least_peak: float = 0.3, tolerance: float = 1e-3) -> DataFrame:
+def clipped(samples: DataFrame, by: list[str], run: int = CLIPPED_RUN, least_peak: float = CLIPPED_PEAK, tolerance: float = CLIPPED_NEAR) -> DataFrame:
     """by, n, clipped: samples in runs of at least `run` at the chunk's own peak. samples: by, at (position), x. Nothing is clipped below least_peak."""
     peaks = samples.groupBy(*by).agg(F.max(F.abs("x")).alias("peak"), F.count("*").alias("n"))
     top = samples.join(peaks, by).where((F.col("peak") >= least_peak) & (F.col("peak") - F.abs("x") <= tolerance * F.col("peak")))
@@ -53,7 +57,7 @@ def clipped(samples: DataFrame, by: list[str], run: int = 3, least_peak: float =
     return peaks.join(found, by, "left").select(*by, "n", F.coalesce("clipped", F.lit(0)).alias("clipped"))
 
 
-def peaks(samples: DataFrame, by: list[str], width: int = 441, most: int = 2000) -> DataFrame:
+def peaks(samples: DataFrame, by: list[str], width: int = PEAK_SAMPLES, most: int = MOST_PEAKS) -> DataFrame:
     """by, bucket, low, high: the extremes of each `width` samples in a row, of the first `most` buckets, as a waveform is drawn."""
     return samples.groupBy(*by, F.floor(F.col("at") / width).alias("bucket")).agg(F.min("x").alias("low"), F.max("x").alias("high")).where(F.col("bucket") < most)
 
@@ -71,7 +75,7 @@ def running_median(frames: DataFrame, half: int) -> DataFrame:
     return smooth.where("frame >= 0 AND frame < n").drop("n")
 
 
-def high_share(frames: DataFrame, key: str, size: int = 512, rate: int = 16000, above_hz: int = 4000) -> DataFrame:
+def high_share(frames: DataFrame, key: str, size: int = WINDOW_SAMPLES, rate: int = RATE_HZ, above_hz: int = HIGH_HZ) -> DataFrame:
     """key, share: energy from above_hz on, of all, over Hann windows of `size` samples (null for silence, and where no window is whole). frames: key, frame (array of
     doubles). A row is one window, so a task holds one batch of them; the sums meet in an aggregate."""
     hann = np.hanning(size)
