@@ -37,7 +37,7 @@ from cuelattice.llm.shared import bound_batches, written
 
 TOP, TABLES, PROBES, BLOCK, QUERIES, SEED = 10, 3, 60, 256, 64, 7
 #: Bucket widths tried, as multiples of the sample's median distance to the 10th neighbour.
-WIDTHS, SAMPLE, CALIBRATE, GOAL, MOST = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0), 2000, 48, 0.95, 32
+WIDTHS, SAMPLE, CALIBRATE, GOAL, MOST = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0), 2000, 48, 0.97, 32
 
 
 #: Candidates that a task holds before it keeps each query's best alone.
