@@ -152,7 +152,9 @@ def kept_text(text: Column, covered: Column) -> Column:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["text", "n_words", "n_removed", "removed"])
 
-    return F.arrow_udf(run, "text string, n_words long, n_removed long, removed string")(text, covered)
+    # Else a filter on what is left is pushed below, and each task evaluates this twice, in two Python workers that the executor keeps.
+    once = F.arrow_udf(run, "text string, n_words long, n_removed long, removed string").asNondeterministic()
+    return once(text, covered)
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:

@@ -517,3 +517,11 @@ def test_pipeline(spark, odd, none):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, "").columns == odd.columns
         assert stage(spark, none, "").count() == 0
+
+
+def test_pipeline_evaluates_once(spark):
+    """A second evaluation in a task takes a second Python worker, which the executor keeps through the other stages."""
+    docs = spark.createDataFrame([(i, "So it was that we went up the hill and down again. And then they all came home late.", "en", "s", 80) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.span_dedup(spark, docs, "")
+    assert str(out._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in out.collect()] == [tuple(docs.first())]
