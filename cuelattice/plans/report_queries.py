@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.plans import cue_queries as Q
 from cuelattice.plans import fixtures as X
+from cuelattice.plans import lists as L
 from cuelattice.plans import vote_queries as V
 from cuelattice.plans.book import query
 
@@ -40,9 +41,8 @@ def s18_job_manifest(spark: SparkSession, d: str) -> DataFrame:
 SELECT t.job_id, count(*) AS cues, count(CASE WHEN wrong THEN 1 END) AS wrong, count(CASE WHEN wrong AND tier <> 'accept' THEN 1 END) AS found, count(CASE WHEN wrong AND tier = 'accept' THEN 1 END) AS accepted FROM t JOIN x USING (job_id, chunk_id) GROUP BY 1""")
 def a10_triage_quality(spark: SparkSession, d: str) -> DataFrame:
     """Cues with errors, those that triage flagged, and those that it accepted."""
-    h = X.aligned(spark, d).where("engine = 'a'").select("job_id", "idx", F.col("norm").alias("heard"))
-    bad = ~F.col("norm").eqNullSafe(F.col("heard"))
-    x = X.tok(spark, d).select("job_id", "chunk_id", "idx", "norm").join(h, ["job_id", "idx"], "left").groupBy("job_id", "chunk_id").agg((F.count(F.when(bad, 1)) > 2).alias("wrong"))
+    bad = ~F.col("norm").eqNullSafe(F.col("a_norm"))
+    x = L.beside(spark, d, ["job_id", "chunk_id", "norm"], ["norm"], "a").groupBy("job_id", "chunk_id").agg((F.count(F.when(bad, 1)) > 2).alias("wrong"))
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
     both = Q._review(spark, d).select("job_id", "chunk_id", "tier").join(x, ["job_id", "chunk_id"])
     return both.groupBy("job_id").agg(F.count("*").alias("cues"), n(F.col("wrong"), "wrong"), n(F.col("wrong") & (F.col("tier") != "accept"), "found"), n(F.col("wrong") & (F.col("tier") == "accept"), "accepted"))
@@ -51,9 +51,8 @@ def a10_triage_quality(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {X.ALIGNED}, j AS (SELECT job_id, max(end_ms) AS ms, sum(end_ms - start_ms)::BIGINT AS spoken FROM tok GROUP BY 1), i AS (SELECT job_id, engine, count(*) AS n FROM heard h WHERE norm <> '' AND NOT EXISTS (SELECT 1 FROM al WHERE al.job_id = h.job_id AND al.engine = h.engine AND al.pos = h.pos) GROUP BY 1, 2) SELECT i.job_id, engine, n, n * 600000 // greatest(1, ms - spoken) AS per_ten_minutes FROM i JOIN j USING (job_id)")
 def a07_invented_words(spark: SparkSession, d: str) -> DataFrame:
     """Words that no reference has, per ten minutes without speech."""
-    j = X.tok(spark, d).groupBy("job_id").agg((F.max("end_ms") - F.sum(F.col("end_ms") - F.col("start_ms"))).alias("quiet"))
-    h = X.heard(spark, d).where("norm <> ''")
-    i = h.join(X.aligned(spark, d).select("job_id", "engine", "pos"), ["job_id", "engine", "pos"], "left_anti").groupBy("job_id", "engine").agg(F.count("*").alias("n"))
+    j = L.tok(spark, d, "job_id", "start_ms", "end_ms").groupBy("job_id").agg((F.max("end_ms") - F.sum(F.col("end_ms") - F.col("start_ms"))).alias("quiet"))
+    i = L.alone(spark, d, "job_id", "engine", "norm").where("norm <> ''").groupBy("job_id", "engine").agg(F.count("*").alias("n"))
     return i.join(j, "job_id").select("job_id", "engine", "n", F.floor(F.col("n") * 600000 / F.greatest(F.lit(1), F.col("quiet"))).alias("per_ten_minutes"))
 
 
@@ -62,8 +61,8 @@ SELECT job_id, chunk_id, words, timed, deviation, CASE WHEN timed < greatest(1,
 def w42_window_check(spark: SparkSession, d: str) -> DataFrame:
     """What is wrong with an aligned window: under 70 % of its words have times, over 30 % of those have none of length, under half of their starts
     differ, or by the median they are more than 300 ms from the expected ones."""
-    h = X.aligned(spark, d).where("engine = 'b' AND same").select("job_id", "idx", F.col("start_ms").alias("at"), F.col("end_ms").alias("until"))
-    w = X.tok(spark, d).join(h, ["job_id", "idx"], "left").groupBy("job_id", "chunk_id")
+    h = L.beside(spark, d, ["job_id", "chunk_id", "start_ms"], ["same", "start_ms", "end_ms"], "b")
+    w = h.withColumns({"at": F.when(F.col("b_same"), F.col("b_start_ms")), "until": F.when(F.col("b_same"), F.col("b_end_ms"))}).groupBy("job_id", "chunk_id")
     tiny, starts = F.count(F.when(F.col("until") - F.col("at") <= 10, 1)).alias("tiny"), F.count_distinct(F.floor(F.col("at") / 10)).alias("starts")
     w = w.agg(F.count("*").alias("words"), F.count("at").alias("timed"), tiny, starts, F.percentile(F.abs(F.col("at") - F.col("start_ms")), F.lit(0.5)).alias("deviation"))
     few = F.col("timed") < F.greatest(F.lit(1), F.floor(F.col("words") * 7 / 10))
