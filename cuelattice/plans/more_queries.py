@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.operators import intervals as I
 from cuelattice.plans import fixtures as X
+from cuelattice.plans import lists as L
 from cuelattice.plans.book import query
 from cuelattice.plans.interval_queries import _WINDOWS
 
@@ -86,8 +87,7 @@ def j17_glossary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {X.ALIGNED}, v AS (SELECT t.job_id, t.idx, t.norm IS DISTINCT FROM h.norm AS changed FROM tok t LEFT JOIN am h ON t.job_id = h.job_id AND t.idx = h.idx AND h.engine = 'a'), r AS (SELECT *, idx - row_number() OVER (PARTITION BY job_id ORDER BY idx) AS g FROM v WHERE changed) SELECT job_id, min(idx) AS first, max(idx) AS last FROM r GROUP BY job_id, g")
 def j20_edited_spans(spark: SparkSession, d: str) -> DataFrame:
     """Runs of words at which two versions differ, by their alignment."""
-    h = X.aligned(spark, d).where("engine = 'a'").select("job_id", "idx", F.col("norm").alias("other"))
-    v = X.tok(spark, d).select("job_id", "idx", "norm").join(h, ["job_id", "idx"], "left").where(~F.col("norm").eqNullSafe(F.col("other")))
+    v = L.beside(spark, d, ["job_id", "idx", "norm"], ["norm"], "a").where(~F.col("norm").eqNullSafe(F.col("a_norm"))).select("job_id", "idx")
     r = v.withColumn("g", F.col("idx") - F.row_number().over(W.partitionBy("job_id").orderBy("idx")))
     return r.groupBy("job_id", "g").agg(F.min("idx").alias("first"), F.max("idx").alias("last")).drop("g")
 
