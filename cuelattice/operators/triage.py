@@ -66,8 +66,13 @@ def features(cues: DataFrame, words: DataFrame, conditions: DataFrame, removed:
     by = ["job_id", "cue_id"]
     f = cues.select(*by, "start_ms", "end_ms", "text", _beside_tag().cast("int").alias("beside_tag")).join(w, by, "left").join(c, by, "left").join(r, by, "left")
     f = f.fillna(0, ["n", "doubt", "disputed", "weak", "uncertain", "not_heard", "placed", "placed_ms", "odd", *heard, "removed"])
+    return rated(f, mode)
+
+
+def rated(sums: DataFrame, mode: str = "reference") -> DataFrame:
+    """`features` of cues from their sums: n, doubt, disputed, weak, uncertain, not_heard, placed, placed_ms, odd of their words, conditions (each 0 or 1) and removed words."""
     n, unheard = F.greatest(F.lit(1), "n"), F.col("not_heard") if mode == "reference" else F.lit(0)
-    return f.withColumns({
+    return sums.withColumns({
         "text_error": F.col("doubt") / (100 * n), "low_text": F.col("disputed") / n, "disputed_any": (F.col("disputed") > 0).cast("int"),
         "weak_timing": F.col("weak") / n, "weak_timing_any": (F.col("weak") > 0).cast("int"), "interpolated": F.col("placed") / n,
         "unheard": unheard / n, "unheard_any": (unheard > 0).cast("int"), "hallucination": F.least(F.lit(1.0), F.col("removed") / 3), "implausible": F.col("odd") / n,

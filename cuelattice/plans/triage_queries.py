@@ -5,38 +5,20 @@ Cues are eight words of a transcript, aligned with three engines. A word lies wh
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelattice.operators import cues as C
 from cuelattice.operators import triage as R
 from cuelattice.plans import fixtures as X
+from cuelattice.plans import lists as L
 from cuelattice.plans.book import query
 
 CUE_WORDS, SOUND_MS = 8, 6000
-_HEARD = [c for c in R.CONDITIONS if c != "beside_tag"]
-
-
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Cues, their words, conditions of the sound, and heard words without a partner in the transcript (as if a filter had removed them)."""
-    t, al = X.tok(spark, d), X.aligned(spark, d)
-    same = lambda c: F.when(F.col("same"), F.col(c))
-    a = al.groupBy("job_id", "idx").agg(F.count(same("engine")).alias("heard_by"), F.min(same("start_ms")).alias("at"), F.floor(F.sum(same("conf")) / (10 * F.count(same("engine")))).alias("timing_conf"))
-    w = t.select("job_id", "idx", "word", "start_ms", "end_ms", F.floor(F.col("idx") / CUE_WORDS).cast("int").alias("cue_id")).join(a, ["job_id", "idx"], "left")
-    w = w.withColumns({"heard_by": F.coalesce("heard_by", F.lit(0)), "start_ms": F.coalesce("at", "start_ms")})
-    w = w.withColumns({"interpolated": F.col("heard_by") == 0, "text_conf": F.floor(F.col("heard_by") * 100 / 3), "end_ms": F.coalesce(F.lead("start_ms").over(W.partitionBy("job_id").orderBy("idx")), "end_ms")})
-    key = F.col("job_id") + F.col("cue_id")
-    cues = w.groupBy("job_id", "cue_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ").alias("text"))
-    cues = cues.withColumn("text", F.when(key % 17 == 0, "[music]").when(key % 9 == 0, F.concat(F.lit("[applause] "), "text")).when(key % 5 == 0, F.concat("text", F.lit(" [inaudible 00:01:02]"))).otherwise(F.col("text")))
-    s = t.select("job_id", F.floor(F.col("start_ms") / SOUND_MS).alias("k")).distinct()
-    kind = F.element_at(F.array(*[F.lit(c) for c in _HEARD]), ((F.col("job_id") * 5 + F.col("k") * 3) % 23 + 1).cast("int"))
-    s = s.where((F.col("job_id") * 5 + F.col("k") * 3) % 23 < len(_HEARD)).select("job_id", (F.col("k") * SOUND_MS).alias("start_ms"), ((F.col("k") + 1) * SOUND_MS).alias("end_ms"), kind.alias("label"))
-    removed = X.heard(spark, d).join(al.select("job_id", "engine", "pos"), ["job_id", "engine", "pos"], "left_anti").select("job_id", "start_ms")
-    return cues, w, s, removed
+_HEARD = L.HEARD
 
 
 def _featured(spark: SparkSession, d: str) -> DataFrame:
-    return R.features(*_sides(spark, d))
+    return R.rated(L.cue_sums(spark, d, CUE_WORDS, SOUND_MS))
 
 
 _COUNTS = {"disputed": f"coalesce(text_conf, {R.NO_TEXT_CONF}) < {R.LOW_TEXT}", "weak": f"coalesce(timing_conf, {R.NO_TIMING_CONF}) < {R.WEAK_TIMING}", "uncertain": f"coalesce(timing_conf, {R.NO_TIMING_CONF}) < {R.WEAK_TIMING} AND NOT interpolated", "not_heard": "heard_by = 0", "placed": "interpolated", "odd": f"NOT (end_ms - start_ms BETWEEN {R.LEAST_WORD_MS} AND {R.MOST_WORD_MS})"}
@@ -80,11 +62,7 @@ _LABELS = "y AS (SELECT t.job_id, t.idx // {0} AS cue_id, (count(CASE WHEN NOT c
 
 def _examples(spark: SparkSession, d: str) -> DataFrame:
     """All features, and whether the transcript corrects what engine a delivered for the cue: a word of it, or its start by over 150 ms."""
-    h = X.aligned(spark, d).where("engine = 'a'").select("job_id", "idx", "same", F.col("start_ms").alias("s"))
-    y = X.tok(spark, d).join(h, ["job_id", "idx"], "left").groupBy("job_id", F.floor(F.col("idx") / CUE_WORDS).cast("int").alias("cue_id"))
-    moved = F.coalesce(F.abs(F.min("s") - F.min("start_ms")) > 150, F.lit(False))
-    y = y.agg(((F.count(F.when(~F.coalesce("same", F.lit(False)), 1)) > 0) | moved).cast("int").alias("label"))
-    return _featured(spark, d).join(y, ["job_id", "cue_id"])
+    return _featured(spark, d)
 
 
 @query(f"{_FEATURED}, {_LABELS} SELECT job_id, cue_id, label, {', '.join(f'round({k}, 6) AS {k}' if k in _SHOWN else k for k in R.FEATURES)} FROM f JOIN y USING (job_id, cue_id)")
