@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,25 +33,37 @@ def grouped(segments: DataFrame, gap_ms: int, most_ms: int) -> DataFrame:
     return out.select("job_id", "part", "place", "g.start_ms", "g.end_ms", "g.n")
 
 
-def calibrated(examples: DataFrame, features: list[str], label: str, prior: list[float], bias: float, pull: float = 1.0, steps: int = 12) -> DataFrame:
-    """(feature, weight) of a logistic model, L2-pulled towards prior weights; the bias is free. Newton's method: each step is one aggregate of gradient
-    and Hessian sums over all examples, so only (features + 1) squared numbers reach the driver."""
-    spark = examples.sparkSession
+def _newton_sums(w: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows, gradient and Hessian of a task's examples (features, label) at weights w, the last of which is the bias. A row with a null feature counts in the rows only, one with a null label in the Hessian, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + k + k * k)
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [np.ones(batch.num_rows)])
+            y = batch.column(k - 1).to_numpy(zero_copy_only=False)
+            whole = ~np.isnan(x).any(axis=1)
+            x, y = x[whole], y[whole]
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            total += np.concatenate([[batch.num_rows], np.where(np.isnan(y), 0.0, p - y) @ x, ((p * (1 - p))[:, None] * x).T.dot(x).ravel()])
+        if total[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+
+    return run
+
+
+def calibrated(examples: DataFrame, features: list[str], label: str, prior: list[float], bias: float, pull: float = 1.0, steps: int = 12, pull_each: float = 0.0) -> DataFrame:
+    """(feature, weight) of a logistic model, L2-pulled towards prior weights by pull and by pull_each a row; the bias is free. Newton's method: each step is one pass over all
+    examples, of which each task sums up gradient and Hessian, so only (features + 1) squared numbers a task reach the driver."""
+    spark, k = examples.sparkSession, len(features) + 1
     names = [*features, None]
-    x = [F.col(n).cast("double") if n else F.lit(1.0) for n in names]
     start = w = np.array([*prior, bias], float)
-    ridge = np.array([pull] * len(features) + [0.0])
-    data = examples.select(*features, label).cache()
+    data = examples.select(*[F.col(n).cast("double") for n in [*features, label]]).cache()
     for _ in range(steps):
-        z = sum((F.lit(float(c)) * v for c, v in zip(w, x, strict=True)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-        k = len(names)
-        sums = [F.sum((p - F.col(label)) * v) for v in x] + [F.sum(p * (1 - p) * x[i] * x[j]) for i in range(k) for j in range(i, k)]
-        got = [v or 0.0 for v in data.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-        hessian = np.zeros((k, k))
-        hessian[np.triu_indices(k)] = got[k:]
-        hessian = np.triu(hessian) + np.triu(hessian, 1).T + np.diag(ridge + 1e-9)
-        step = np.linalg.solve(hessian, np.array(got[:k]) + ridge * (w - start))
+        rows = [r.s for r in data.mapInArrow(_newton_sums(w, k), "s array<double>").collect()]
+        got = np.array([math.fsum(v) for v in zip(*rows, strict=True)]) if rows else np.zeros(1 + k + k * k)
+        ridge = np.array([pull + pull_each * got[0]] * len(features) + [0.0])
+        hessian = got[1 + k :].reshape(k, k) + np.diag(ridge + 1e-9)
+        step = np.linalg.solve(hessian, got[1 : 1 + k] + ridge * (w - start))
         w = w - np.clip(step, -2, 2)
         if abs(step).max() < 1e-9:
             break

@@ -112,7 +112,4 @@ def scored(featured: DataFrame, mode: str = "reference", weights: dict[str, floa
 def fitted(examples: DataFrame, label: str = "label", l2: float = 0.05) -> DataFrame:
     """(feature, weight), the bias among them: a logistic model of `label` over all features, pulled towards the present weights by l2 a row, so that a few
     corrected jobs move the weights a little. Without rows, the present weights."""
-    rows = examples.select(*FEATURES, label).cache()
-    out = B.calibrated(rows, FEATURES, label, [C.WEIGHTS[n] for n in FEATURES], C.BIAS, pull=l2 * rows.count())
-    rows.unpersist()
-    return out
+    return B.calibrated(examples, FEATURES, label, [C.WEIGHTS[n] for n in FEATURES], C.BIAS, pull=0.0, pull_each=l2)
