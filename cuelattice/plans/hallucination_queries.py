@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cuelattice.operators import align as A
 from cuelattice.operators import hallucinations as H
 from cuelattice.plans import fixtures as X
+from cuelattice.plans import lists as L
 from cuelattice.plans.book import query
 
 #: Transcripts with "thank you" in each long pause, and a series of speech probabilities: one value per word and pause.
@@ -48,8 +49,7 @@ _SPEECH = "SELECT s.job_id, s.first, avg(fm.p) AS speech, any_value(s0) AS s0, a
 sp AS ({_SPEECH.format("tm")}) SELECT job_id, unnest(range(first, until)) AS idx, repeats FROM tm LEFT JOIN sp USING (job_id, first) WHERE sure OR speech < 35""")
 def w17_loop_removals(spark: SparkSession, d: str) -> DataFrame:
     """Words of loops to remove: sure ones, and others where there is little speech."""
-    s = _said(spark, d)
-    return H.loop_removals(s, s.select("job_id", "start_ms", "end_ms", "p"))
+    return L.loop_removals(spark, d)
 
 
 _PHRASES = ", ".join("'" + p + "'" for p in H.STOCK)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.functions import text as T
 from cuelattice.plans import fixtures as X
+from cuelattice.plans import lists as L
 from cuelattice.plans.book import query
 
 _list = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
@@ -165,8 +166,8 @@ def p19_edit_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {X.HYP} SELECT engine, lang, count(*) AS words FROM hyp WHERE (engine, lang) IN (('a', 'en'), ('a', 'de'), ('b', 'en'), ('c', 'fr')) GROUP BY 1, 2")
 def p20_voter_languages(spark: SparkSession, d: str) -> DataFrame:
-    able = spark.createDataFrame([("a", "en"), ("a", "de"), ("b", "en"), ("c", "fr")], "engine string, lang string")
-    return X.hyp(spark, d).join(able, ["engine", "lang"], "left_semi").groupBy("engine", "lang").agg(F.count("*").alias("words"))
+    able = [("a", "en"), ("a", "de"), ("b", "en"), ("c", "fr")]
+    return L.language_counts(spark, d, able).groupBy("engine", "lang").agg(F.sum("words").alias("words"))
 
 
 @query(f"WITH {X.CUE} SELECT job_id, cue_id, start_ms, lpad((start_ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((start_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((start_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((start_ms % 1000)::VARCHAR, 3, '0') AS code, start_ms AS back FROM (SELECT job_id, cue_id, greatest(start_ms, 0) AS start_ms FROM cue)")

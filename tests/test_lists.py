@@ -119,7 +119,7 @@ def test_a_job_of_two_documents_one_without_text_and_one_without_id(spark, tmp_p
 SHUFFLES = {
     "j07_aligned_words": 1, "a01_weighted_vote": 1, "a06_timing_error": 2, "a15_anchor_spans": 1, "j10_carried_confidence": 1, "j15_correction_labels": 2, "j20_edited_spans": 2,
     "a03_word_errors": 1, "a03_error_split": 1, "a04_blockwise_errors": 1, "a08_error_rollup": 2, "a12_engine_leaderboard": 3, "a24_error_pivot": 3, "s21_benchmark_report": 4,
-    "a05_time_consensus": 1, "j13_second_talker": 1, "a09_second_talker_share": 1, "a22_triage_features": 1, "a33_triage_examples": 1, "a07_invented_words": 4, "a33_calibration_examples": 4, "a10_triage_quality": 5,
+    "a05_time_consensus": 1, "j13_second_talker": 1, "a09_second_talker_share": 1, "a22_triage_features": 1, "w20_ngram_repetition": 1, "w17_loop_removals": 1, "p20_voter_languages": 2, "a33_triage_examples": 1, "a07_invented_words": 4, "a33_calibration_examples": 4, "a10_triage_quality": 5,
 }
 
 
@@ -145,3 +145,17 @@ def test_each_step_of_a_fit_is_one_pass_without_a_shuffle(spark):
     began = time.monotonic()
     got = B.calibrated(rows, ["a", "b", "c"], "y", [1.0, 1.0, 1.0], 0.0, pull=0.0, pull_each=0.05)
     assert [r.weight for r in got.collect()] == [round(float(v), 6) for v in w] and time.monotonic() - began < 60
+
+
+def test_repeats_and_loops_of_repetitive_jobs_equal_the_operators(spark, tmp_path):
+    from cuelattice.operators import cues as C
+    from cuelattice.operators import hallucinations as H
+    from cuelattice.plans import hallucination_queries as Q
+
+    rng = random.Random(11)
+    text = lambda: " ".join(rng.choice(["a", "b", "-", "c d e", "a a a a a", "b c b c b c b c", "x. y z x. y z x. y z", "w" + str(rng.randrange(9))]) for _ in range(rng.randrange(90)))
+    d = documents(spark, tmp_path, [(i, text(), "en", "s", 0) for i in range(40)])
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(L.repeats(spark, d)) == rows(C.repeats(X.tok(spark, d)))
+    said = Q._said(spark, d)
+    assert rows(L.loop_removals(spark, d)) == rows(H.loop_removals(said, said.select("job_id", "start_ms", "end_ms", "p")))
