@@ -119,7 +119,8 @@ def test_a_job_of_two_documents_one_without_text_and_one_without_id(spark, tmp_p
 SHUFFLES = {
     "j07_aligned_words": 1, "a01_weighted_vote": 1, "a06_timing_error": 2, "a15_anchor_spans": 1, "j10_carried_confidence": 1, "j15_correction_labels": 2, "j20_edited_spans": 2,
     "a03_word_errors": 1, "a03_error_split": 1, "a04_blockwise_errors": 1, "a08_error_rollup": 2, "a12_engine_leaderboard": 3, "a24_error_pivot": 3, "s21_benchmark_report": 4,
-    "a05_time_consensus": 1, "j13_second_talker": 1, "a09_second_talker_share": 1, "a22_triage_features": 1, "w20_ngram_repetition": 1, "w17_loop_removals": 1, "p20_voter_languages": 2, "a33_triage_examples": 1, "a07_invented_words": 4, "a33_calibration_examples": 4, "a10_triage_quality": 5,
+    "a05_time_consensus": 1, "j13_second_talker": 1, "a09_second_talker_share": 1, "a22_triage_features": 1, "s07_textgrid_words": 1, "s08_engine_answers": 1, "p15_balanced_lines": 1, "a02_vote_network": 1, "a01_network_vote": 1, "j08_alignment_pairs": 2,
+    "w20_ngram_repetition": 1, "w17_loop_removals": 1, "p20_voter_languages": 2, "a33_triage_examples": 1, "a07_invented_words": 4, "a33_calibration_examples": 4, "a10_triage_quality": 5,
 }
 
 
