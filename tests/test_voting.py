@@ -100,3 +100,23 @@ def test_blocks_never_have_fewer_errors_than_the_whole(spark):
     assert {r.job_id for r in got} == set(least)
     assert all(least[r.job_id] <= r.errors for r in got)
     assert sum(r.errors for r in got) <= 1.3 * sum(least.values())
+
+
+def test_similar_pairs_equal_those_of_the_whole_table(spark):
+    """Of equal costs the same path is chosen, also where words have accents or none at all and lists are far apart."""
+    rng = random.Random(21)
+    words = ["", "a", "ab", "abc", "abd", "xyz", "été", "ete", "sailed", "sailes", "sale", "island"]
+    near = lambda x: [v for w in x for v in rng.choice([[w]] * 5 + [[], [w, "uh"], [w[::-1]]])]
+    lists = [[rng.choice(words) for _ in range(rng.randrange(25))] for _ in range(200)]
+    rows = [(i, x, near(x) if i % 3 else lists[-1 - i]) for i, x in enumerate(lists)]
+    df = spark.createDataFrame([*rows, (1000, None, ["a"]), (1001, [], None)], "i int, a array<string>, b array<string>")
+    # Another function of the same values takes the whole table.
+    whole = A.with_pairs(df, "a", "b", "p", lambda v, w: A.similarity_cost(v, w), A.LONE)
+    assert sorted(map(str, A.with_pairs(df, "a", "b", "p", A.similarity_cost, A.LONE).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_most_cells_of_similar_lists_are_not_compared():
+    similar = A.Similar()
+    x = [f"word{i}x" for i in range(300)]
+    assert [p[:2] for p in similar.path(x, x[:100] + ["uh"] + x[100:200] + x[201:])][100:102] == [(None, 100), (100, 101)]
+    assert len(similar.costs) < 3000
