@@ -160,3 +160,11 @@ def test_repeats_and_loops_of_repetitive_jobs_equal_the_operators(spark, tmp_pat
     assert rows(L.repeats(spark, d)) == rows(C.repeats(X.tok(spark, d)))
     said = Q._said(spark, d)
     assert rows(L.loop_removals(spark, d)) == rows(H.loop_removals(said, said.select("job_id", "start_ms", "end_ms", "p")))
+
+
+def test_words_of_odd_texts_are_those_of_the_column_functions(spark, tmp_path):
+    texts = ["Été, naïve!  x\u000by\tz\r\n...", " \n", "", "don't [Tag] 一二 १२ a_b É́ «Ω»", " x y end.", "Straße ĲSSEL ẞ"]
+    d = documents(spark, tmp_path, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    rows = lambda df: sorted(map(str, df.select("job_id", "idx", "word", "start_ms", "end_ms", "norm", "chunk_id").collect()))
+    assert rows(L.tok(spark, d)) == rows(X.tok(spark, d))
+    assert sorted(map(str, L.aligned(spark, d).select("pos", "norm").collect()))
