@@ -120,3 +120,14 @@ def test_most_cells_of_similar_lists_are_not_compared():
     x = [f"word{i}x" for i in range(300)]
     assert [p[:2] for p in similar.path(x, x[:100] + ["uh"] + x[100:200] + x[201:])][100:102] == [(None, 100), (100, 101)]
     assert len(similar.costs) < 3000
+
+
+def test_votes_side_by_side_equal_the_votes_of_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, *[rng.choice([None, "x", "y", "z"]) for _ in range(3)], rng.random() > 0.3) for i in range(300)]
+    df = spark.createDataFrame(rows, "idx long, a string, b string, c string, there boolean").withColumn("job_id", F.lit(1).cast("long"))
+    for weights in ({"a": 1000, "b": 950, "c": 400}, {"a": 1, "b": 1, "c": 1}, {"a": 1, "b": 1, "c": 2}):
+        side = V.voted(df, ["job_id", "idx"], [(e, F.lit(w).cast("long"), F.col(e), F.col("there") if e == "c" else F.lit(True)) for e, w in weights.items()])
+        slots = [(1, i, e, w, t) for i, a, b, c, there in rows for (e, w), t in zip(weights.items(), (a, b, c), strict=True) if e != "c" or there]
+        plain = Q.votes(spark.createDataFrame(slots, "job_id long, idx long, engine string, w long, token string"))
+        assert sorted(map(str, side.collect())) == sorted(map(str, plain.select(side.columns).collect()))
